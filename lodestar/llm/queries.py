@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lodestar.llm import bpe_chunks, packing
+from lodestar.llm import bpe_chunks, matroska, packing, secrets
 
 QUERIES = {
     "op2_packing": packing.op2,
+    "op4_matroska": matroska.op4,
     "op5_bpe_chunks": bpe_chunks.op5,
+    "op10_secret_scan": secrets.op10,
 }
 ORACLES: dict[str, str] = {}
