@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lodestar.llm import bpe_chunks, fingerprints, matroska, packing, secrets
+from lodestar.llm import bpe_chunks, fingerprints, matroska, packing, secrets, warc
 
 QUERIES = {
     "op2_packing": packing.op2,
     "op4_matroska": matroska.op4,
     "op5_bpe_chunks": bpe_chunks.op5,
+    "op8_warc_zstd": warc.op8,
     "op9_fingerprints": fingerprints.op9,
     "op10_secret_scan": secrets.op10,
 }
