@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lodestar.llm import bpe_chunks, fingerprints, matroska, packing, secrets, warc
+from lodestar.llm import bpe_chunks, fingerprints, matroska, packing, secrets, toxicity, warc
 
 QUERIES = {
     "op2_packing": packing.op2,
+    "op3_toxicity": toxicity.op3,
     "op4_matroska": matroska.op4,
     "op5_bpe_chunks": bpe_chunks.op5,
     "op8_warc_zstd": warc.op8,
