@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lodestar.llm import bpe_chunks, fingerprints, language_id, matroska, packing, secrets, toxicity, warc
+from lodestar.llm import bpe_chunks, chosen_path, fingerprints, language_id, matroska, packing, secrets, toxicity, warc
 
 QUERIES = {
     "op2_packing": packing.op2,
     "op3_toxicity": toxicity.op3,
     "op4_matroska": matroska.op4,
     "op5_bpe_chunks": bpe_chunks.op5,
+    "op6_chosen_path": chosen_path.op6,
     "op7_language_id": language_id.op7,
     "op8_warc_zstd": warc.op8,
     "op9_fingerprints": fingerprints.op9,
