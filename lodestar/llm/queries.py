@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lodestar.llm import bpe_chunks, chosen_path, fingerprints, language_id, matroska, packing, secrets, toxicity, warc
+from lodestar.llm import bpe_chunks, chosen_path, fingerprints, language_id, matroska, packing, secrets, suffix_dedup, toxicity, warc
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1,
     "op2_packing": packing.op2,
     "op3_toxicity": toxicity.op3,
     "op4_matroska": matroska.op4,
