@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import packing
+from lodestar.llm import chosen_path, language_id, packing, secrets, suffix_dedup
 from lodestar.llm.common import prepare, stored
 
-STAGES = [("packing", packing.pack_stage)]
+STAGES = [
+    ("language id", language_id.language_stage),
+    ("near dedup", chosen_path.near_stage),
+    ("suffix dedup", suffix_dedup.dedup_stage),
+    ("secret scan", secrets.redact_stage),
+    ("packing", packing.pack_stage),
+]
 
 #: SQL can't express language prediction or tokenizing; the stages are tested against brute force.
 ORACLE_SQL = None
