@@ -290,7 +290,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     if split:
         for leaf in levels:
             units = units.unionAll(leaf.join(large, "node").select(F.xxhash64("key", "label").alias("unit"), "node", "rep"))
-    texts = docs.join(units, docs.doc_id.eqNullSafe(units.rep)).select("unit", "node", "text")
+    # Merged at every size: the plan of a small input is that of a large one.
+    texts = docs.join(units.hint("merge"), docs.doc_id.eqNullSafe(units.rep)).select("unit", "node", "text")
     sure = confirmed(texts, size, percent)
     labels = components(sure, "links")
     first = labels.join(reps.select("node", "rep"), "node")
