@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from lodestar.plans import aggregates, filters, joins, scalars, windows  # noqa: F401
+from lodestar.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
