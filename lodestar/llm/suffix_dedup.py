@@ -220,9 +220,12 @@ def halved(pieces: DataFrame, level: int, length: int) -> DataFrame:
 def runs_of(docs: DataFrame, length: int) -> DataFrame:
     """uid, start, windows: all runs of windows that start elsewhere too, of every different text."""
     found = stored(segments(docs, length), "segments")
-    often = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    kinds = found.join(often, "key", "left_semi").groupBy("key", "seg").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "doc_id", "start", "windows", "anchor")).alias("one"))
-    kinds = stored(kinds.select("key", "seg", "n", "one.*"), "kinds")
+    # Written first: a merge join can deal a hot key's rows to several tasks only if no aggregate stands below it.
+    often = stored(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "often")
+    # Grouped by another name of the key: else the join's dealing by key serves the aggregate too, and rows of a hot key meet before they are pre-aggregated.
+    again = found.join(often, "key", "left_semi").withColumn("other", F.bitwise_not("key"))
+    kinds = again.groupBy("other", "seg").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "doc_id", "start", "windows", "anchor")).alias("one"))
+    kinds = stored(kinds.select(F.bitwise_not("other").alias("key"), "seg", "n", "one.*"), "kinds")
     out = found.join(kinds.where("n > 1").select("key", "seg"), ["key", "seg"]).select("uid", "start", "windows").distinct()
     several = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     wanted = kinds.join(several, "key").groupBy("uid", "doc_id").agg(F.collect_list(F.struct("key", "seg", "start", "windows", "anchor", "kinds")).alias("parts"))
