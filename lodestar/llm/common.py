@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.sources.shipping import ship
+
 #: Rows of an Arrow batch; with long texts a batch must fit in a Python worker.
 BATCH_ROWS = 1000
 
@@ -26,22 +25,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ship(sc: SparkContext) -> None:
-    """Adds the package as a zip file, so that executors need no copy of the repository."""
-    if getattr(sc, "_lodestar_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="lodestar-"), "lodestar.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(top):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
-    sc.addPyFile(path)
-    sc._lodestar_shipped = True
-
-
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Some columns of a table; the path is only ever given to Spark's reader."""
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
@@ -59,6 +42,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name that no column of the table has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Writes a table in the shared folder and reads it back: the lineage is cut, and a lost executor costs nothing already written."""
     spark = df.sparkSession

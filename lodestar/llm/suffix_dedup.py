@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.bwt import merge, shard
-from lodestar.llm.common import batch_of, mapped, partitions_of, prepare, slices, stored, table
+from lodestar.llm.common import batch_of, fresh, mapped, partitions_of, prepare, slices, stored, table
 from lodestar.llm.shingles import BASE, INVERSE, mix, powers
 
 #: Bytes of a passage, of a gram, of a block; segments of a key that one task compares; shards of a merge; bytes merged at once.
@@ -286,12 +286,13 @@ def left_of(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def with_runs(docs: DataFrame, length: int) -> DataFrame:
+def with_runs(docs: DataFrame, length: int, name: str = "runs") -> DataFrame:
     """Adds the runs of repeated windows to each row with a column ``text``."""
-    keyed = docs.withColumn("uid", F.xxhash64("text"))
-    runs = runs_of(keyed.where("text IS NOT NULL").select("doc_id", "uid", "text"), length)
-    runs = runs.groupBy(F.col("uid").alias("at")).agg(F.collect_set(F.struct("start", "windows")).alias("runs"))
-    return keyed.join(runs, F.col("uid") == F.col("at"), "left").drop("at", "uid")
+    uid, at = fresh(docs, "uid"), fresh(docs, "at")
+    keyed = docs.withColumn(uid, F.xxhash64("text"))
+    runs = runs_of(keyed.where("text IS NOT NULL").select("doc_id", F.col(uid).alias("uid"), "text"), length)
+    runs = runs.groupBy(F.col("uid").alias(at)).agg(F.collect_set(F.struct("start", "windows")).alias(name))
+    return keyed.join(runs, F.col(uid) == F.col(at), "left").drop(at, uid)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,10 +318,11 @@ STAGE_LENGTH = 200
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, length: int = STAGE_LENGTH) -> DataFrame:
     """Every document stays, without the passages that it or another has too; a character cut in part goes as a whole."""
     prepare(spark)
+    name = fresh(docs, "runs")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            column, runs = batch.column("text"), batch.column("runs").to_pylist()
+            column, runs = batch.column("text"), batch.column(name).to_pylist()
             texts = column.to_pylist()
             for i, r in enumerate(runs):
                 if r:
@@ -328,6 +330,6 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, length: int =
                     texts[i] = left_of(raw, spans_of(raw, r, length)).decode("utf-8", "ignore")
             at = batch.schema.get_field_index("text")
             batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, type=column.type))
-            yield batch.drop_columns(["runs"])
+            yield batch.drop_columns([name])
 
-    return mapped(with_runs(docs, length), each, docs.schema).withColumn("n_chars", F.length("text").cast("long"))
+    return mapped(with_runs(docs, length, name), each, docs.schema).withColumn("n_chars", F.length("text").cast("long"))

@@ -1,0 +1,135 @@
+"""The parts that operators are made of, against plain versions."""
+
+from __future__ import annotations
+
+import random
+import re
+
+import numpy as np
+import pytest
+
+from lodestar.llm import bwt, chosen_path, fingerprints, matroska, packing, toxicity, warc
+from lodestar.llm.automata import Automaton
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_bwt_merge(seed):
+    """Merged shards give the order of all suffixes by their first symbols, and their common prefixes."""
+    r, depth = random.Random(seed), 6
+    strings = [np.array([r.randrange(1, 4) for _ in range(r.randrange(0, 30))], dtype=np.int64) for _ in range(9)]
+    shards = [bwt.shard(strings[a:b], a, 3) for a, b in ((0, 3), (3, 5), (5, 9))]
+    which, at, common = bwt.merge(shards, depth)
+    keys = [tuple(strings[w][p : p + depth].tolist()) for w, p in zip(which, at, strict=True)]
+    assert keys == sorted(keys)
+    assert len(set(zip(which.tolist(), at.tolist(), strict=True))) == sum(len(s) + 1 for s in strings)
+    for i in range(1, len(keys)):
+        same = 0
+        while same < min(len(keys[i]), len(keys[i - 1]), depth) and keys[i][same] == keys[i - 1][same]:
+            same += 1
+        assert common[i] == same
+
+
+def test_first_fit_decreasing():
+    r = random.Random(1)
+    sizes = [r.randrange(1, 100) for _ in range(300)]
+    room: list[int] = []
+    want = [(0, 0)] * len(sizes)
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        bin_ = next((b for b, left in enumerate(room) if left >= sizes[i]), len(room))
+        if bin_ == len(room):
+            room.append(100)
+        want[i] = (bin_, 100 - room[bin_])
+        room[bin_] -= sizes[i]
+    assert packing.first_fit_decreasing(sizes, 100) == want
+
+
+def test_segments_are_maximal():
+    """The segments are those of the recursive definition: the best one, then the same on both sides of it."""
+
+    def plain(s, a):
+        best = max(((sum(s[i:j]), -i, j) for i in range(len(s)) for j in range(i + 1, len(s) + 1)), default=(0,))
+        if best[0] <= 0:
+            return []
+        i, j = -best[1], best[2]
+        return [*plain(s[:i], a), (a + i, a + j), *plain(s[j:], a + j)]
+
+    r = random.Random(3)
+    for _ in range(30):
+        s = [float(r.choice((-7, -5, -3, -2, 1, 3, 5, 11)) + r.random() / 8) for _ in range(14)]
+        assert [(a, b) for a, b, _ in toxicity.segments(np.array(s))] == plain(s, 0)
+
+
+@pytest.mark.parametrize("kind", [0, 1, 2, 3])
+def test_lacing(kind):
+    frames = [b"a" * 300] if kind == 0 else [b"a" * 300, b"b" * 300, b"c" * 300] if kind == 2 else [b"a" * 300, b"bb", b"c" * 700, b"d"]
+    body = b"\x81\x00\x05" + bytes([kind << 1]) + (matroska.laced(frames, kind) if kind else frames[0])
+    track, relative, flags, found = matroska.frames_of(body, 0, len(body))
+    assert (track, relative) == (1, 5)
+    assert [body[a : a + n] for a, n in found] == frames
+
+
+@pytest.mark.parametrize("size", [0, 576, 576 * 5, 576 * 700])
+def test_media_round_trip(size):
+    payload = np.random.default_rng(size).integers(0, 256, size, dtype=np.uint8).tobytes() or b"\xff" * 576
+    media = matroska.write(payload)
+    found = matroska.read(media)
+    assert b"".join(media[p[4] : p[4] + p[5]] for p in found["packets"]) == payload
+    times = [p[2] for p in found["packets"]]
+    assert times == sorted(times)
+
+
+def test_malformed_media(spark):
+    rows = [(1, matroska.write(b"x" * 576)), (2, b"nonsense"), (3, None), (4, matroska.write(b"y" * 5760)[:200])]
+    got = matroska.packets(spark.createDataFrame(rows, "k long, m binary"), "k", "m").toPandas()
+    assert got[got["k"] == 1]["error"].isna().all()
+    assert got[got["k"] == 2]["error"].notna().all() and got[got["k"] == 3]["error"].notna().all()
+
+
+def test_automaton():
+    patterns = [r"ab{2,3}c", r"(?i:token)\x20*=", r"[0-9]{4,}"]
+    a = Automaton(patterns)
+    r = random.Random(7)
+    for _ in range(50):
+        text = "".join(r.choice(["a", "b", "c", "ToKen", " ", "=", "12", "9", "\n", "é"]) for _ in range(60)).encode()
+        ends, bits = a.scan(np.frombuffer(text, dtype=np.uint8))
+        found = [{int(e) for e, b in zip(ends, bits, strict=True) if b >> k & 1} for k in range(3)]
+        want = [{j for j in range(len(text) + 1) if re.search(p.encode() + rb"\Z", text[:j])} for p in patterns]
+        for k in range(3):  # each reported end is one, and every first end of a run of matches is reported
+            assert found[k] <= want[k]
+            assert bool(found[k]) == bool(want[k])
+
+
+def test_archive_round_trip():
+    records = [warc.record(i, f"http://x/{i}", b"<p>%d</p>" % i * (i + 1), None, False) for i in range(60)]
+    data = warc.archive(records)
+    assert int.from_bytes(data[:4], "little") == warc.SKIPPABLE
+    assert [r for _, r in warc.frames(data)] == records
+    assert [r for _, r in warc.frames(warc.archive([b"one"]))] == [b"one"]
+    with pytest.raises(ValueError):
+        list(warc.frames(data[:-3]))
+
+
+def test_sketches_merge(spark):
+    a, b = " ".join(f"w{i}" for i in range(900)), " ".join(f"w{i}" for i in range(450, 1350))
+    x, y = fingerprints.sketches([a, b])
+    assert abs(fingerprints.resemblance(x, y) - 446 / 1346) < 0.12
+    assert abs(fingerprints.containment(x, y) - 446 / 896) < 0.2
+    assert abs(fingerprints.distinct(x) - 896) < 250
+    prints = fingerprints.fingerprint(spark.createDataFrame([(1, a), (2, b), (3, None)], "doc_id long, text string"))
+    whole = fingerprints.merged(prints.selectExpr("1 AS k", "fingerprint"), "k").collect()
+    assert len(whole) == 1 and whole[0].fingerprint == fingerprints.packed(fingerprints.merge(x, y))
+
+
+def test_large_groups_of_near_copies(spark, monkeypatch):
+    """Groups beyond a leaf are branched, dealt to blocks and still joined whole."""
+    monkeypatch.setattr(chosen_path, "LEAF", 120)
+    r, base = random.Random(2), [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(700):
+        words = list(base)
+        words[r.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join(f"y{i}-{j}" for j in range(50))) for i in range(20)]
+    got = chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).toPandas().set_index("doc_id").sort_index()
+    assert (got.loc[:699, "component_id"] == 0).all()
+    assert (got.loc[1000:, "kept"]).all()
