@@ -60,7 +60,7 @@ sql("agg_bits_empty", "SELECT BIT_AND(c_custkey) AS a, BIT_OR(c_custkey) AS o, B
 sql("agg_count_distinct", "SELECT o_orderpriority, COUNT(DISTINCT o_custkey) AS customers, COUNT(DISTINCT o_orderstatus) AS states FROM orders GROUP BY o_orderpriority")
 sql("agg_sum_distinct", "SELECT l_returnflag, CAST(SUM(DISTINCT l_suppkey) AS BIGINT) AS s FROM lineitem GROUP BY l_returnflag")
 sql("agg_average_integers", "SELECT l_linenumber, ROUND(AVG(l_partkey), 6) AS a, ROUND(AVG(CAST(l_suppkey AS SMALLINT)), 6) AS b, ROUND(AVG(CAST(l_linenumber AS INT)), 6) AS c FROM lineitem GROUP BY l_linenumber")
-sql("agg_decimal", "SELECT l_returnflag, CAST(SUM(CAST(l_extendedprice AS DECIMAL(15, 2))) AS VARCHAR(60)) AS s, ROUND(CAST(AVG(CAST(l_extendedprice AS DECIMAL(15, 2))) AS DOUBLE), 4) AS a FROM lineitem GROUP BY l_returnflag")
+sql("agg_decimal", "SELECT l_returnflag, CAST(SUM(CAST(l_extendedprice AS DECIMAL(15, 2))) AS VARCHAR(60)) AS s, ROUND(CAST(AVG(CAST(l_extendedprice AS DECIMAL(15, 2))) AS DOUBLE), 3) AS a FROM lineitem GROUP BY l_returnflag")
 sql("agg_having", "SELECT o_custkey, COUNT(*) AS n, ROUND(SUM(o_totalprice), 2) AS s FROM orders GROUP BY o_custkey HAVING COUNT(*) >= 10 AND SUM(o_totalprice) > 2000000")
 sql("agg_having_without_keys", "SELECT COUNT(*) AS n FROM orders HAVING COUNT(*) > 5")
 sql("distinct_column", "SELECT DISTINCT l_suppkey FROM lineitem")
