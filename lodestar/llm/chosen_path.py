@@ -171,8 +171,9 @@ def leaves(reps: DataFrame, what: str = "") -> list[DataFrame]:
     level = reps.select(F.explode("keys").alias("key"), "node", "n_shingles", "sketch")
     out = []
     for depth in range(DEPTH + 2):
-        counts = level.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-        level = stored(level.join(counts, "key"), f"tree{what}")
+        # Written first, and merged even where small: only a merge join of two plain exchanges has a hot key's rows dealt to several tasks.
+        counts = stored(level.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), f"counts{what}")
+        level = stored(level.join(counts.hint("merge"), "key"), f"tree{what}")
         leaf = F.lit(True) if depth > DEPTH else F.col("members") <= LEAF
         out.append(level.where(leaf).drop("members"))
         large = level.where(~leaf)
