@@ -227,7 +227,7 @@ def runs_of(docs: DataFrame, length: int) -> DataFrame:
     kinds = again.groupBy("other", "seg").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "doc_id", "start", "windows", "anchor")).alias("one"))
     kinds = stored(kinds.select(F.bitwise_not("other").alias("key"), "seg", "n", "one.*"), "kinds")
     out = found.join(kinds.where("n > 1").select("key", "seg"), ["key", "seg"]).select("uid", "start", "windows").distinct()
-    several = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    several = stored(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "several")
     wanted = kinds.join(several, "key").groupBy("uid", "doc_id").agg(F.collect_list(F.struct("key", "seg", "start", "windows", "anchor", "kinds")).alias("parts"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +262,7 @@ def runs_of(docs: DataFrame, length: int) -> DataFrame:
         counts = level.groupBy("key", "seg").agg(F.count_distinct("uid", "start").alias("n"), F.min(F.struct("uid", "start")).alias("one"))
         counts = stored(counts, "halves-kinds")
         out = out.unionAll(level.join(counts.where("n > 1").select("key", "seg"), ["key", "seg"]).select("uid", "start", "windows"))
-        several = counts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+        several = stored(counts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "halves-several")
         chosen = counts.join(several, "key").select("key", "seg", "one.*", "kinds")
         level = stored(level.join(chosen, ["key", "seg", "uid", "start"]), "halves-left")
         out = out.unionAll(compared(level.where(F.col("kinds") <= MANY).drop("kinds"), length))
