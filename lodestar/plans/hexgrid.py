@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import h3
+from lodestar.functions.h3grid import latlng_to_cell
 from lodestar.plans.registry import query
+from lodestar.sources.shipping import ship
 from lodestar.sources.tables import load
 
 RES = 9
@@ -78,3 +80,18 @@ def h3_pentagons(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("h3_cell_to_children", f"{CELLS} SELECT k, (cell & ~(15::BIGINT << 52) & ~(7::BIGINT << 15)) | (10::BIGINT << 52) | (d << 15) AS child FROM t, (SELECT UNNEST(range(7)) AS d) x")
 def h3_cell_to_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(spark, sf_dir).select("k", F.explode(h3.children(F.col("cell"), 10)).alias("child"))
+
+
+@query("h3_latlng_to_cell")
+def h3_latlng_to_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of points made from keys; every 17th point is NULL."""
+    ship(spark.sparkContext)
+    k = F.col("event_id")
+    lat, lng = F.when(k % 17 != 0, (k * 37 % 16900) / 100.0 - 84.5), (k * 101 % 35900) / 100.0 - 179.5
+    return load(spark, sf_dir, "events", "event_id").select(k.alias("k"), latlng_to_cell(lat, lng, 7).alias("cell"))
+
+
+@query("h3_latlng_count")
+def h3_latlng_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points grouped by cell."""
+    return h3_latlng_to_cell(spark, sf_dir).groupBy(h3.parent(F.col("cell"), 2).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
