@@ -32,9 +32,10 @@ from lodestar.llm.common import batch_of, crc_bucket, mapped, slices, table
 
 #: Labelled documents learned from at most, hashed features, weight of the prior, cost of a token, evidence of a passage.
 MOST, FEATURES, PRIOR, COST, SIGNIFICANT = 20_000, 1 << 18, 2000.0, 0.03, 0.0
-#: A word counts at most so often in a document; standard errors below which log-odds may be chance.
+#: A word counts at most so often in a document, as further repeats there say little; standard errors below which
+#: log-odds may be chance.
 #: Smaller log-odds tell languages and subjects apart rather than toxic words.
-OFTEN, CHANCE, MARGIN = 4, 4.0, 1.5
+OFTEN, CHANCE, MARGIN = 2, 4.0, 1.5
 WORDS = re.compile(r"\w+")
 BEGINNINGS = (4, 5, 6, 7, 8)
 
@@ -45,13 +46,18 @@ def features(word: str) -> list[int]:
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds of each feature between the words of two sets of documents and its z-score; the prior has each feature's overall share."""
+    """Log-odds of each feature between the words of two sets of documents, and the root of its likelihood ratio; the prior has each feature's overall share.
+
+    The ratio grows with the counts, also for features that one set lacks, where the log-odds' own variance is the prior's.
+    """
     both = n_toxic + n_clean
     share = np.minimum((toxic + clean + 0.01) / (both + 1), 0.999)
     a = prior * share
     p, q = toxic + a, clean + a
     delta = np.log(p / np.maximum(n_toxic + prior - p, 0.5)) - np.log(q / np.maximum(n_clean + prior - q, 0.5))
-    return delta, delta / np.sqrt(1 / p + 1 / q)
+    all_, part = toxic + clean, n_toxic / max(both, 1)
+    ratio = 2 * (toxic * np.log(np.maximum(toxic, 1e-9) / np.maximum(all_ * part, 1e-9)) + clean * np.log(np.maximum(clean, 1e-9) / np.maximum(all_ * (1 - part), 1e-9)))
+    return delta, np.sign(delta) * np.sqrt(np.maximum(ratio, 0))
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
