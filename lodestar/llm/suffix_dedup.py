@@ -31,6 +31,8 @@ from lodestar.llm.shingles import BASE, INVERSE, mix, powers
 
 #: Bytes of a passage, of a gram, of a block; segments of a key that one task compares; shards of a merge; bytes merged at once.
 LENGTH, GRAM, BLOCK, MANY, SHARDS, AT_ONCE = 400, 16, 16, 2048, 4, 3 << 20
+#: Bytes of text whose windows are cut into segments at once.
+STRETCH = 1 << 20
 SEGMENT = "key long, seg long, uid long, doc_id long, start int, windows int, anchor int"
 
 
@@ -92,16 +94,38 @@ def cut(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     return doc[start], start - begins[doc[start]], windows, anchor, hashes[at[start]].view(np.int64), whole.view(np.int64)
 
 
+def stretches(texts: list[bytes], length: int, most: int = 0) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Groups of parts of texts (text, offset, bytes) of about ``most`` bytes, so that memory does not follow the longest text.
+
+    Each window is in one part. A segment that is cut at a part's end is two of one key, which are compared as others are.
+    """
+    most = most or STRETCH
+    held: list[tuple[int, int, bytes]] = []
+    total = 0
+    for i, t in enumerate(texts):
+        for a in range(0, max(1, len(t) - length + 1), most):
+            part = t[a : a + most + length - 1]
+            if held and total + len(part) > most + length:
+                yield held
+                held, total = [], 0
+            held.append((i, a, part))
+            total += len(part)
+    if held:
+        yield held
+
+
 def segments(docs: DataFrame, length: int) -> DataFrame:
     """All segments of all texts."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs, ints = pa.int64(), pa.int32()
         schema = pa.schema([("key", longs), ("seg", longs), ("uid", longs), ("doc_id", longs), ("start", ints), ("windows", ints), ("anchor", ints)])
-        for batch in slices(batches, most=2 << 20):
-            text, start, windows, anchor, key, seg = cut([(t or "").encode() for t in batch.column("text").to_pylist()], length)
-            which = pa.array(text)
-            yield batch_of(schema, key, seg, batch.column("uid").take(which), batch.column("doc_id").take(which), start.astype(np.int32), windows.astype(np.int32), anchor.astype(np.int32))
+        for batch in slices(batches, most=STRETCH):
+            for group in stretches([(t or "").encode() for t in batch.column("text").to_pylist()], length):
+                rows, offsets, parts = zip(*group, strict=True)
+                text, start, windows, anchor, key, seg = cut(list(parts), length)
+                which, start = pa.array(np.array(rows)[text]), start + np.array(offsets)[text]
+                yield batch_of(schema, key, seg, batch.column("uid").take(which), batch.column("doc_id").take(which), start.astype(np.int32), windows.astype(np.int32), anchor.astype(np.int32))
 
     return mapped(docs, each, SEGMENT)
 

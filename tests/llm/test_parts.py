@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from lodestar.llm import bwt, chosen_path, fingerprints, matroska, packing, toxicity, warc
+from lodestar.llm import bwt, chosen_path, fingerprints, matroska, packing, suffix_dedup, toxicity, warc
 from lodestar.llm.automata import Automaton
 
 
@@ -133,3 +133,24 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
     got = chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).toPandas().set_index("doc_id").sort_index()
     assert (got.loc[:699, "component_id"] == 0).all()
     assert (got.loc[1000:, "kept"]).all()
+
+
+def test_stretches():
+    """Every window of every text is in one part."""
+    texts = [b"", b"abc", bytes(range(200)) * 3, b"x" * 50, bytes(range(100))]
+    seen = [(i, a + k) for group in suffix_dedup.stretches(texts, 10, 64) for i, a, p in group for k in range(max(0, len(p) - 9))]
+    assert sorted(seen) == [(i, k) for i, t in enumerate(texts) for k in range(max(0, len(t) - 9))]
+    assert len(seen) == len(set(seen))
+
+
+def test_segments_of_long_texts(spark):
+    """Repeats are found whole where texts are longer than a stretch."""
+    from tests.llm import brute
+    from tests.llm.conftest import prose
+
+    passage = prose(60_000, 11)
+    texts = [prose(70_000, 12) + passage + prose(1_000, 13), prose(90_000, 14) + passage[:400_000] + " end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: suffix_dedup.spans_of(r.text.encode(), r.runs, 400) for r in suffix_dedup.with_runs(docs, 400).collect()}
+    want = brute.removed(texts, 400)
+    assert [got[0], got[1]] == want and want[0]
