@@ -5,9 +5,11 @@ branch all nodes by selected minwise tokens: at a root by one or two minima of i
 of a minwise sketch that are drawn anew for each tree node. A tree node with few members is a leaf and is compared
 exhaustively by sketches there; a larger one is branched again, and near copies that stay together beyond that are dealt to
 random blocks with common pivots, anew in each tree, so no group is ever held whole. A leaf gives a forest of the links that
-the sketches leave possible, not all pairs. The forests of all trees join into clusters; within a cluster (or, if
-it is large, within each leaf that its members share) all links are decided on the full sets, and again only a forest of the
-confirmed links goes on. Components are labels spread over those forests.
+the sketches leave possible, not all pairs. The forests of all trees join into clusters; what the blocks left apart then
+meets every other member of its tree node, block against block. Within a cluster all links are decided on the full sets,
+and again only a forest of the confirmed links goes on. A large cluster is decided in the leaves that its members share,
+then against the members with the most links, and what is still apart from its largest component meets every other member,
+block against block. Components are labels spread over those forests.
 
 A pair at the threshold t meets at a root with probability 1 - (1 - t)^ROOTS; its sketch estimate may fall five standard
 errors below t.
@@ -144,7 +146,7 @@ def candidate_forest(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         for group in grouped(batches, "key"):
-            keys, ids = group.column("key").to_numpy(), group.column("node").to_numpy()
+            keys, ids = group.column("key").to_numpy(), group.column("part" if "part" in group.column_names else "node").to_numpy()
             sizes = group.column("n_shingles").to_numpy()
             marks = np.frombuffer(b"".join(group.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(ids), SKETCH)
             edges = np.concatenate([[0], np.nonzero(np.diff(keys))[0] + 1, [len(keys)]])
@@ -160,16 +162,18 @@ def candidate_forest(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
                 out += zip(ids[good].tolist(), ids[good + 1].tolist(), strict=True)
             for a, b in zip(edges[:-1][many > 2].tolist(), edges[1:][many > 2].tolist(), strict=True):
                 out += ((int(ids[a + x]), int(ids[a + y])) for x, y in forest(b - a, possible(marks[a:b], sizes[a:b], percent)))
-            if out:
-                yield batch_of(schema, *zip(*((min(p), max(p)) for p in out), strict=True))
+            if found := {(min(p), max(p)) for p in out if p[0] != p[1]}:
+                yield batch_of(schema, *zip(*sorted(found), strict=True))
 
     return compare
 
 
-def leaves(reps: DataFrame, what: str = "") -> list[DataFrame]:
-    """Members of all leaves of the trees (key, node, n_shingles, sketch), by depth; nodes alone in a tree node are in none."""
+def leaves(reps: DataFrame, what: str = "") -> tuple[list[DataFrame], DataFrame | None]:
+    """Members of all leaves of the trees (key, node, n_shingles, sketch), by depth; nodes alone in a tree node are in none.
+
+    Also the members of the tree nodes that were dealt to blocks, if there are any."""
     level = reps.select(F.explode("keys").alias("key"), "node", "n_shingles", "sketch")
-    out = []
+    out, crowded = [], None
     for depth in range(DEPTH + 2):
         # Written first, and merged even where small: only a merge join of two plain exchanges has a hot key's rows dealt to several tasks.
         counts = stored(level.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), f"counts{what}")
@@ -189,12 +193,46 @@ def leaves(reps: DataFrame, what: str = "") -> list[DataFrame]:
         else:
             # What agrees in so many tokens and still is large are near copies throughout: random blocks, each with the same
             # few pivots, which tie the blocks together. Each root's tree deals its blocks anew.
+            crowded = large.select("key", "node", "n_shingles", "sketch")
             blocks = F.ceil(F.col("members") / (LEAF - 2 * PIVOTS)).cast("int")
             pivot = F.pmod(F.xxhash64("node", "key", F.lit("pivot")), F.col("members")) < PIVOTS
             one = F.pmod(F.xxhash64("key", "node"), blocks).cast("int")
             to = F.transform(F.when(pivot, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(one)), lambda n: F.xxhash64("key", n))
         level = large.select(F.explode(to).alias("key"), "node", "n_shingles", "sketch")
-    return out
+    return out, crowded
+
+
+def across(members: DataFrame, what: str) -> DataFrame:
+    """Bounded units (unit, then the members' columns) in which each pair of a group meets unless both are of its largest part.
+
+    Members are key (of the group), part, node and n_shingles, and what else they have. Those outside the largest part are
+    dealt to blocks, all members to others, and each block of the former is a unit with each of the latter."""
+    columns = [c for c in members.columns if c != "key"]
+    parts = members.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
+    parts = stored(parts, f"parts{what}")
+    groups = parts.groupBy("key").agg(F.max(F.struct("n", "part")).alias("top"), F.max_by("w", F.struct("n", "part")).alias("top_w"), F.sum("n").alias("n"), F.sum("w").alias("w"))
+    blocks = lambda n, w: F.ceil(F.greatest(n / F.lit(LEAF / 2), w / F.lit(LARGE / 2))).cast("int")
+    groups = groups.where("n > top.n").select("key", F.col("top.part").alias("top"), blocks(F.col("n"), F.col("w")).alias("all_blocks"), blocks(F.col("n") - F.col("top.n"), F.col("w") - F.col("top_w")).alias("apart_blocks"))
+    dealt = members.join(stored(groups, f"groups{what}").hint("merge"), "key")
+    one = F.pmod(F.xxhash64("node", F.lit("all")), "all_blocks").cast("int")
+    other = F.pmod(F.xxhash64("node", F.lit("apart")), "apart_blocks").cast("int")
+    to = F.transform(F.sequence(F.lit(0), F.col("apart_blocks") - 1), lambda i: F.xxhash64("key", i, one))
+    more = F.transform(F.sequence(F.lit(0), F.col("all_blocks") - 1), lambda j: F.xxhash64("key", other, j))
+    to = F.when(F.col("part") != F.col("top"), F.array_union(to, more)).otherwise(to)
+    return dealt.select(F.explode(to).alias("unit"), *columns)
+
+
+def beside_hubs(large: DataFrame, sure: DataFrame) -> DataFrame:
+    """Units of the members of large clusters (label, node, rep, n_shingles, members, weight), each with members that have many links."""
+    degree = sure.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    linked = large.join(degree.hint("merge"), "node")
+    hubs = linked.groupBy("label", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("bucket")).agg(F.max(F.struct("degree", "node", "rep")).alias("hub"))
+    blocks = F.ceil(F.greatest(F.col("members") / F.lit(LEAF / 2), F.col("weight") / F.lit(LARGE / 2))).cast("int")
+    unit = F.xxhash64(F.lit("hubs"), "label", F.pmod(F.xxhash64("node", F.lit("all")), blocks).cast("int"))
+    sums = large.select("label", blocks.alias("blocks")).distinct()
+    again = hubs.join(sums, "label").select("label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "hub.node", "hub.rep")
+    again = again.select(F.xxhash64(F.lit("hubs"), "label", "block").alias("unit"), "node", "rep")
+    return large.select(unit.alias("unit"), "node", "rep").unionAll(again)
 
 
 def components(edges: DataFrame, what: str) -> DataFrame:
@@ -211,6 +249,14 @@ def components(edges: DataFrame, what: str) -> DataFrame:
             return labels
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """node, label after further links between labels, or nodes that had none."""
+    moved = components(links, "joined")
+    alone = moved.join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
+    least = moved.select(F.col("node").alias("label"), F.col("label").alias("least"))
+    return labels.unionAll(alone).join(least, "label", "left").select("node", F.coalesce("least", "label").alias("label"))
+
+
 def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """A forest of the links of some sets, decided on the full sets."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
@@ -243,26 +289,28 @@ def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 
 def confirmed(members: DataFrame, size: int, percent: int) -> DataFrame:
-    """A forest of the links within each unit; members are unit, node and a text of that node."""
+    """A forest of the links within each unit; members are unit, node and a text of that node, and its part if only links of parts are asked for."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-        def close(ids: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            if found := linked(sets, percent):
-                yield batch_of(schema, *zip(*((min(ids[x], ids[y]), max(ids[x], ids[y])) for x, y in found), strict=True))
+        def close(names: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            if found := {(min(names[x], names[y]), max(names[x], names[y])) for x, y in linked(sets, percent) if names[x] != names[y]}:
+                yield batch_of(schema, *zip(*sorted(found), strict=True))
 
-        unit, ids, sets = None, [], []
+        unit, ids, names, sets = None, [], [], []
         for batch in slices(batches):
             hashed = shingles([(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()], size)
-            for u, node, s in zip(batch.column("unit").to_pylist(), batch.column("node").to_pylist(), hashed, strict=True):
+            parts = batch.column("part" if "part" in batch.schema.names else "node").to_pylist()
+            for u, node, part, s in zip(batch.column("unit").to_pylist(), batch.column("node").to_pylist(), parts, hashed, strict=True):
                 if u != unit:
-                    yield from close(ids, sets)
-                    unit, ids, sets = u, [], []
+                    yield from close(names, sets)
+                    unit, ids, names, sets = u, [], [], []
                 if name(s) == node and (not ids or ids[-1] != node):
                     ids.append(node)
+                    names.append(part)
                     sets.append(s)
-        yield from close(ids, sets)
+        yield from close(names, sets)
 
     dealt = members.repartition(partitions_of(members.sparkSession), "unit").sortWithinPartitions("unit", "node")
     return mapped(dealt, compare, "a long, b long")
@@ -274,27 +322,47 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     found = stored(nodes(docs, size), "sets")
     reps = found.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
     reps = stored(reps, "nodes")
-    levels = leaves(reps)
-    links = None
-    for leaf in levels:
+    levels, crowded = leaves(reps)
+
+    def possible_links(leaf: DataFrame) -> DataFrame:
         dealt = leaf.repartition(partitions_of(docs.sparkSession), "key").sortWithinPartitions("key")
-        some = mapped(dealt, candidate_forest(percent), "a long, b long").distinct()
-        links = some if links is None else links.unionAll(some)
+        return mapped(dealt, candidate_forest(percent), "a long, b long").distinct()
+
+    links = possible_links(levels[0])
+    for leaf in levels[1:]:
+        links = links.unionAll(possible_links(leaf))
     clusters = components(links, "clusters")
+    if crowded is not None:
+        parted = crowded.join(clusters.hint("merge"), "node", "left").withColumn("part", F.coalesce("label", "node")).drop("label")
+        again = stored(possible_links(across(stored(parted, "crowded"), "-crowded").withColumnRenamed("unit", "key")), "possible")
+        if not again.isEmpty():
+            clusters = stored(joined(clusters, again), "clusters")
     sized = clusters.join(reps.select("node", "rep", "n_shingles"), "node")
     sums = sized.groupBy("label").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("weight"))
     sized = stored(sized.join(sums, "label").withColumn("whole", (F.col("members") <= LEAF) & (F.col("weight") <= LARGE)), "clusters")
-    # A cluster is one unit; members of a large one meet in the leaves they share instead.
+    # A cluster is one unit; members of a large one meet in the leaves they share instead, and then across those.
     units = sized.where("whole").select(F.col("label").alias("unit"), "node", "rep")
-    large = sized.where("NOT whole").select("node", "rep", "label")
+    large = sized.where("NOT whole")
     split = not large.isEmpty()
     if split:
         for leaf in levels:
-            units = units.unionAll(leaf.join(large, "node").select(F.xxhash64("key", "label").alias("unit"), "node", "rep"))
-    # Merged at every size: the plan of a small input is that of a large one.
-    texts = docs.join(units.hint("merge"), docs.doc_id.eqNullSafe(units.rep)).select("unit", "node", "text")
-    sure = confirmed(texts, size, percent)
+            units = units.unionAll(leaf.join(large.select("node", "rep", "label"), "node").select(F.xxhash64("key", "label").alias("unit"), "node", "rep"))
+
+    def sure_links(units: DataFrame) -> DataFrame:
+        # Merged at every size: the plan of a small input is that of a large one.
+        texts = docs.join(units.hint("merge"), docs.doc_id.eqNullSafe(units.rep)).select("unit", "node", *(c for c in units.columns if c == "part"), "text")
+        return confirmed(texts, size, percent)
+
+    sure = sure_links(units)
+    if split:
+        sure = stored(sure, "sure")
+        sure = sure.unionAll(stored(sure_links(beside_hubs(large, sure)), "sure"))
     labels = components(sure, "links")
+    if split:
+        parted = large.select(F.col("label").alias("key"), "node", "rep", "n_shingles").join(labels.hint("merge"), "node", "left").withColumn("part", F.coalesce("label", "node")).drop("label")
+        again = stored(sure_links(across(stored(parted, "parted"), "-parted").select("unit", "node", "rep", "part")), "sure")
+        if not again.isEmpty():
+            labels = stored(joined(labels, again), "links")
     first = labels.join(reps.select("node", "rep"), "node")
     named = first.groupBy("label").agg(F.min("rep").alias("least"))
     classes = first.join(named, "label").select("node", "least")

@@ -135,6 +135,31 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
     assert (got.loc[1000:, "kept"]).all()
 
 
+def edits(shape: str, n: int, seed: int, changes: int = 5) -> list[tuple[int, str]]:
+    """Texts that differ from one base (star) or from any earlier text (tree) in some words each."""
+    r = random.Random(seed)
+    made = [[f"w{i}" for i in range(200)]]
+    for i in range(1, n):
+        words = list(made[0 if shape == "star" else r.randrange(i)])
+        for k in r.sample(range(len(words) // 4), changes):
+            words[4 * k + 1] = f"x{i}-{k}"
+        made.append(words)
+    ids = list(range(n))
+    r.shuffle(ids)  # the base has any id
+    return [(i, " ".join(words)) for i, words in zip(ids, made, strict=True)]
+
+
+@pytest.mark.parametrize("shape", ["star", "tree"])
+def test_large_groups_with_few_links(spark, monkeypatch, shape):
+    """In groups beyond a leaf also members with a single link are joined."""
+    from tests.llm import brute
+
+    monkeypatch.setattr(chosen_path, "LEAF", 120)
+    rows = edits(shape, 1200 if shape == "star" else 700, 4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    brute.same(chosen_path.near_duplicates(docs, 3, 85).toPandas(), brute.near_duplicates(docs.toPandas(), 3, 85))
+
+
 def test_stretches():
     """Every window of every text is in one part."""
     texts = [b"", b"abc", bytes(range(200)) * 3, b"x" * 50, bytes(range(100))]
