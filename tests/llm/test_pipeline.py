@@ -36,3 +36,13 @@ def test_stages(spark, edge_dir, edge_docs, tmp_path):
 def test_run(spark, sf_dir, empty_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 100
     assert corpus_pipeline.run(spark, empty_dir).count() == 0
+
+
+def test_near_stage_of_a_large_group(spark, monkeypatch, tmp_path):
+    """Independent edits of one base go, however many they are."""
+    from lodestar.llm import chosen_path
+    from tests.llm.test_parts import edits
+
+    monkeypatch.setattr(chosen_path, "LEAF", 120)
+    docs = spark.createDataFrame(edits("star", 1200, 4, 4), "doc_id long, text string").repartition(4)
+    assert [r.doc_id for r in chosen_path.near_stage(spark, docs, "").select("doc_id").collect()] == [0]
