@@ -153,14 +153,18 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no language: null texts, texts without a letter. All others stay, whatever their score."""
+    """Drops documents in no language: null texts, texts without a letter. All others stay: the prediction rejects nothing else, and with no language to learn nothing else goes."""
     prepare(spark)
     model = learn(docs)
     kept = docs.schema
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            names, _ = predict(batch.column("text").to_pylist(), model)
+            texts = batch.column("text").to_pylist()
+            if model is None:
+                yield batch.filter(pa.array([t is not None and LETTER.search(t) is not None for t in texts]))
+                continue
+            names, _ = predict(texts, model)
             yield batch.filter(pa.array([n != UNKNOWN for n in names]))
 
     return mapped(docs, each, kept)

@@ -46,3 +46,11 @@ def test_near_stage_of_a_large_group(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(chosen_path, "LEAF", 120)
     docs = spark.createDataFrame(edits("star", 1200, 4, 4), "doc_id long, text string").repartition(4)
     assert [r.doc_id for r in chosen_path.near_stage(spark, docs, "").select("doc_id").collect()] == [0]
+
+
+def test_language_stage_without_languages(spark):
+    """With no language to learn, only null texts and those without a letter go."""
+    from lodestar.llm import language_id
+
+    docs = spark.createDataFrame([(1, "some words", None), (2, None, None), (3, "12 !", None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in language_id.language_stage(spark, docs, "").collect()] == [1]
