@@ -2,7 +2,8 @@
 
 The rules' regular expressions are compiled on the driver by subset construction and minimisation into transition arrays
 (their size depends on the rules only). The scan gives the places where matches end; the line around such a place is then
-read with the rule's own expression, as no rule crosses a line, for its leftmost matches that do not overlap.
+read with the rule's own expression, as no rule crosses a line, for its leftmost matches that do not overlap. The span of a
+private key goes on to its END line, or without one to the last base64 line that follows.
 
 Edge cases: a null or empty text has no spans; text of any length is scanned whole; equal rows give equal results; an empty
 table gives an empty result; further columns are ignored.
@@ -39,6 +40,19 @@ MORE = (
 RULES = BASE + MORE
 
 
+#: Lines of a key without an END line: headers and blank lines, base64, a last padded line that may be shorter.
+LINE = rb"[\x20\t\r]*\n[\x20\t]*"
+BODY = re.compile(rb"(?:(?:" + LINE + rb"(?:[A-Za-z\-]+:\x20[^\n]*|(?=[\r\n])))*(?:" + LINE + rb"[A-Za-z0-9+/=]{40,})+(?:" + LINE + rb"[A-Za-z0-9+/]{2,}={1,2}(?=[\x20\t\r]*(?:\n|\Z)))?)?")
+
+
+def key_end(joined: bytes, begin: re.Match, high: int) -> int:
+    """Where the key ends whose BEGIN mark was found, in a text that ends at ``high``."""
+    following = joined.find(b"-----BEGIN ", begin.end(), high)
+    mark = begin[0].replace(b"BEGIN", b"END", 1)
+    at = joined.find(mark, begin.end(), high if following < 0 else following)
+    return at + len(mark) if at >= 0 else BODY.match(joined, begin.end(), high).end()
+
+
 @cache
 def automaton() -> Automaton:
     return Automaton([r[1] for r in RULES])
@@ -66,7 +80,8 @@ def find(texts: list[bytes], scanner: Automaton) -> list[list[tuple[int, int, in
             doc = int(np.searchsorted(starts, low, side="right")) - 1
             for m in read.finditer(joined, low, high):
                 if len(m[m.re.groups]) >= RULES[k][3]:
-                    found[doc].append((k, m.start() - int(starts[doc]), m.end() - int(starts[doc])))
+                    until = key_end(joined, m, int(starts[doc + 1]) - 1) if RULES[k][0] == "private_key" else m.end()
+                    found[doc].append((k, m.start() - int(starts[doc]), until - int(starts[doc])))
             done[k] = high
     return found
 

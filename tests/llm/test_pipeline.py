@@ -54,3 +54,14 @@ def test_language_stage_without_languages(spark):
 
     docs = spark.createDataFrame([(1, "some words", None), (2, None, None), (3, "12 !", None)], "doc_id long, text string, lang string")
     assert [r.doc_id for r in language_id.language_stage(spark, docs, "").collect()] == [1]
+
+
+def test_private_keys_go_whole(spark):
+    """The body of a key goes with its BEGIN line, with or without an END line; what follows and the next text stay."""
+    from lodestar.llm import secrets
+
+    body = ("QUJD" * 16 + "\n") * 3
+    texts = [f"a\n-----BEGIN RSA PRIVATE KEY-----\n{body}QUI=\n-----END RSA PRIVATE KEY-----\nb", f"a\n-----BEGIN PRIVATE KEY-----\n{body}QUI=\nb", "-----BEGIN PRIVATE KEY-----\nNote: words", body]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long").coalesce(1)
+    got = [r.text for r in secrets.redact_stage(spark, docs, "").orderBy("doc_id").collect()]
+    assert got == ["a\n[private_key]\nb", "a\n[private_key]\nb", "[private_key]\nNote: words", body]
