@@ -6,7 +6,7 @@ the largest free room below each node, so the first bin with room is found in lo
 and no shuffle; only short rows about pieces are shuffled.
 
 Edge cases: a null or empty text is its end id alone; equal rows are packed each on its own; ties in length go by the rows'
-order; an empty table gives an empty result; further columns are ignored.
+order; ids stay whole beside null ones; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,15 +108,14 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, gr
     rows = docs.count()
     groups = max(1, -(-rows // group))
 
-    def fill(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["draw"], kind="stable").reset_index(drop=True)
-        placed = np.array(first_fit_decreasing(frame["length"].tolist(), length), dtype=np.int64)
-        frame["sequence_id"] = frame["g"].astype("int64") * (1 << 32) + placed[:, 0]
-        frame["offset"] = placed[:, 1]
-        return frame[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
+    def fill(piece: pa.Table) -> pa.Table:
+        piece = piece.take(pa.compute.sort_indices(piece, sort_keys=[("draw", "ascending")]))
+        placed = np.array(first_fit_decreasing(piece.column("length").to_pylist(), length), dtype=np.int64)
+        sequence = placed[:, 0] + piece.column("g").to_numpy() * (1 << 32)
+        return piece.drop_columns(["draw", "g"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(placed[:, 1]))
 
     dealt = pieces(docs, tokenizer, length, end_id, seed).withColumn("g", F.col("draw") % groups)
-    return dealt.groupBy("g").applyInPandas(fill, PACKED)
+    return dealt.groupBy("g").applyInArrow(fill, PACKED)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
