@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import batch_of, mapped, partitions_of, prepare, slices, stored, table
+from lodestar.llm.common import batch_of, fresh, mapped, partitions_of, prepare, slices, stored, table
 from lodestar.llm.shingles import mix, shingles
 
 #: Minima that the roots of all trees branch by, trees, sketch positions, members of a leaf, branches below a root.
@@ -71,10 +71,11 @@ def root_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def nodes(docs: DataFrame, size: int) -> DataFrame:
-    """Of each document: the number of its shingles, the node of its set (null if empty), its sketch and root keys."""
+    """Of each document (its columns but the text, longs): the number of its shingles, the node of its set (null if empty), its sketch and root keys."""
+    rest = [c for c in docs.columns if c != "text"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary()), ("keys", pa.list_(pa.int64()))])
+        schema = pa.schema([*((c, pa.int64()) for c in rest), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary()), ("keys", pa.list_(pa.int64()))])
         for batch in slices(batches):
             sets = shingles([(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()], size)
             full = [i for i, s in enumerate(sets) if len(s)]
@@ -82,9 +83,9 @@ def nodes(docs: DataFrame, size: int) -> DataFrame:
             found = root_keys([sets[i] for i in full]).tolist() if full else []
             for i, k in zip(full, found, strict=True):
                 node[i], marks[i], keys[i] = name(sets[i]), sketch(sets[i]), k
-            yield batch_of(schema, batch.column("doc_id"), [len(s) for s in sets], node, marks, keys)
+            yield batch_of(schema, *(batch.column(c) for c in rest), [len(s) for s in sets], node, marks, keys)
 
-    return mapped(docs.select("doc_id", "text"), each, "doc_id long, n_shingles long, node long, sketch binary, keys array<long>")
+    return mapped(docs, each, "".join(f"{c} long, " for c in rest) + "n_shingles long, node long, sketch binary, keys array<long>")
 
 
 def name(hashes: np.ndarray) -> int:
@@ -318,8 +319,15 @@ def confirmed(members: DataFrame, size: int, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links) and kept (whether that is its own)."""
-    docs = docs.select("doc_id", "text")
+    out = grouped_rows(docs.select("doc_id", "text"), size, percent)
+    return out.select("doc_id", "n_shingles", "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def grouped_rows(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """All columns of each row but its text, n_shingles, cluster (the node that names its group, null without words) and component_id."""
     found = stored(nodes(docs, size), "sets")
+    rest = [c for c in docs.columns if c != "text"]
+    docs = docs.select("doc_id", "text")
     reps = found.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
     reps = stored(reps, "nodes")
     levels, crowded = leaves(reps)
@@ -365,10 +373,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             labels = stored(joined(labels, again), "links")
     first = labels.join(reps.select("node", "rep"), "node")
     named = first.groupBy("label").agg(F.min("rep").alias("least"))
-    classes = first.join(named, "label").select("node", "least")
-    mapping = reps.select("node", "rep").join(classes, "node", "left").select("node", F.coalesce("least", "rep").alias("component"))
-    out = found.select("doc_id", "n_shingles", "node").join(mapping, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    classes = first.join(named, "label").select("node", "least", "label")
+    mapping = reps.select("node", "rep").join(classes, "node", "left").select("node", F.coalesce("least", "rep").alias("component"), F.coalesce("label", "node").alias("cluster"))
+    out = found.select(*rest, "n_shingles", "node").join(mapping, "node", "left")
+    return out.select(*rest, "n_shingles", "cluster", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -376,8 +384,16 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, 0.8) stays: that with the least doc_id. Rows without one stay too."""
+    """One document of each group of near duplicates (five-word shingles, 0.8) stays: that with the least doc_id.
+
+    Rows without an id stay too. Rows that share an id are told apart by their texts: equal ones are one document, others stay
+    or go each by its own group, and the text with the least hash stays where a group's least id has several.
+    """
     prepare(spark)
-    keep = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    one = docs.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    uid = fresh(docs, "uid")
+    keyed = docs.withColumn(uid, F.xxhash64("text"))
+    rows = grouped_rows(keyed.select("doc_id", "text", F.col(uid).alias("uid"))).where("doc_id IS NOT NULL")
+    first = rows.where("cluster IS NOT NULL").groupBy("cluster").agg(F.min(F.struct("doc_id", "uid")).alias("one")).select("one.*")
+    keep = first.unionAll(rows.where("cluster IS NULL").select("doc_id", "uid").distinct()).withColumnRenamed("uid", uid)
+    one = keyed.where("doc_id IS NOT NULL").join(keep, ["doc_id", uid], "left_semi").dropDuplicates(["doc_id", uid]).select(docs.columns)
     return one.unionAll(docs.where("doc_id IS NULL"))
