@@ -26,12 +26,12 @@ TRACK, AUDIO, GROUP, CUE_POINT, CUE_PLACE = 0xAE, 0xE1, 0xA0, 0xBB, 0xB7
 SCALE, DURATION, NUMBER, UID, KIND, CODEC, LACED, DEFAULT = 0x2AD7B1, 0x4489, 0xD7, 0x73C5, 0x83, 0x86, 0x9C, 0x23E383
 RATE, CHANNELS, DEPTH, TIME, SIMPLE, BLOCK, LASTS = 0xB5, 0x9F, 0x6264, 0xE7, 0xA3, 0xA1, 0x9B
 CUE_TIME, CUE_TRACK, CUE_CLUSTER = 0xB3, 0xF7, 0xF1
-MASTERS = {EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES, TRACK, AUDIO, GROUP, CUE_POINT, CUE_PLACE}
+ENCODINGS, ENCODING, ENCODING_KIND, ENCODING_SCOPE, COMPRESSION, ALGORITHM, SETTINGS = 0x6D80, 0x6240, 0x5033, 0x5032, 0x5034, 0x4254, 0x4255
 #: What may follow a cluster of unknown size.
 TOP = {SEEK_HEAD, INFO, TRACKS, CLUSTER, CUES, 0x1941A469, 0x1043A770, 0x1254C367}
 #: Samples of a frame, frames of a block, blocks of a cluster, samples a second.
 FRAME, LACE, BLOCKS, HERTZ = 576, 8, 32, 8000
-PACKET = "track long, cluster long, timestamp_ns long, duration_ns long, start long, size long, keyframe boolean, cued boolean"
+PACKET = "track long, cluster long, timestamp_ns long, duration_ns long, start long, size long, keyframe boolean, cued boolean, prefix binary, stored boolean"
 
 
 def size_of(n: int, width: int = 0) -> bytes:
@@ -96,7 +96,30 @@ def write(payload: bytes) -> bytes:
 
 
 class Malformed(ValueError):
-    """The bytes are not a Matroska file, or end too soon."""
+    """The bytes are not a Matroska file, end too soon, or hold numbers beyond 64 bits."""
+
+
+def stripped(data: bytes, elements_of: list[tuple[int, int, int, int]]) -> bytes | None:
+    """What a track's content encodings strip from the front of each frame: no bytes without any, None if frames are changed otherwise."""
+    out = b""
+    for name, _, a, b in elements_of:
+        if name != ENCODING:
+            continue
+        kind, algorithm, settings, scope = 0, None, b"", 1
+        for k, _, x, y in elements(data, a, b):
+            if k == ENCODING_KIND:
+                kind = int.from_bytes(data[x:y], "big")
+            elif k == ENCODING_SCOPE:
+                scope = int.from_bytes(data[x:y], "big")
+            elif k == COMPRESSION:
+                algorithm = 0
+                for f, _, u, v in elements(data, x, y):
+                    algorithm = int.from_bytes(data[u:v], "big") if f == ALGORITHM else algorithm
+                    settings = data[u:v] if f == SETTINGS else settings
+        if kind or algorithm != 3:
+            return None
+        out = settings + out if scope & 1 else out
+    return out
 
 
 def vint(data: bytes, at: int, marked: bool = False) -> tuple[int, int]:
@@ -203,11 +226,13 @@ def read(data: bytes) -> dict:
         elif name == TRACKS:
             for k, _, x, y in elements(data, a, b):
                 if k == TRACK:
-                    t = {"number": 0, "codec": "", "type": 0, "frame_ns": 0, "rate": 0.0, "channels": 1, "depth": 0}
+                    t = {"number": 0, "codec": "", "type": 0, "frame_ns": 0, "rate": 0.0, "channels": 1, "depth": 0, "prefix": b""}
                     for f, _, u, v in elements(data, x, y):
                         if f == AUDIO:
                             for g, _, p, q in elements(data, u, v):
                                 t |= {RATE: {"rate": floating(p, q)}, CHANNELS: {"channels": uint(p, q)}, DEPTH: {"depth": uint(p, q)}}.get(g, {})
+                        elif f == ENCODINGS:
+                            t["prefix"] = stripped(data, list(elements(data, u, v)))
                         else:
                             t |= {NUMBER: {"number": uint(u, v)}, KIND: {"type": uint(u, v)}, DEFAULT: {"frame_ns": uint(u, v)}}.get(f, {}) | ({"codec": data[u:v].decode("ascii", "replace")} if f == CODEC else {})
                     tracks[t["number"]] = t
@@ -243,11 +268,18 @@ def read(data: bytes) -> dict:
                 key = not referred if name == GROUP else bool(flags & 0x80)
                 for i, (at, size) in enumerate(frames):
                     packets.append((track, k, when + i * each, each, at, size, key, (track, start) in cued))
-    return {"scale": scale, "duration_ns": int(duration * scale), "tracks": tracks, "packets": packets, "cues": cues, "clusters": len(clusters)}
+    duration *= scale
+    if not 0 <= duration < 1 << 63 or any(not -(1 << 63) <= n < 1 << 63 for p in packets for n in p[:6]):  # NaN fails too
+        raise Malformed("a time or number is beyond 64 bits")
+    return {"scale": scale, "duration_ns": int(duration), "tracks": tracks, "packets": packets, "cues": cues, "clusters": len(clusters)}
 
 
 def packets(df: DataFrame, key: str, media: str) -> DataFrame:
-    """One row per packet of each file in a binary column, with the key of its row; a malformed or null file gives one row with an error."""
+    """One row per packet of each file in a binary column, with the key of its row; a malformed or null file gives one row with an error.
+
+    A frame is ``prefix`` (what its track strips from all frames) and the bytes of the range; ``stored`` is false where the
+    track's frames are compressed or encrypted, so that the range is not the frame itself.
+    """
     kind = df.schema[key].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,11 +288,13 @@ def packets(df: DataFrame, key: str, media: str) -> DataFrame:
             keys, out = batch.column(key), []
             for i, data in enumerate(batch.column(media).to_pylist()):
                 try:
-                    out += [(i, *p, None) for p in read(data or b"")["packets"]]
+                    found = read(data or b"")
+                    front = {n: t["prefix"] for n, t in found["tracks"].items()}
+                    out += [(i, *p, front.get(p[0], b"") or b"", front.get(p[0], b"") is not None, None) for p in found["packets"]]
                 except Malformed as e:
-                    out.append((i, *[None] * 8, str(e)))
-            which, *columns = zip(*out, strict=True) if out else ((),) * 10
-            schema = pa.schema([(key, keys.type), *((n, pa.int64()) for n in names), ("keyframe", pa.bool_()), ("cued", pa.bool_()), ("error", pa.string())])
+                    out.append((i, *[None] * 10, str(e)))
+            which, *columns = zip(*out, strict=True) if out else ((),) * 12
+            schema = pa.schema([(key, keys.type), *((n, pa.int64()) for n in names), ("keyframe", pa.bool_()), ("cued", pa.bool_()), ("prefix", pa.binary()), ("stored", pa.bool_()), ("error", pa.string())])
             yield batch_of(schema, keys.take(pa.array(which, type=pa.int64())), *columns)
 
     return mapped(df.select(key, media), rows, f"{key} {kind}, {PACKET}, error string")
