@@ -23,9 +23,12 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import batch_of, mapped, partitions_of, slices, table
 from lodestar.llm.shingles import shingles
+from lodestar.operators.joins import estimated_bytes
 
 #: Hashes of a sketch, bits of a hash, words of a shingle.
 K, BITS, WORDS = 128, 48, 5
+#: Bytes of documents in a range.
+RANGE = 256 << 20
 
 
 def sketches(texts: list[str], k: int = K) -> list[np.ndarray]:
@@ -106,13 +109,15 @@ def merged(prints: DataFrame, key: str, k: int = K, held: int = 20_000) -> DataF
     return some.repartition(partitions_of(prints.sparkSession), key).sortWithinPartitions(key).mapInArrow(partial, some.schema)
 
 
-def neighbours(docs: DataFrame, spread: int = 4) -> DataFrame:
-    """Documents dealt to ranges of doc_id in column ``part``; each range also gets, with ``extra``, the document after its last one.
+def neighbours(docs: DataFrame) -> DataFrame:
+    """Documents in column ``part`` by ranges of doc_id, sorted in each; a range also gets, with ``extra``, the document after its last one.
 
-    The ranges' bounds are as many as partitions and come from the ids alone. Only the first document of each range is sent twice.
+    The ranges' bounds come from the ids alone; there are as many as shuffle partitions, or more where the table's estimated
+    size asks for it. Only the first document of each range is sent twice. Ranges are read as streams, so a range with a hot
+    id may be of any size.
     """
     spark = docs.sparkSession
-    parts = spread * partitions_of(spark)
+    parts = max(partitions_of(spark), estimated_bytes(docs) // RANGE)
     bounds = np.array(sorted(set(docs.select("doc_id").where("doc_id IS NOT NULL").stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) or [])))
 
     @F.pandas_udf("int")
@@ -124,14 +129,13 @@ def neighbours(docs: DataFrame, spread: int = 4) -> DataFrame:
     ids = docs.select("doc_id", range_of("doc_id").alias("part"))
     first = {r.part: r.first for r in ids.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first")).collect()}
     held = sorted(first)
-    # The first document of a range goes to the range before it too, that of the first range to the last.
-    copies = [(first[p].doc_id, held[i - 1], int(i == 0)) for i, p in enumerate(held)]
-    more = F.broadcast(spark.createDataFrame(copies, "doc_id long, before int, wraps int")) if copies else None
     dealt = docs.select("doc_id", "text", range_of("doc_id").alias("part"), F.lit(0).alias("extra"))
-    if more is None:
-        return dealt
-    again = docs.alias("d").join(more.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id"))).select("d.doc_id", "d.text", F.col("m.before").alias("part"), (F.col("m.wraps") + 1).alias("extra"))
-    return dealt.unionAll(again)
+    if held:
+        # The first document of a range goes to the range before it too, that of the first range to the last.
+        more = F.broadcast(spark.createDataFrame([(first[p].doc_id, held[i - 1]) for i, p in enumerate(held)], "id long, before int"))
+        again = docs.join(more, F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "text", F.col("before").alias("part"), F.lit(1).alias("extra"))
+        dealt = dealt.unionAll(again)
+    return dealt.repartition(parts, "part").sortWithinPartitions("part", "extra", "doc_id", F.coalesce("text", F.lit("")))
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -140,20 +144,29 @@ RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's sketch beside that of its edited text and of the next document."""
 
-    def compare(group: pa.Table) -> pa.Table:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((n, pa.string()) for n in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-        rows = sorted(zip(group.column("extra").to_pylist(), group.column("doc_id").to_pylist(), group.column("text").to_pylist(), strict=True), key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2] or ""))
-        own = sum(r[0] == 0 for r in rows)
-        out, was, total = [], 0, 0
-        for i in range(own + 1):
-            if i == own or total > 4 << 20:
-                out += compared([r[2] or "" for r in rows[was : i + 1]], i - was) if i > was else []
-                was, total = i, 0
-            total += len(rows[min(i, len(rows) - 1)][2] or "")
-        return pa.Table.from_batches([batch_of(schema, [r[1] for r in rows[:own]], *zip(*out, strict=True))] if out else [], schema=schema)
+        ids, texts, total = [], [], 0
+
+        def close(after: list[str]) -> pa.RecordBatch:
+            return batch_of(schema, ids[: len(texts) - 1 + len(after)], *zip(*compared(texts + after, len(texts) - 1 + len(after)), strict=True))
+
+        for batch in slices(batches):
+            for extra, doc, text in zip(*(batch.column(c).to_pylist() for c in ("extra", "doc_id", "text")), strict=True):
+                if extra:  # what follows the range; of equal ids the first
+                    if texts:
+                        yield close([text or ""])
+                        ids, texts, total = [], [], 0
+                    continue
+                ids.append(doc)
+                texts.append(text or "")
+                total += len(texts[-1])
+                if total > 4 << 20 and len(texts) > 1:
+                    yield close([])
+                    ids, texts, total = ids[-1:], texts[-1:], len(texts[-1])
 
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return neighbours(docs).groupBy("part").applyInArrow(compare, RESULT)
+    return mapped(neighbours(docs), compare, RESULT)
 
 
 def compared(texts: list[str], n: int) -> list[tuple]:
