@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -31,12 +33,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only where none is set and all runs in one process, as in tests."""
     try:
         found = spark.conf.get("spark.checkpoint.dir")
-    except Exception:  # not set: a single machine, as in tests
+    except Exception:  # not set
         found = None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = getattr(spark.sparkContext, "_lodestar_dir", None) or tempfile.mkdtemp(prefix="lodestar-shared-")
         spark.sparkContext._lodestar_dir = found
     return found
@@ -51,13 +55,45 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """Writes a table in the shared folder and reads it back: the lineage is cut, and a lost executor costs nothing already written."""
+    """Writes a table in the shared folder and reads it back: the lineage is cut, and a lost executor costs nothing already written.
+
+    The tables stay until ``dropped`` or the end of the session, as results read them when they are used.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestar-{what}-{uuid.uuid4().hex}"
+    held(spark).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(spark: SparkSession) -> list[str]:
+    """Paths of the tables stored in this session and not deleted yet; what is left at the driver's end is deleted then."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_lodestar_held"):
+        sc._lodestar_held = []
+        atexit.register(ended, spark)
+    return sc._lodestar_held
+
+
+def ended(spark: SparkSession) -> None:
+    """Deletes what is left, if the session still runs; a store that can't be reached any more keeps it."""
+    with contextlib.suppress(Exception):
+        if spark.sparkContext._jsc is not None:
+            dropped(spark, 0)
+
+
+def dropped(spark: SparkSession, since: int, but: DataFrame | None = None) -> None:
+    """Deletes the tables stored since that many were held, but for those that a table reads."""
+    kept = {f"/{f.rsplit('/', 2)[-2]}" for f in but.inputFiles()} if but is not None else set()
+    own = held(spark)
+    jvm = spark._jvm
+    for path in own[since:]:
+        if not any(path.endswith(k) for k in kept):
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            own.remove(path)
+
+
 def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
