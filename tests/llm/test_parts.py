@@ -179,3 +179,53 @@ def test_segments_of_long_texts(spark):
     got = {r.doc_id: suffix_dedup.spans_of(r.text.encode(), r.runs, 400) for r in suffix_dedup.with_runs(docs, 400).collect()}
     want = brute.removed(texts, 400)
     assert [got[0], got[1]] == want and want[0]
+
+
+def thue_morse(n: int, first: str = "a", second: str = "b") -> str:
+    return "".join((first, second)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_fool_sums_of_powers():
+    """Thue-Morse words and their complements are different words; a word's hash does not depend on where it stands."""
+    from lodestar.llm.shingles import shingles, words
+
+    texts = [w.encode() for n in (1, 7, 8, 9, 16, 64, 1024, 4096) for w in (thue_morse(n), thue_morse(n, "b", "a"), thue_morse(n) + "\x00", "x" * n)]
+    hashes, at = words(texts)
+    assert len(set(hashes.tolist())) == len(texts) == len(at) - 1
+    again, _ = words([b"  one\n" + t + b"\tTWO" for t in texts])
+    assert again[1::3].tolist() == hashes.tolist()
+    a, b = shingles([b"a b " + texts[-4] + b" c d", b"a b " + texts[-3] + b" c d"], 3)
+    assert not set(a.tolist()) & set(b.tolist())
+
+
+def changed(media: bytes, name: bytes, value: bytes) -> bytes:
+    """A file whose element of eight bytes has another value."""
+    at = media.index(name + b"\x88") + len(name) + 1
+    return media[:at] + value + media[at + 8 :]
+
+
+def test_media_with_numbers_beyond_bounds(spark):
+    import struct
+
+    good = matroska.write(b"x" * 576)
+    rows = [(i, changed(good, b"\x44\x89", struct.pack(">d", x))) for i, x in enumerate((float("nan"), float("inf"), -1.0, 1e300))]
+    late = good.replace(matroska.number(matroska.TIME, 0), matroska.element(matroska.TIME, b"\xff"), 1)
+    got = matroska.packets(spark.createDataFrame([*rows, (8, late), (9, good)], "k long, m binary"), "k", "m").toPandas().set_index("k")
+    assert got.loc[[0, 1, 2, 3], "error"].notna().all() and got.loc[9, "error"] is None
+    many = matroska.element(matroska.TIME, b"\xff" * 8)
+    huge = matroska.element(matroska.EBML, b"") + matroska.element(matroska.SEGMENT, matroska.element(matroska.CLUSTER, many + matroska.element(matroska.SIMPLE, b"\x81\x00\x00\x80x")))
+    with pytest.raises(matroska.Malformed):
+        matroska.read(huge)
+
+
+def test_stripped_headers(spark):
+    """Bytes that a track strips from its frames are given beside their ranges."""
+    m = matroska
+    packing_ = m.element(m.ENCODINGS, m.element(m.ENCODING, m.element(m.COMPRESSION, m.number(m.ALGORITHM, 3) + m.element(m.SETTINGS, b"HEAD"))))
+    zipped = m.element(m.ENCODINGS, m.element(m.ENCODING, m.element(m.COMPRESSION, m.number(m.ALGORITHM, 0))))
+    tracks = m.element(m.TRACKS, m.element(m.TRACK, m.number(m.NUMBER, 1) + packing_) + m.element(m.TRACK, m.number(m.NUMBER, 2) + zipped) + m.element(m.TRACK, m.number(m.NUMBER, 3)))
+    blocks = b"".join(m.element(m.SIMPLE, bytes([0x80 | t]) + b"\x00\x00\x80" + b"body") for t in (1, 2, 3))
+    media = m.element(m.EBML, b"") + m.element(m.SEGMENT, tracks + m.element(m.CLUSTER, m.number(m.TIME, 0) + blocks))
+    got = m.packets(spark.createDataFrame([(1, media)], "k long, m binary"), "k", "m").orderBy("track").collect()
+    assert [(bytes(r.prefix), r.stored) for r in got] == [(b"HEAD", True), (b"", False), (b"", True)]
+    assert all(media[r.start : r.start + r.size] == b"body" for r in got)

@@ -65,3 +65,32 @@ def test_private_keys_go_whole(spark):
     docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long").coalesce(1)
     got = [r.text for r in secrets.redact_stage(spark, docs, "").orderBy("doc_id").collect()]
     assert got == ["a\n[private_key]\nb", "a\n[private_key]\nb", "[private_key]\nNote: words", body]
+
+
+def test_near_stage_of_rows_that_share_an_id(spark):
+    """Unlike texts with one id each count for themselves; of equal rows and of near copies one stays."""
+    from lodestar.llm import chosen_path
+    from tests.llm.conftest import prose
+
+    a, b = prose(60, 1), prose(60, 2)
+    near = a.rsplit(" ", 1)[0]
+    docs = spark.createDataFrame([(5, a), (5, b), (5, b), (3, near), (7, ""), (7, None), (None, a)], "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in chosen_path.near_stage(spark, docs, "").collect()), key=str)
+    assert got == sorted([(5, b), (3, near), (7, ""), (7, None), (None, a)], key=str)
+
+
+def test_language_stage_rejects_what_no_language_claims(spark, sf_dir):
+    """Gibberish and a language that is not learned go, prose of the learned languages stays."""
+    import random
+    import string
+
+    from lodestar.llm import language_id
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    r = random.Random(3)
+    junk = ["".join(r.choice(string.ascii_letters) for _ in range(800)), "Съешь же ещё этих мягких французских булок, да выпей чаю. " * 9, "0123456789abcdef" * 40 + "qzx"]
+    more = spark.createDataFrame([(10**9 + i, t, None) for i, t in enumerate(junk)], docs.schema)
+    kept = {x.doc_id for x in language_id.language_stage(spark, docs.unionAll(more), "").collect()}
+    real = {x.doc_id for x in docs.where("text IS NOT NULL AND lang IS NOT NULL").collect()}
+    assert not kept & {10**9 + i for i in range(len(junk))}
+    assert len(real - kept) <= 0.01 * len(real)

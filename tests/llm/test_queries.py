@@ -62,8 +62,16 @@ def test_packing(results, docs):
 
 
 def test_packing_edges(results, edge_docs, edge_dir):
-    rows = edge_docs.astype({"doc_id": "float"}).fillna({"doc_id": -1})
-    brute.check_packing(rows, results("op2_packing", edge_dir).astype({"doc_id": "float"}).fillna({"doc_id": -1}))
+    got = results("op2_packing", edge_dir).astype({"doc_id": "Int64"})
+    brute.check_packing(edge_docs.fillna({"doc_id": -1}), got.fillna({"doc_id": -1}))
+
+
+def test_packing_keeps_large_ids(spark):
+    from lodestar.llm import packing
+    from lodestar.llm.common import prepare
+
+    docs = prepare(spark).createDataFrame([((1 << 60) + 1, "some words"), (None, "others"), (None, None)], "doc_id long, text string")
+    assert sorted(r.doc_id or 0 for r in packing.pack(docs).collect()) == [0, 0, (1 << 60) + 1]
 
 
 def test_warc(results, sf_dir):
