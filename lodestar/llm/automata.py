@@ -139,6 +139,42 @@ class Nondeterministic:
         return end
 
 
+def reversed_tree(x):
+    """The expression of the same strings read backwards."""
+    if x[0] == "set":
+        return x
+    if x[0] == "seq":
+        return ("seq", [reversed_tree(y) for y in reversed(x[1])])
+    if x[0] == "or":
+        return ("or", [reversed_tree(y) for y in x[1]])
+    return ("rep", reversed_tree(x[1]), x[2])
+
+
+class Walk:
+    """A minimal automaton of one expression from a fixed place, forwards or backwards; -1 is where no match can follow."""
+
+    def __init__(self, pattern: str, backwards: bool = False):
+        tree = Parser(pattern).parse()
+        classes, moves, accepts = determined(reversed_tree(tree) if backwards else tree, 1, anywhere=False)
+        dead = [bool(not accepts[s] and (moves[s] == s).all()) for s in range(len(moves))]
+        self.step = -1 if backwards else 1
+        self.classes = classes.tolist()
+        self.moves = [[-1 if dead[t] else t for t in row] for row in moves.tolist()]
+        self.accepts = accepts.tolist()
+
+    def furthest(self, data: bytes, at: int, limit: int) -> int:
+        """How far from a place the longest match reaches, between it and a limit; -1 without one. Backwards the place is its end."""
+        state, last = 0, at if self.accepts[0] else -1
+        while at != limit:
+            state = self.moves[state][self.classes[data[at if self.step > 0 else at - 1]]]
+            if state < 0:
+                break
+            at += self.step
+            if self.accepts[state]:
+                last = at
+        return last
+
+
 class Automaton:
     """A minimal automaton that finds where matches of each rule end, wherever they begin.
 
@@ -147,7 +183,7 @@ class Automaton:
     """
 
     def __init__(self, patterns: list[str]):
-        built = [determined(p, 1 << k) for k, p in enumerate(patterns)]
+        built = [determined(Parser(p).parse(), 1 << k) for k, p in enumerate(patterns)]
         marks = np.zeros(256, dtype=np.int64)
         for classes, _, _ in built:
             _, marks = np.unique(marks * (classes.max() + 1) + classes, return_inverse=True)
@@ -199,14 +235,14 @@ class Automaton:
         return at[keep] + 1, self.accepts[states[col[keep], row[keep]] // self.width]
 
 
-def determined(pattern: str, bit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def determined(tree, bit: int, anywhere: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:  # noqa: ANN001
     """Byte classes, moves by class, and accepted bits of one rule's minimal automaton; state 0 is the start.
 
-    Subset construction; the start is part of every set, so that matches begin anywhere.
+    Subset construction; ``anywhere`` makes the start part of every set, so that matches begin anywhere.
     """
     nfa = Nondeterministic()
     start = nfa.state()
-    end = nfa.add(Parser(pattern).parse(), start)
+    end = nfa.add(tree, start)
     marks = np.zeros(256, dtype=np.int64)
     for chosen in {s for m in nfa.moves for s, _ in m}:
         one = np.zeros(256, dtype=np.int64)
@@ -234,7 +270,7 @@ def determined(pattern: str, bit: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
             left ^= low
         row = []
         for c in range(len(sample)):
-            to = begin
+            to = begin if anywhere else 0
             for m in members:
                 to |= m[c]
             if to not in number:

@@ -1,9 +1,13 @@
 """Secret scans: one minimal automaton for all rules, walked once over the bytes of all texts.
 
 The rules' regular expressions are compiled on the driver by subset construction and minimisation into transition arrays
-(their size depends on the rules only). The scan gives the places where matches end; the line around such a place is then
-read with the rule's own expression, as no rule crosses a line, for its leftmost matches that do not overlap. The span of a
-private key goes on to its END line, or without one to the last base64 line that follows.
+(their size depends on the rules only). The scan gives the places where matches end. Every rule ends in a repeated class or
+at a fixed mark, so of a run of such places the last ends all matches in it; the rule's automaton of reversed strings, walked
+back from there but not into the match before, gives the leftmost start. A third one, of what stands before a rule's last
+group, gives that group's length. The span of a private key goes on to its END line, or without one to the last base64 line
+that follows.
+
+Letters of keywords are ASCII in either case; letters that only Unicode folds to them do not count.
 
 Edge cases: a null or empty text has no spans; text of any length is scanned whole; equal rows give equal results; an empty
 table gives an empty result; further columns are ignored.
@@ -21,21 +25,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.automata import Automaton
+from lodestar.llm.automata import Automaton, Walk
 from lodestar.llm.common import batch_of, mapped, prepare, slices, table
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
-#: Kind, pattern for the automaton, pattern for the spans, and the least length of its last group (or of the match). The
-#: automaton's pattern ends every match or a necessary beginning of it; counters that may run at the same time multiply states.
+#: Kind, what stands before the measured part, that part, and its least length; shorter matches are passed over, but what
+#: they cover can't be matched again. Where the part is one class and nothing else ends a match sooner, its least number may
+#: stand in it instead, which saves the walks.
 BASE = (
-    ("assign", ASSIGN + r"[A-Za-z0-9+/_.=\-]{6,}", ASSIGN + r"([A-Za-z0-9+/_.=\-]+)", 6),
-    ("access", r"AKIA[A-Z0-9]{16,}", r"AKIA[A-Z0-9]+", 20),
-    ("hex", r"[0-9a-f]{24,}", r"[0-9a-f]+", 24),
+    ("assign", ASSIGN, r"[A-Za-z0-9+/_.=\-]+", 6),
+    ("access", "", r"AKIA[A-Z0-9]{16,}", 20),
+    ("hex", "", r"[0-9a-f]{24,}", 24),
 )
 MORE = (
-    ("private_key", r"-----BEGIN [A-Z\x20]*PRIVATE KEY-----", r"-----BEGIN [A-Z\x20]*PRIVATE KEY-----", 0),
-    ("host_token", r"gh[oprsu]_[A-Za-z0-9]", r"gh[oprsu]_[A-Za-z0-9]+", 24),
-    ("chat_token", r"xox[abprs]-[A-Za-z0-9\-]", r"xox[abprs]-[A-Za-z0-9\-]+", 15),
+    ("private_key", "", r"-----BEGIN [A-Z\x20]*PRIVATE KEY-----", 0),
+    ("host_token", "", r"gh[oprsu]_[A-Za-z0-9]+", 24),
+    ("chat_token", "", r"xox[abprs]-[A-Za-z0-9\-]+", 15),
 )
 RULES = BASE + MORE
 
@@ -45,22 +50,23 @@ LINE = rb"[\x20\t\r]*\n[\x20\t]*"
 BODY = re.compile(rb"(?:(?:" + LINE + rb"(?:[A-Za-z\-]+:\x20[^\n]*|(?=[\r\n])))*(?:" + LINE + rb"[A-Za-z0-9+/=]{40,})+(?:" + LINE + rb"[A-Za-z0-9+/]{2,}={1,2}(?=[\x20\t\r]*(?:\n|\Z)))?)?")
 
 
-def key_end(joined: bytes, begin: re.Match, high: int) -> int:
+def key_end(joined: bytes, start: int, end: int, high: int) -> int:
     """Where the key ends whose BEGIN mark was found, in a text that ends at ``high``."""
-    following = joined.find(b"-----BEGIN ", begin.end(), high)
-    mark = begin[0].replace(b"BEGIN", b"END", 1)
-    at = joined.find(mark, begin.end(), high if following < 0 else following)
-    return at + len(mark) if at >= 0 else BODY.match(joined, begin.end(), high).end()
+    following = joined.find(b"-----BEGIN ", end, high)
+    mark = joined[start:end].replace(b"BEGIN", b"END", 1)
+    at = joined.find(mark, end, high if following < 0 else following)
+    return at + len(mark) if at >= 0 else BODY.match(joined, end, high).end()
 
 
 @cache
 def automaton() -> Automaton:
-    return Automaton([r[1] for r in RULES])
+    return Automaton([r[1] + r[2] for r in RULES])
 
 
 @cache
-def readers() -> list[re.Pattern]:
-    return [re.compile(r[2].encode()) for r in RULES]
+def walks() -> list[tuple[Walk, Walk | None]]:
+    """Of each rule the way back from a match's end, and that from its start over what stands before the measured part."""
+    return [(Walk(before + part, backwards=True), Walk(before) if before else None) for _, before, part, _ in RULES]
 
 
 def find(texts: list[bytes], scanner: Automaton) -> list[list[tuple[int, int, int]]]:
@@ -69,20 +75,19 @@ def find(texts: list[bytes], scanner: Automaton) -> list[list[tuple[int, int, in
     starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
     ends, rules = scanner.scan(np.frombuffer(joined, dtype=np.uint8))
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    done = [0] * len(RULES)  # up to where each rule's lines have been read
-    for end, bits in zip(ends.tolist(), rules.tolist(), strict=True):
-        for k, read in enumerate(readers()):
-            if not bits >> k & 1 or end <= done[k]:
+    for k, (back, before) in enumerate(walks()):
+        own = ends[rules >> k & 1 == 1]
+        last = own[np.append(np.diff(own) != 1, True)] if len(own) else own
+        done, docs = 0, np.searchsorted(starts, last - 1, side="right") - 1
+        for end, doc in zip(last.tolist(), docs.tolist(), strict=True):
+            low = int(starts[doc])
+            start = back.furthest(joined, end, max(done, low))
+            if start < 0:
                 continue
-            low = joined.rfind(b"\n", 0, end) + 1
-            high = joined.find(b"\n", end)
-            high = len(joined) if high < 0 else high
-            doc = int(np.searchsorted(starts, low, side="right")) - 1
-            for m in read.finditer(joined, low, high):
-                if len(m[m.re.groups]) >= RULES[k][3]:
-                    until = key_end(joined, m, int(starts[doc + 1]) - 1) if RULES[k][0] == "private_key" else m.end()
-                    found[doc].append((k, m.start() - int(starts[doc]), until - int(starts[doc])))
-            done[k] = high
+            done = end
+            if end - (before.furthest(joined, start, end) if before else start) >= RULES[k][3]:
+                until = key_end(joined, start, end, int(starts[doc + 1]) - 1) if RULES[k][0] == "private_key" else end
+                found[doc].append((k, start - low, until - low))
     return found
 
 

@@ -83,7 +83,9 @@ def near_duplicates(docs: pd.DataFrame, size: int = 3, percent: int = 85) -> pd.
     return pd.DataFrame({"doc_id": ids, "n_shingles": [len(s) for s in sets], "component_id": least, "kept": [a == b for a, b in zip(ids, least, strict=True)]})
 
 
-ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+#: Letters in either case are spelled out: re's own flag takes more letters than ASCII for alike.
+KEYWORDS = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+ASSIGN = re.compile(rf"""({KEYWORDS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
 def secrets(docs: pd.DataFrame) -> pd.DataFrame:
