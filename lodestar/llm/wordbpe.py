@@ -20,6 +20,37 @@ CACHE, LONGEST, WIDEST = 250_000, 64, 48
 NONE = 1 << 30
 
 
+#: What a vocabulary must say of itself: how it changes, splits and joins texts, as the code here does.
+SAYS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "decoder": None,
+}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
+def checked(spec: dict) -> dict:
+    """The vocabulary, if texts are split, changed and joined by it as the code here does; raises for others rather than encode them wrongly."""
+    model = spec["model"]
+    differ = [k for k, v in SAYS.items() if spec.get(k) != v] + [f"model.{k}" for k, v in MODEL.items() if model.get(k, v) != v]
+    if not model.get("end_of_word_suffix"):
+        differ.append("model.end_of_word_suffix")
+    if len(model["vocab"]) > 1 << 16 or len(model["merges"]) > 1 << 16:
+        differ.append("model.vocab")
+    if any(not t["content"].startswith("<|") or re.search(r"\s", t["content"]) or t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"]):
+        differ.append("added_tokens")
+    if differ:
+        raise ValueError(f"not a vocabulary of the kind that this code encodes: {', '.join(differ)}")
+    return spec
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -61,7 +92,7 @@ class WordBPE:
         self.library.no_truncation()
         self.library.no_padding()
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+            spec = checked(json.load(f))
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         end = spec["model"]["end_of_word_suffix"]
         symbols = byte_symbols()

@@ -250,3 +250,66 @@ def test_secret_spans_of_hostile_texts():
         assert [sum(s[0] == k for s in own) for k in range(3)] == [row.n_assign, row.n_access, row.n_hex], texts[i]
         said = ",".join(f"{secrets.RULES[k][0]}:{a}:{b}" for k, a, b in own)
         assert __import__("hashlib").sha256(said.encode()).hexdigest() == row.base_sha256, texts[i]
+
+
+def test_chunks_of_hostile_texts():
+    """Ids and decoded texts are the library's, whatever stands at the joins."""
+    from lodestar.llm.bpe_chunks import ChunkCodec
+    from tests.llm import brute
+
+    r, library, codec = random.Random(3), brute.tokenizer(), ChunkCodec()
+    parts = ["a", "don't", " ", "  ", "\n", "\t", "\u3000", "\u00a0", "e\u0301", "\u0301", "<|endoftext|>", "<|", "12", "\u00e9t\u00e9", "\u0130", "x" * 300, "!?", "\x0b", "\x1c", "\x85", "\u65e5\u672c", " the", " and "]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(0, 400))) for _ in range(300)]
+    texts += [a[:200] + b[-200:] for a, b in zip(texts, texts[1:], strict=False)]
+    for i in range(0, len(texts), 50):
+        for text, (ids, decoded) in zip(texts[i : i + 50], codec.encode([t.encode() for t in texts[i : i + 50]]), strict=True):
+            want = library.encode(text, add_special_tokens=False).ids
+            assert ids == brute.ids_bytes(want)
+            assert decoded.decode() == library.decode(want, skip_special_tokens=False)
+
+
+def test_joins_are_encoded_until_they_agree(monkeypatch):
+    """With an encoder whose words depend on what stands around them, joins are widened until ids are those of the whole text."""
+    from lodestar.llm import bpe_chunks
+
+    codec = bpe_chunks.ChunkCodec()
+    real = bpe_chunks.ChunkCodec._ids
+
+    def ids(self, parts):  # a word after or before "odd" has another id, so that joins next to one disagree with their chunks
+        out = []
+        for p in parts:
+            words = p.split()
+            near = lambda i: b"odd" in words[max(0, i - 1) : i + 2]
+            out.append(b"".join((hash(w) & 0x7FFFFFFF | (1 << 31) * near(i)).to_bytes(4, "little") for i, w in enumerate(words)))
+        return out
+
+    monkeypatch.setattr(bpe_chunks.ChunkCodec, "_ids", ids)
+    monkeypatch.setattr(codec.bpe, "decode", lambda x: x.hex().encode())
+    monkeypatch.setattr(bpe_chunks, "BITS", 4)
+    r, widened = random.Random(5), 0
+    plan = bpe_chunks.ChunkCodec._plan
+    calls = []
+    monkeypatch.setattr(bpe_chunks.ChunkCodec, "_plan", staticmethod(lambda c, h: calls.append(1) or plan(c, h)))
+    texts = [" ".join(r.choice(["odd", "some", "words", "here", "stand"]) for _ in range(300)).encode() for _ in range(30)]
+    got = codec.encode(texts)
+    assert len(calls) > len(texts)  # some were widened
+    assert real is not ids
+    ends = [(x[:4], x[-4:]) for x, _ in got]
+    want = codec._ids(texts)
+    assert ends == [(w[:4], w[-4:]) for w in want] and [len(x) for x, _ in got] == [len(w) for w in want]
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    import json
+
+    from lodestar.llm import wordbpe
+
+    spec = json.load(open(wordbpe.default_path(), encoding="utf-8"))
+    assert wordbpe.checked(spec)
+    for change in ({"decoder": {"type": "ByteLevel"}}, {"normalizer": None}, {"model": spec["model"] | {"byte_fallback": True}}, {"added_tokens": [spec["added_tokens"][0] | {"content": "a b"}]}):
+        with pytest.raises(ValueError):
+            wordbpe.checked(spec | change)
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec | {"pre_tokenizer": None}))
+    with pytest.raises(ValueError):
+        wordbpe.WordBPE(str(path))
