@@ -3,12 +3,18 @@
 Texts are first cut so that equal passages meet. Each window of LENGTH bytes has an anchor, the place of the least hash of
 its short grams; successive windows with one anchor form a segment, keyed by the anchor's gram. Equal windows have equal
 grams at equal places, so they lie in segments of one key, and a key met once holds nothing that repeats. Segments that are
-equal as a whole are settled by their count. The different segments of a key are compared by suffix order: cut into blocks
-of BLOCK bytes aligned at the anchor, they are strings over numbered blocks; shards of them have Burrows-Wheeler transforms,
-which are merged by interleave refinement (see ``bwt``). Where the common prefix of neighbours in the merged order reaches
-the blocks that any window holds, the windows around it are compared in full. A key with more segments than one task should
-hold is split: each segment is halved by its windows and keyed anew by the bytes that all windows of a half share, until
-keys are small; halves equal as a whole are again settled by count, and single windows have nothing left to compare.
+equal as a whole are settled by their count: a copy needs no order. The different segments of a key are compared by suffix
+order: cut into blocks of BLOCK bytes aligned at the anchor, they are strings over numbered blocks; shards of them have
+Burrows-Wheeler transforms, which are merged by interleave refinement (see ``bwt``). Neighbours in the merged order whose
+common prefix reaches the blocks that any window holds form the repeated intervals. A window of an interval's suffix adds
+some bytes before and after those blocks; windows of one interval repeat each other where these bytes are equal. A key with
+more segments than one task should hold is split: each segment is halved by its windows and keyed anew by the bytes that all
+windows of a half share, until keys are small; halves equal as a whole are again settled by count, and single windows have
+nothing left to compare.
+
+Equal texts are named by one 64-bit hash: among 10^10 different texts about three pairs share a name, and each of such a pair
+also loses what the other repeats. Equal segments are named by two (the key and the content), whose clashes are not expected
+below 10^18 segments. The windows of different segments are compared by their bytes.
 
 Edge cases: a null or empty text, or one shorter than LENGTH, keeps all its bytes and can match nothing; matches never cross
 documents but may lie in one document; equal rows and equal texts repeat each other; an empty table gives an empty result;
@@ -27,12 +33,14 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.bwt import merge, shard
 from lodestar.llm.common import batch_of, fresh, mapped, partitions_of, prepare, slices, stored, table
-from lodestar.llm.shingles import BASE, INVERSE, mix, powers
+from lodestar.llm.shingles import BASE, mix
 
 #: Bytes of a passage, of a gram, of a block; segments of a key that one task compares; shards of a merge; bytes merged at once.
 LENGTH, GRAM, BLOCK, MANY, SHARDS, AT_ONCE = 400, 16, 16, 2048, 4, 3 << 20
 #: Bytes of text whose windows are cut into segments at once.
 STRETCH = 1 << 20
+#: Bits of a place in a stretch.
+PLACE = 22
 SEGMENT = "key long, seg long, uid long, doc_id long, start int, windows int, anchor int"
 
 
@@ -56,16 +64,13 @@ def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(backward[:n], forward[width - 1 : width - 1 + n])
 
 
-class Content:
-    """Hashes of any range of at least GRAM bytes, from sums over its grams."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
-        np.cumsum(hashes * powers(BASE, len(hashes)), out=self.sums[1:])
-        self.back = powers(INVERSE, len(hashes))
-
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end - GRAM + 1] - self.sums[start]) * self.back[start])
+def contents(hashes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges of at least GRAM bytes: of every GRAM-th gram in each, mixed with its number, and of the last one."""
+    grams_ = (size - GRAM) // GRAM + 1
+    first = np.cumsum(grams_) - grams_
+    k = np.arange(int(grams_.sum())) - np.repeat(first, grams_)
+    parts = mix(hashes[np.repeat(start, grams_) + GRAM * k] + k.astype(np.uint64) * np.uint64(BASE), 21)
+    return mix(np.add.reduceat(parts, first) + mix(hashes[start + size - GRAM], 22), 23)
 
 
 def cut(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
@@ -76,9 +81,12 @@ def cut(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
         return none
     begins = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     hashes = grams(raw)
-    bits = np.uint64(max(1, int(len(raw)).bit_length()))
+    if len(raw) >> PLACE:
+        raise ValueError(f"more than {1 << PLACE} bytes at once")
+    # Of equal hashes the first is least. The bits of the place are as many in every call, so that equal windows agree.
+    bits = np.uint64(PLACE)
     least = sliding_least(hashes >> bits << bits | np.arange(len(hashes), dtype=np.uint64), length - GRAM + 1)
-    at = (least & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+    at = (least & np.uint64((1 << PLACE) - 1)).astype(np.int64)
     doc = np.searchsorted(begins, np.arange(len(at)), side="right") - 1
     inside = np.arange(len(at)) + length <= begins[doc + 1]
     where = np.nonzero(inside)[0]
@@ -90,7 +98,7 @@ def cut(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     windows = np.diff(np.append(first, len(where)))
     start = where[first]
     anchor = at[start] - start
-    whole = mix(Content(hashes)(start, start + windows + length - 1) + (anchor * 4096 + windows).astype(np.uint64))
+    whole = mix(contents(hashes, start, windows + length - 1) + (anchor * 4096 + windows).astype(np.uint64))
     return doc[start], start - begins[doc[start]], windows, anchor, hashes[at[start]].view(np.int64), whole.view(np.int64)
 
 
@@ -131,38 +139,46 @@ def segments(docs: DataFrame, length: int) -> DataFrame:
 
 
 def repeated(keys: np.ndarray, anchors: np.ndarray, windows: np.ndarray, texts: list[bytes], length: int) -> list[list[tuple[int, int]]]:
-    """Of each of some different segments, the runs (first, number) of its windows that another one has too."""
+    """Of each of some different segments, the runs (first, number) of its windows that another one of its key has too."""
     sizes = np.array([len(t) for t in texts])
     begins = np.concatenate([[0], np.cumsum(sizes)])
-    raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    hashes = grams(raw)
-    content = Content(hashes)
-    # Blocks aligned at the anchor; a block is GRAM bytes, so its gram's hash is its name.
+    raw = np.frombuffer(b"".join([*texts, bytes(8)]), dtype=np.uint8)
+    # Blocks aligned at the anchor, named by their bytes.
     lead = anchors % BLOCK
     number = (sizes - lead) // BLOCK
     which = np.repeat(np.arange(len(texts)), number)
     place = np.arange(len(which)) - np.repeat(np.cumsum(number) - number, number)
-    names, symbols = np.unique(hashes[begins[which] + lead[which] + place * BLOCK], return_inverse=True)
-    symbols = symbols.astype(np.int64) + 1
-    strings = np.split(symbols, np.cumsum(number)[:-1])
+    halves = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))
+    at = begins[which] + lead[which] + place * BLOCK
+    symbols = named(np.stack([halves[at], halves[at + 8]], axis=1))
+    strings = np.split(symbols + 1, np.cumsum(number)[:-1])
     depth = (length - BLOCK + 1) // BLOCK  # whole blocks that a window holds wherever it starts
     edges = np.linspace(0, len(strings), min(SHARDS, len(strings)) + 1).astype(int)
-    string, at, common = merge([shard(strings[a:b], a, len(names)) for a, b in zip(edges, edges[1:], strict=False)], depth)
+    string, at, common = merge([shard(strings[a:b], a, int(symbols.max(initial=0)) + 1) for a, b in zip(edges, edges[1:], strict=False)], depth)
+    # Repeated intervals: neighbours whose common prefix has all those blocks.
+    interval = np.cumsum(common < depth)
     near = common >= depth
     near = near | np.append(near[1:], False)
-    string, at = string[near], at[near]
-    # The windows that begin in the BLOCK bytes up to each such place.
-    s = np.repeat(string, BLOCK)
-    first = np.repeat(lead[string] + at * BLOCK, BLOCK) - np.tile(np.arange(BLOCK), len(string))
-    good = (first >= 0) & (first < windows[s])
-    s, first = s[good], first[good]
-    print_of = content(begins[s] + first, begins[s] + first + length)
+    string, at, interval = string[near], at[near], interval[near]
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
-    if not len(s):
-        return out
-    _, group, times = np.unique(mix(print_of + keys[s].view(np.uint64)), return_inverse=True, return_counts=True)
-    some = times[group] > 1
-    s, first = s[some], first[some]
+    found_s, found_first = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    rest = length - depth * BLOCK  # bytes of a window beside those blocks
+    words = -(-rest // 8)
+    beside = np.concatenate([np.arange(-BLOCK, 0), np.arange(depth * BLOCK, depth * BLOCK + rest)])
+    for before in range(BLOCK):  # bytes of the window before the blocks
+        first = lead[string] + at * BLOCK - before
+        good = np.nonzero((first >= 0) & (first < windows[string]))[0]
+        if not len(good):
+            continue
+        places = beside[BLOCK - before : BLOCK - before + rest]
+        edge = np.zeros((len(good), 8 * words), dtype=np.uint8)
+        edge[:, :rest] = raw[(begins[string[good]] + first[good] + before)[:, None] + places]
+        # An interval may hold suffixes of several keys, whose windows are not compared: equal windows have one key.
+        kind = named(np.concatenate([keys[string[good]].view(np.uint64)[:, None], interval[good].astype(np.uint64)[:, None], edge.view("<u8")], axis=1))
+        some = good[np.bincount(kind)[kind] > 1]
+        found_s.append(string[some])
+        found_first.append(lead[string[some]] + at[some] * BLOCK - before)
+    s, first = np.concatenate(found_s), np.concatenate(found_first)
     order = np.lexsort((first, s))
     s, first = s[order], first[order]
     if len(s):
@@ -174,6 +190,17 @@ def repeated(keys: np.ndarray, anchors: np.ndarray, windows: np.ndarray, texts:
     return out
 
 
+def named(rows: np.ndarray) -> np.ndarray:
+    """A number for each different row of 64-bit columns. Rows are told apart by a hash, and by sorting them where two of one hash differ."""
+    hashed = np.zeros(len(rows), dtype=np.uint64)
+    for k in range(rows.shape[1]):
+        hashed = mix(hashed ^ rows[:, k], 31 + k)
+    _, first, number = np.unique(hashed, return_index=True, return_inverse=True)
+    if not (rows == rows[first[number]]).all():
+        number = np.unique(rows, axis=0, return_inverse=True)[1]
+    return number.ravel().astype(np.int64)
+
+
 PIECES = "key long, seg long, uid long, start int, windows int, anchor int, bytes binary"
 RUNS = "uid long, start int, windows int"
 
