@@ -109,16 +109,20 @@ def learn(docs: DataFrame, where: object | None = None, most: int = MOST) -> Mod
     known = docs.where("lang IS NOT NULL")
     known = known.where(where) if where is not None else known
     ids = known.select("doc_id", "lang", F.xxhash64(F.lit("language"), "doc_id").alias("rank"))
-    n = ids.select("lang").distinct().count()
-    if not n:
+    counts = {r.lang: r["count"] for r in ids.groupBy("lang").count().limit(CLASSES + 1).collect()}
+    if not counts:
         return None
-    if n > CLASSES:
-        raise ValueError(f"{n} languages; the model holds {CLASSES}")
-    # A share of each language, so that rare ones are learned too. Ids are ranked first: each task keeps a share of each
-    # language before the shuffle, so a language with most rows sends no more than others; texts are fetched for the chosen.
+    if len(counts) > CLASSES:
+        raise ValueError(f"more than {CLASSES} languages; the model holds no more")
+    # A share of each language, so that rare ones are learned too. Hashes are spread evenly, so of a language with many rows
+    # only those below a bound, a few times the share, are ranked; texts are fetched for the chosen ids alone.
+    share = max(1, most // len(counts))
+    bounds = [(lang, int(min(1.0, 4 * (share + 16) / n) * ((1 << 64) - 1)) - (1 << 63)) for lang, n in counts.items()]
+    below = ids.join(F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, bound long")), "lang").where("rank <= bound").select("doc_id", "lang", "rank").distinct()
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("rank", "doc_id"))
-    chosen = ids.withColumn("turn", turn).where(F.col("turn") <= max(1, most // n)).select("doc_id", "lang", "rank").distinct()
-    texts = known.select("doc_id", "lang", "text").join(F.broadcast(chosen.withColumnRenamed("lang", "of")), "doc_id").where("lang = of")
+    chosen = below.withColumn("turn", turn).where(F.col("turn") <= share).select("doc_id", "lang")
+    rank = F.xxhash64(F.lit("language"), "doc_id").alias("rank")
+    texts = known.select("doc_id", "lang", "text", rank).join(F.broadcast(chosen.withColumnRenamed("lang", "of")), "doc_id").where("lang = of")
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("rank", pa.int64()), ("lang", pa.string()), ("grams", pa.binary())])
