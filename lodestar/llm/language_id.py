@@ -117,7 +117,7 @@ def learn(docs: DataFrame, where: object | None = None, most: int = MOST) -> Mod
     # A share of each language, so that rare ones are learned too. Hashes are spread evenly, so of a language with many rows
     # only those below a bound, a few times the share, are ranked; texts are fetched for the chosen ids alone.
     share = max(1, most // len(counts))
-    bounds = [(lang, int(min(1.0, 4 * (share + 16) / n) * ((1 << 64) - 1)) - (1 << 63)) for lang, n in counts.items()]
+    bounds = [(lang, min((1 << 64) - 1, (1 << 64) * 4 * (share + 16) // n) - (1 << 63)) for lang, n in counts.items()]
     below = ids.join(F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, bound long")), "lang").where("rank <= bound").select("doc_id", "lang", "rank").distinct()
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("rank", "doc_id"))
     chosen = below.withColumn("turn", turn).where(F.col("turn") <= share).select("doc_id", "lang")
