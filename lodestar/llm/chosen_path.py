@@ -2,10 +2,11 @@
 
 A document's set is its distinct word shingles. Documents with equal sets become one node first. Independent trees then
 branch all nodes by selected minwise tokens: at a root by one or two minima of its own hash functions, below it by positions
-of a minwise sketch that are drawn anew for each tree node. A tree node with few members is a leaf and is compared
-exhaustively by sketches there; a larger one is branched again, and near copies that stay together beyond that are dealt to
-random blocks with common pivots, anew in each tree, so no group is ever held whole. A leaf gives a forest of the links that
-the sketches leave possible, not all pairs. The forests of all trees join into clusters; what the blocks left apart then
+of a minwise sketch that are drawn anew for each tree node, one or two of them, so that a pair at the threshold goes on
+together in one branch or more on average. A tree node with few members is a leaf and is compared exhaustively by sketches
+there; a larger one is branched again, however deep, as long as that at least halves it. Near copies that stay together
+are dealt to random blocks with common pivots, anew in each tree, so no group is ever held whole. A leaf gives a forest of
+the links that the sketches leave possible, not all pairs. The forests of all trees join into clusters; what the blocks left apart then
 meets every other member of its tree node, block against block. Within a cluster all links are decided on the full sets,
 and again only a forest of the confirmed links goes on. A large cluster is decided in the leaves that its members share,
 then against the members with the most links, and what is still apart from its largest component meets every other member,
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -34,10 +36,10 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import batch_of, fresh, mapped, partitions_of, prepare, slices, stored, table
 from lodestar.llm.shingles import mix, shingles
 
-#: Minima that the roots of all trees branch by, trees, sketch positions, members of a leaf, branches below a root.
-ROOTS, TREES, SKETCH, LEAF, BRANCH = 12, 10, 128, 2048, 2
-#: Times a large tree node is branched; members that every block of one then still as large gets.
-DEPTH, PIVOTS = 2, 32
+#: Minima that the roots of all trees branch by, trees, sketch positions, members of a leaf.
+ROOTS, TREES, SKETCH, LEAF = 12, 10, 128, 2048
+#: Of a hundred tree nodes below a root, those that are branched by two positions; members that every block of near copies gets.
+TWICE, PIVOTS = 30, 32
 #: Shingles of a cluster that one task compares.
 LARGE = 6_000_000
 
@@ -172,35 +174,35 @@ def candidate_forest(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
 def leaves(reps: DataFrame, what: str = "") -> tuple[list[DataFrame], DataFrame | None]:
     """Members of all leaves of the trees (key, node, n_shingles, sketch), by depth; nodes alone in a tree node are in none.
 
-    Also the members of the tree nodes that were dealt to blocks, if there are any."""
-    level = reps.select(F.explode("keys").alias("key"), "node", "n_shingles", "sketch")
+    Also the members of the tree nodes that were dealt to blocks, if there may be any."""
+    level = reps.select(F.explode("keys").alias("key"), "node", "n_shingles", "sketch", F.lit(None).cast("long").alias("was"), F.lit(False).alias("dealt"))
     out, crowded = [], None
-    for depth in range(DEPTH + 2):
+    while True:
         # Written first, and merged even where small: only a merge join of two plain exchanges has a hot key's rows dealt to several tasks.
         counts = stored(level.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), f"counts{what}")
         level = stored(level.join(counts.hint("merge"), "key"), f"tree{what}")
-        leaf = F.lit(True) if depth > DEPTH else F.col("members") <= LEAF
-        out.append(level.where(leaf).drop("members"))
+        leaf = F.col("dealt") | (F.col("members") <= LEAF)
+        out.append(level.where(leaf).select("key", "node", "n_shingles", "sketch"))
         large = level.where(~leaf)
-        if depth > DEPTH or large.isEmpty():
-            break
-        if depth < DEPTH:
-            # Branch again, by sketch positions that are drawn for each tree node.
-            to = []
-            for k in range(BRANCH):
-                position = F.pmod(F.xxhash64("key", F.lit(k)), F.lit(SKETCH)).cast("int")
-                to.append(F.xxhash64("key", F.lit(k), F.substring(F.col("sketch"), position + 1, F.lit(1))))
-            to = F.array(*to)
-        else:
-            # What agrees in so many tokens and still is large are near copies throughout: random blocks, each with the same
-            # few pivots, which tie the blocks together. Each root's tree deals its blocks anew.
-            crowded = large.select("key", "node", "n_shingles", "sketch")
-            blocks = F.ceil(F.col("members") / (LEAF - 2 * PIVOTS)).cast("int")
-            pivot = F.pmod(F.xxhash64("node", "key", F.lit("pivot")), F.col("members")) < PIVOTS
-            one = F.pmod(F.xxhash64("key", "node"), blocks).cast("int")
-            to = F.transform(F.when(pivot, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(one)), lambda n: F.xxhash64("key", n))
-        level = large.select(F.explode(to).alias("key"), "node", "n_shingles", "sketch")
-    return out, crowded
+        if large.isEmpty():
+            return out, crowded
+        # Branch again, by sketch positions that are drawn for each tree node.
+        to = []
+        for k in range(2):
+            position = F.pmod(F.xxhash64("key", F.lit(k)), F.lit(SKETCH)).cast("int")
+            to.append(F.xxhash64("key", F.lit(k), F.substring(F.col("sketch"), position + 1, F.lit(1))))
+        twice = F.pmod(F.xxhash64("key", F.lit("twice")), F.lit(100)) < TWICE
+        stuck = F.coalesce(F.col("members") * 2 > F.col("was"), F.lit(False))
+        branched = F.when(twice, F.array(*to)).otherwise(F.array(to[0]))
+        # What agrees in so many tokens and still is large are near copies throughout: random blocks, each with the same few
+        # pivots, which tie the blocks together. Each root's tree deals its blocks anew.
+        blocks = F.ceil(F.col("members") / (LEAF - 2 * PIVOTS)).cast("int")
+        pivot = F.pmod(F.xxhash64("node", "key", F.lit("pivot")), F.col("members")) < PIVOTS
+        one = F.pmod(F.xxhash64("key", "node"), blocks).cast("int")
+        dealt = F.transform(F.when(pivot, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(one)), lambda n: F.xxhash64("key", n))
+        some = large.where(stuck).select("key", "node", "n_shingles", "sketch")
+        crowded = some if crowded is None else crowded.unionAll(some)
+        level = large.select(F.explode(F.when(stuck, dealt).otherwise(branched)).alias("key"), "node", "n_shingles", "sketch", F.col("members").alias("was"), stuck.alias("dealt"))
 
 
 def across(members: DataFrame, what: str) -> DataFrame:
@@ -353,8 +355,12 @@ def grouped_rows(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     large = sized.where("NOT whole")
     split = not large.isEmpty()
     if split:
-        for leaf in levels:
-            units = units.unionAll(leaf.join(large.select("node", "rep", "label"), "node").select(F.xxhash64("key", "label").alias("unit"), "node", "rep"))
+        shared = [leaf.join(large.select("node", "rep", "label"), "node").select(F.xxhash64("key", "label").alias("unit"), "node", "rep", "n_shingles") for leaf in levels]
+        shared = stored(reduce(DataFrame.unionAll, shared), "shared")
+        # A leaf of long texts is cut to what a task may hold; what that parts meets across the cluster below.
+        heavy = shared.groupBy("unit").agg(F.sum("n_shingles").alias("weight")).where(F.col("weight") > LARGE)
+        cut = F.coalesce(F.pmod(F.xxhash64("node", F.lit("cut")), F.ceil(F.col("weight") / LARGE)).cast("int"), F.lit(0))
+        units = units.unionAll(shared.join(heavy.hint("merge"), "unit", "left").select(F.xxhash64("unit", cut).alias("unit"), "node", "rep"))
 
     def sure_links(units: DataFrame) -> DataFrame:
         # Merged at every size: the plan of a small input is that of a large one.
