@@ -146,7 +146,7 @@ def sampled(docs: DataFrame, labels: DataFrame, most: int = MOST) -> DataFrame:
     rank = F.xxhash64(F.lit("toxicity"), "doc_id")
     labelled = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(crc_bucket(5) != 0).select("doc_id", "toxic", rank.alias("rank"))
     chosen = labelled.orderBy("rank", "doc_id", "toxic").limit(most)
-    return docs.join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), (F.pmod(F.col("rank"), F.lit(4)) == 0).cast("int").alias("half"))
+    return docs.join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), (F.pmod(F.col("rank"), F.lit(4)) != 0).cast("int").alias("half"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
