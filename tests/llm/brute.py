@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 import zlib
 from collections import defaultdict
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 
 
@@ -185,6 +187,130 @@ def edits(docs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "near_edited", "near_next"])
 
 
+def grams(text: str) -> frozenset[int]:
+    """Numbers of the one to four byte strings of a text's letters, as the 16-bit hash of each."""
+    raw_ = re.sub(r"[\W\d_]+", " ", text.lower()).encode()
+    out = set()
+    for n in (1, 2, 3, 4):
+        for i in range(len(raw_) - n + 1):
+            h = raw_[i] + 1
+            for b in raw_[i + 1 : i + n]:
+                h = (h * 257 + b) % (1 << 32)
+            out.add((h * 2654435761 + n * 40503) % (1 << 32) >> 16)
+    return frozenset(out)
+
+
+def language_scores(texts: list[str], languages: list[str], asked: list[str], landmarks: int, ridge: float) -> np.ndarray:
+    """One-versus-rest ridge regression in the span of landmarks, on kernels of pairs; languages weigh alike."""
+    kernel = lambda a, b: len(a & b) / math.sqrt(max(1, len(a)) * max(1, len(b)))
+    sets, names, seen = [grams(t) for t in texts], sorted(set(languages)), defaultdict(int)
+    turns = []
+    for i, lang in enumerate(languages):
+        seen[lang] += 1
+        turns.append((seen[lang], i))
+    marks = [sets[i] for _, i in sorted(turns)[:landmarks]]
+    inner = np.array([[kernel(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(inner)
+    good = values > 1e-6 * values[-1]
+    root = vectors[:, good] / np.sqrt(values[good])
+    feature = lambda some: np.array([[kernel(a, b) for b in marks] for a in some]) @ root
+    x, out = feature(sets), []
+    weight = np.array([1 / languages.count(lang) for lang in languages])
+    weight = weight / weight.mean()
+    for name in names:
+        y = np.array([1.0 if lang == name else -1.0 for lang in languages])
+        # The constant is a column that is not penalised.
+        z = np.column_stack([x, np.ones(len(x))])
+        penalty = np.diag([ridge * len(x)] * x.shape[1] + [0.0])
+        w = np.linalg.solve(z.T @ np.diag(weight) @ z + penalty, z.T @ (weight * y))
+        out.append(np.column_stack([feature([grams(t) for t in asked]), np.ones(len(asked))]) @ w)
+    return np.array(out).T
+
+
+def toxicity(docs: pd.DataFrame, labels: pd.DataFrame, asked: list[str]) -> list[float]:
+    """Scores of some texts by the model learned from the rows that are not held out."""
+    from lodestar.llm import toxicity as t
+
+    texts = dict(zip(docs["doc_id"], docs["text"], strict=True))
+    rows = [(texts[i], int(y), rank % 4 == 0) for i, y, rank in labels.itertuples(index=False) if i in texts and y == y and y is not None and zlib.crc32(str(i).encode()) % 5]
+    split = lambda text: [w.lower() for w in re.findall(r"\w+", text or "")]
+    feature = lambda w: [zlib.crc32(b"w" + w.encode()) % (1 << 18)] + [zlib.crc32(b"p%d" % n + w[:n].encode()) % (1 << 18) for n in (4, 5, 6, 7, 8) if len(w) >= n]
+    counts, total = defaultdict(lambda: [0, 0]), [0, 0]
+    for text, y, half in rows:
+        if not half:
+            seen = defaultdict(int)
+            for w in split(text):
+                seen[w] += 1
+            for w, n in seen.items():
+                total[1 - y] += min(n, t.OFTEN)
+                for f in feature(w):
+                    counts[f][1 - y] += min(n, t.OFTEN)
+    n, m = total
+
+    def weight(f: int) -> float:
+        a, b = counts.get(f, (0, 0))
+        prior = t.PRIOR * min((a + b + 0.01) / (n + m + 1), 0.999)
+        p, q = a + prior, b + prior
+        delta = math.log(p / max(n + t.PRIOR - p, 0.5)) - math.log(q / max(m + t.PRIOR - q, 0.5))
+        part = n / (n + m)
+        ratio = 2 * sum(c * math.log(c / ((a + b) * s)) for c, s in ((a, part), (b, 1 - part)) if c)
+        z = math.sqrt(max(ratio, 0))
+        return math.copysign(max(abs(delta) - t.MARGIN, 0) * max(0, 1 - (t.CHANCE / max(z, 1e-9)) ** 2), delta)
+
+    known: dict[str, float] = {}
+
+    def scores(text: str) -> list[float]:
+        out = []
+        for w in split(text):
+            if w not in known:
+                known[w] = max((weight(f) for f in feature(w)), key=abs) - t.COST
+            out.append(known[w])
+        return out
+
+    def best(s: list[float]) -> list[float]:
+        """Scores of all maximal segments: the best one, then those on both sides of it."""
+        top, total_, start, span = 0.0, 0.0, 0, None
+        for i, x in enumerate(s):
+            if total_ <= 0:
+                total_, start = 0.0, i
+            total_ += x
+            if total_ > top:
+                top, span = total_, (start, i + 1)
+        return [] if span is None else [top, *best(s[: span[0]]), *best(s[span[1] :])]
+
+    held = [(scores(text), y) for text, y, half in rows if half]
+    clean = [s for s, y in held if not y]
+    spread = defaultdict(int)
+    for s in clean:
+        for x in s:
+            spread[float(np.round(x, 2))] += 1
+    mean = lambda rate: sum(c * math.exp(rate * x) for x, c in spread.items()) / max(1, sum(spread.values()))
+    rate = 1.0
+    if spread and max(spread) > 0 and sum(x * c for x, c in spread.items()) < 0:
+        low, high = 1e-3, 5.0
+        for _ in range(60):
+            middle = (low + high) / 2
+            low, high = (middle, high) if mean(middle) < 1 else (low, middle)
+        rate = low
+    tops = [(len(s), max(best(s), default=0.0)) for s in clean if s]
+    k = 1 / max(sum(n_ * math.exp(-rate * min(x, 50)) for n_, x in tops) / max(1, len(tops)), 1e-9) if tops else 1.0
+
+    def evidence(s: list[float]) -> list[float]:
+        if not s or max(s) <= 0:
+            return [1.0, 0.0, 0.0, 0.0]
+        e = [rate * x - math.log(max(k * len(s), 1e-9)) for x in best(s)]
+        real = [x for x in e if x > t.SIGNIFICANT]
+        return [1.0, math.log1p(max(max(e), 0.0)), math.log1p(sum(real)), len(real) / (1 + len(real))]
+
+    x, y = np.array([evidence(s) for s, _ in held]).reshape(-1, 4), np.array([y for _, y in held], dtype=float)
+    w, penalty = np.zeros(4), np.array([1e-6, 0.05, 0.05, 0.05])
+    for _ in range(60):  # Newton's method on the penalised likelihood
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x.T * (p * (1 - p) + 1e-9)) @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        w = w + np.clip(step, -3, 3)
+    return [1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(evidence(scores(text)), w)))))) for text in asked]
+
+
 def same(got: pd.DataFrame, want: pd.DataFrame, key: str = "doc_id") -> None:
     """Both have the same rows in the wanted frame's columns."""
     a = got[want.columns].sort_values(list(want.columns), na_position="first").reset_index(drop=True)

@@ -313,3 +313,63 @@ def test_other_vocabularies_are_refused(tmp_path):
     path.write_text(json.dumps(spec | {"pre_tokenizer": None}))
     with pytest.raises(ValueError):
         wordbpe.WordBPE(str(path))
+
+
+def test_large_groups_at_the_real_size(spark):
+    """At production parameters every edit of one base is found, in a group beyond a leaf."""
+    docs = spark.createDataFrame(edits("star", chosen_path.LEAF + 700, 6), "doc_id long, text string").repartition(4)
+    got = chosen_path.near_duplicates(docs, 3, 85).toPandas()
+    assert (got["component_id"] == 0).all()
+
+
+def test_leaves_of_long_texts_are_cut(spark, monkeypatch):
+    """Units of a large cluster are bounded by shingles too, and no link is lost by that."""
+    from tests.llm import brute
+
+    monkeypatch.setattr(chosen_path, "LEAF", 60)
+    monkeypatch.setattr(chosen_path, "LARGE", 4000)
+    docs = spark.createDataFrame(edits("tree", 300, 9), "doc_id long, text string").repartition(4)
+    brute.same(chosen_path.near_duplicates(docs, 3, 85).toPandas(), brute.near_duplicates(docs.toPandas(), 3, 85))
+
+
+def test_common_words_are_branched_apart(spark, monkeypatch):
+    """Texts that share a long passage but are not alike stay apart, and the near copies among them are found."""
+    from tests.llm import brute
+
+    monkeypatch.setattr(chosen_path, "LEAF", 40)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"{passage} " + " ".join(f"u{i // 2}-{j}" for j in range(40)) + (" end" if i % 2 else "")) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    brute.same(chosen_path.near_duplicates(docs, 3, 85).toPandas(), brute.near_duplicates(docs.toPandas(), 3, 85))
+
+
+def test_language_weights_are_the_kernel_regression():
+    """The folded weights score as kernel ridge regression on explicit kernels does."""
+    import pandas as pd
+
+    from lodestar.llm import language_id
+    from tests.llm import brute
+
+    docs = pd.read_parquet("/root/testdata/sf0.001/documents.parquet").dropna(subset=["text", "lang"])
+    known, others = docs.iloc[:70], docs.iloc[70:110]
+    model = language_id.fit([language_id.presence(language_id.normal(t)) for t in known.text], known.lang.tolist(), landmarks=40)
+    got = model.scores([language_id.presence(language_id.normal(t)) for t in others.text])
+    want = brute.language_scores(known.text.tolist(), known.lang.tolist(), others.text.tolist(), 40, language_id.RIDGE)
+    assert np.abs(got - want).max() < 1e-3
+
+
+def test_toxicity_is_the_plain_model(spark):
+    """Scores are those of a plain version with dictionaries and the recursive definition of segments."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from lodestar.llm.queries import QUERIES
+    from tests.llm import brute
+
+    sf = "/root/testdata/sf0.01"
+    got = QUERIES["op3_toxicity"](spark, sf).toPandas().set_index("doc_id").sort_index()
+    docs = pd.read_parquet(f"{sf}/documents.parquet", columns=["doc_id", "text"])
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic", F.xxhash64(F.lit("toxicity"), "doc_id").alias("rank")).toPandas()
+    few = docs.sort_values("doc_id").head(60)
+    want = brute.toxicity(docs, labels, few["text"].tolist())
+    assert np.abs(got.loc[few["doc_id"], "score"].to_numpy() - np.array(want)).max() < 1e-5
