@@ -91,7 +91,8 @@ def fit(sets: list[np.ndarray], languages: list[str], landmarks: int = LANDMARKS
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     good = values > 1e-6 * values[-1]
     whiten = vectors[:, good] / np.sqrt(values[good])
-    kernel = np.array([marks[:, s].sum(axis=1) / max(1, len(s)) ** 0.5 for s in sets])  # texts by landmarks
+    columns = np.ascontiguousarray(marks.T)  # a row for each n-gram, so that a text gathers whole rows
+    kernel = np.array([columns[s].sum(axis=0) / max(1, len(s)) ** 0.5 for s in sets])  # texts by landmarks
     x = kernel @ whiten
     # Each language counts alike; the constant is not penalised.
     counts = y.copy()
