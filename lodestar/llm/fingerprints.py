@@ -28,7 +28,7 @@ from lodestar.operators.joins import estimated_bytes
 #: Hashes of a sketch, bits of a hash, words of a shingle.
 K, BITS, WORDS = 128, 48, 5
 #: Bytes of documents in a range.
-RANGE = 256 << 20
+RANGE = 64 << 20
 
 
 def sketches(texts: list[str], k: int = K) -> list[np.ndarray]:
