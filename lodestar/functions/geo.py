@@ -1,4 +1,4 @@
-"""Planar and spherical geometry in Spark's expressions; text geometries by a vectorised parser.
+"""Planar and spherical geometry in Spark's expressions; ``shapes`` has columns of any geometry.
 
 Points are two columns, bounding boxes four, rings and lines arrays of structs (x, y). Predicates give NULL for NULL. A
 point on a ring's edge intersects the polygon but is not within it.
@@ -6,7 +6,6 @@ point on a ring's edge intersects the polygon but is not within it.
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 import pandas as pd
@@ -140,64 +139,37 @@ def as_text(points: Column, kind: str = "LINESTRING") -> Column:
     return F.concat(F.lit("POLYGON(("), body, F.lit("))")) if kind == "POLYGON" else F.concat(F.lit(f"{kind}("), body, F.lit(")"))
 
 
-def same_srid(a: Column, b: Column, value: Column) -> Column:
-    """The value where both reference systems agree; raises where they don't."""
-    return F.when(a != b, F.raise_error(F.concat(F.lit("mixed SRIDs: "), a.cast("string"), F.lit(", "), b.cast("string"))).cast("boolean")).otherwise(value)
-
-
-NUMBER = re.compile(r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?")
-KINDS = ("POINT", "LINESTRING", "POLYGON", "MULTIPOINT", "MULTILINESTRING", "MULTIPOLYGON", "GEOMETRYCOLLECTION")
 PARSED = "srid int, kind string, empty boolean, npoints int, xmin double, ymin double, xmax double, ymax double, x double, y double, valid boolean"
 
 
-def parse(text: str | None) -> tuple:
-    """SRID, kind, emptiness, number of points, bounds, coordinates of a point, validity of rings; all None for None, raises for malformed text."""
-    if text is None:
-        return (None,) * 11
-    srid, body = 0, text.strip()
-    if m := re.match(r"SRID=(\d+);", body, re.I):
-        srid, body = int(m[1]), body[m.end() :].strip()
-    if not (m := re.match(r"[A-Z]+", body, re.I)) or m[0].upper() not in KINDS:
-        raise ValueError(f"not a geometry: {text[:40]}")
-    kind, rest = m[0].upper(), body[m.end() :].strip()
-    if rest.upper() == "EMPTY":
-        return (srid, kind, True, 0, None, None, None, None, None, None, True)
-    if rest.count("(") != rest.count(")") or not rest.startswith("("):
-        raise ValueError(f"not a geometry: {text[:40]}")
-    points, valid = [], True
-    for run in re.findall(r"\(([^()]*)\)", rest):
-        own = []
-        for p in run.split(","):
-            if len(xy := NUMBER.findall(p)) >= 2:
-                own.append((float(xy[0]), float(xy[1])))
-        if kind in ("POLYGON", "MULTIPOLYGON"):
-            valid &= len(own) >= 4 and own[0] == own[-1] and not _crosses_itself(own)
-        points += own
-    if kind == "GEOMETRYCOLLECTION" or not points:
-        points = points or [tuple(map(float, xy)) for xy in re.findall(rf"({NUMBER.pattern})\s+({NUMBER.pattern})", rest)]
-    if not points:
-        return (srid, kind, True, 0, None, None, None, None, None, None, True)
-    xs, ys = zip(*points, strict=True)
-    one = points[0] if kind == "POINT" else (None, None)
-    return (srid, kind, False, len(points), min(xs), min(ys), max(xs), max(ys), *one, valid)
-
-
-def _crosses_itself(ring: list[tuple[float, float]]) -> bool:
-    """Whether two segments of a ring that are no neighbours cross, or it has no area."""
-    turn = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
-    edges = list(zip(ring, ring[1:], strict=False))
-    for i, (a, b) in enumerate(edges):
-        for c, d in edges[i + 2 : len(edges) - (i == 0)]:
-            if turn(a, b, c) * turn(a, b, d) < 0 and turn(c, d, a) * turn(c, d, b) < 0:
-                return True
-    return abs(sum(x1 * y2 - x2 * y1 for (x1, y1), (x2, y2) in edges)) == 0
-
-
 def from_text(texts: Column) -> Column:
-    """What ``parse`` finds, as a struct column."""
+    """What a geometry's text says, as a struct column: NULL fields for NULL, an error for what is no geometry (see ``shapes`` for whole geometries)."""
 
     @F.pandas_udf(PARSED)
     def parsed(batch: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse(t) for t in batch], columns=[c.split()[0] for c in PARSED.split(", ")])
+        from lodestar.functions import shapes
+
+        def row(text: str | None) -> tuple:
+            if text is None:
+                return (None,) * 11
+            g = shapes.from_wkt(text)
+            v = g.vertices
+            if g.empty:
+                return (g.srid, g.kind, True, 0, *(None,) * 6, True)
+            return (g.srid, g.kind, False, len(v), *v.min(axis=0), *v.max(axis=0), *(v[0] if g.kind == "POINT" else (None, None)), shapes.valid(g))
+
+        return pd.DataFrame([row(t) for t in batch], columns=[c.split()[0] for c in PARSED.split(", ")])
 
     return parsed(texts)
+
+
+def ring_side(x: Column, y: Column, ring: Column) -> Column:
+    """``in_ring`` for a ring that is a column, a closed array of points: 1 inside, 0 on an edge, -1 outside."""
+    side = lambda p: (x - p["a"]["x"]) * (p["b"]["y"] - p["a"]["y"]) - (y - p["a"]["y"]) * (p["b"]["x"] - p["a"]["x"])
+    held = lambda p: x.between(F.least(p["a"]["x"], p["b"]["x"]), F.greatest(p["a"]["x"], p["b"]["x"])) & y.between(F.least(p["a"]["y"], p["b"]["y"]), F.greatest(p["a"]["y"], p["b"]["y"]))
+    edge = F.exists(_pairs(ring), lambda p: (side(p) == 0) & held(p))
+    # An edge that passes the point's height turns the count by the side on which the point lies.
+    up = lambda p: (p["a"]["y"] <= y) & (p["b"]["y"] > y) & (side(p) < 0)
+    down = lambda p: (p["b"]["y"] <= y) & (p["a"]["y"] > y) & (side(p) > 0)
+    turns = F.aggregate(_pairs(ring), F.lit(0), lambda n, p: n + F.when(up(p), 1).when(down(p), -1).otherwise(0))
+    return F.when(x.isNull() | y.isNull() | ring.isNull(), F.lit(None).cast("int")).when(edge, 0).when(turns != 0, 1).otherwise(-1)

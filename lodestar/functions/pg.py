@@ -73,3 +73,55 @@ def json_typeof(text: Column) -> Column:
     t = F.trim(text)
     first = F.substring(t, 1, 1)
     return F.when(first == "{", "object").when(first == "[", "array").when(first == '"', "string").when(t == "null", "null").when(t.isin("true", "false"), "boolean").when(t.isNotNull(), "number")
+
+
+NUMBERS = "^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$"
+
+
+def json_contains(text: Column, other) -> Column:  # noqa: ANN001
+    """Containment (@>) of a constant, given as Python's dicts, lists and scalars: each of its keys and elements is in the document at the same place.
+
+    The order and number of an array's elements don't matter; at the top a scalar is contained in an array that has it. NULL
+    for NULL; text that is no JSON raises.
+    """
+    document = F.parse_json(text)
+
+    def kind(v: Column) -> Column:
+        return F.schema_of_variant(v)
+
+    def holds(want):  # noqa: ANN001, ANN202
+        return lambda e: within(e, want)
+
+    def within(v: Column, want) -> Column:  # noqa: ANN001
+        if isinstance(want, dict):
+            out = kind(v).startswith("OBJECT")
+            for k, x in want.items():
+                quote = '"' if "'" in k else "'"
+                if quote in k:
+                    raise ValueError(f"a key with both kinds of quotes: {k}")
+                inner = F.try_variant_get(v, f"$[{quote}{k}{quote}]", "variant")
+                out = out & inner.isNotNull() & within(inner, x)
+            return out
+        if isinstance(want, list):
+            out = kind(v).startswith("ARRAY")
+            for x in want:
+                out = out & F.exists(F.try_variant_get(v, "$", "array<variant>"), holds(x))
+            return out
+        if want is None:
+            return F.is_variant_null(v)
+        if isinstance(want, bool):
+            return (kind(v) == "BOOLEAN") & (F.try_variant_get(v, "$", "boolean") == F.lit(want))
+        if isinstance(want, (int, float)):
+            return kind(v).rlike(NUMBERS) & (F.try_variant_get(v, "$", "double") == F.lit(float(want)))
+        return (kind(v) == "STRING") & (F.try_variant_get(v, "$", "string") == F.lit(want))
+
+    found = within(document, other)
+    if not isinstance(other, (dict, list)):
+        found = found | kind(document).startswith("ARRAY") & F.coalesce(F.exists(F.try_variant_get(document, "$", "array<variant>"), holds(other)), F.lit(False))
+    return F.when(text.isNotNull(), F.coalesce(found, F.lit(False)))
+
+
+def interval_seconds(i: Column) -> Column:
+    """A day-time interval in seconds."""
+    part = lambda unit: F.extract(F.lit(unit), i).cast("double")
+    return part("DAY") * 86_400 + part("HOUR") * 3_600 + part("MINUTE") * 60 + part("SECOND")

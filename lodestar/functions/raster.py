@@ -1,13 +1,33 @@
-"""Raster tiles of one band: arrays of pixels in rows, NULL where there is no raster; functions in Spark's expressions."""
+"""Raster tiles in Spark's expressions: single bands as arrays of pixels in rows, and whole rasters as structs of bands.
+
+A raster is a struct (width, height, bands), a band a struct (kind, nodata, pixels); NULL where there is no raster.
+"""
 
 from __future__ import annotations
 
+import struct
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Least and greatest value of each integer pixel type.
 BOUNDS = {"1BB": (0, 1), "2BUI": (0, 3), "4BUI": (0, 15), "8BSI": (-128, 127), "8BUI": (0, 255), "16BSI": (-32768, 32767), "16BUI": (0, 65535), "32BSI": (-(1 << 31), (1 << 31) - 1), "32BUI": (0, (1 << 32) - 1)}
+#: Pixel types of real numbers; they hold any value.
+FLOATS = ("32BF", "64BF")
+#: Fixed values of the binary format: the number of each pixel type and numpy's name of it.
+TYPES = {"1BB": (0, "u1"), "2BUI": (1, "u1"), "4BUI": (2, "u1"), "8BSI": (3, "i1"), "8BUI": (4, "u1"), "16BSI": (5, "<i2"), "16BUI": (6, "<u2"), "32BSI": (7, "<i4"), "32BUI": (8, "<u4"), "32BF": (10, "<f4"), "64BF": (11, "<f8")}
 NEAR = 1.19e-7
+BAND = "struct<kind:string,nodata:double,pixels:array<double>>"
+
+
+def fits(kind: str, value: float) -> bool:
+    """Whether a pixel type holds a number."""
+    if kind in FLOATS:
+        return True
+    low, high = BOUNDS[kind]
+    return low <= value <= high and value == int(value)
 
 
 def parse_rules(rules: str) -> dict[int, int]:
@@ -25,8 +45,8 @@ def parse_rules(rules: str) -> dict[int, int]:
 
 def reclass(pixels: Column, rules: str, kind: str = "8BUI") -> Column:
     """Each pixel by the rule of its value, 0 without one; targets must fit the pixel type."""
-    found, (low, high) = parse_rules(rules), BOUNDS[kind]
-    if any(not low <= t <= high for t in found.values()):
+    found = parse_rules(rules)
+    if any(not fits(kind, t) for t in found.values()):
         raise ValueError(f"a target is not a {kind}")
 
     def of(v: Column) -> Column:
@@ -96,3 +116,71 @@ def slope(pixels: Column, width: int, height: int, size: float = 1.0) -> Column:
         return F.degrees(F.atan(F.sqrt(dx * dx + dy * dy)))
 
     return F.transform(pixels, of)
+
+
+def make_empty(width: Column, height: Column) -> Column:
+    """A raster without bands; NULL if a size is NULL."""
+    made = F.struct(width.cast("int").alias("width"), height.cast("int").alias("height"), F.array().cast(f"array<{BAND}>").alias("bands"))
+    return F.when(width.isNotNull() & height.isNotNull(), made)
+
+
+def add_band(raster: Column, kind: str, value: float | Column = 0.0, nodata: float | None = None) -> Column:
+    """The raster with one band more: all pixels of one value, or an array of as many pixels as the raster has."""
+    if kind not in TYPES or nodata is not None and not fits(kind, nodata) or not isinstance(value, Column) and not fits(kind, value):
+        raise ValueError(f"not a value of {kind}")
+    size = raster["width"] * raster["height"]
+    if isinstance(value, Column):
+        pixels = F.transform(value, lambda v: v.cast("double"))
+        pixels = F.when(F.size(pixels) == size, pixels).otherwise(F.raise_error(F.lit("as many pixels as the raster has are needed")).cast("array<double>"))
+        if kind in BOUNDS:
+            low, high = BOUNDS[kind]
+            ok = F.forall(pixels, lambda v: v.isNull() | (v >= low) & (v <= high) & (v == F.floor(v)))
+            pixels = F.when(ok, pixels).otherwise(F.raise_error(F.lit(f"a pixel is not a {kind}")).cast("array<double>"))
+    else:
+        pixels = F.array_repeat(F.lit(float(value)), size)
+    if kind == "32BF":
+        pixels = F.transform(pixels, lambda v: v.cast("float").cast("double"))
+    band_ = F.struct(F.lit(kind).alias("kind"), F.lit(nodata).cast("double").alias("nodata"), pixels.alias("pixels")).cast(BAND)
+    return F.when(raster.isNotNull(), raster.withField("bands", F.concat(raster["bands"], F.array(band_))))
+
+
+def num_bands(raster: Column) -> Column:
+    return F.when(raster.isNotNull(), F.size(raster["bands"]))
+
+
+def band(raster: Column, n: int = 1) -> Column:
+    """The n-th band from 1; NULL without one."""
+    return F.get(raster["bands"], F.lit(n - 1))
+
+
+def band_value(raster: Column, n: int, x: Column, y: Column) -> Column:
+    """A band's pixel at column x and row y, from 1; NULL outside, without the band, and where the pixel has no data."""
+    b = band(raster, n)
+    v = F.when((y <= raster["height"]) & (x <= raster["width"]) & (x >= 1) & (y >= 1), F.get(b["pixels"], ((y - 1) * raster["width"] + x - 1).cast("int")))
+    return F.when(b["nodata"].isNull() | (v != b["nodata"]), v)
+
+
+def reclass_band(raster: Column, n: int, rules: str, kind: str = "8BUI") -> Column:
+    """The raster with the n-th band reclassified; its no-data value goes. A raster without that band stays as it is."""
+    done = F.struct(F.lit(kind).alias("kind"), F.lit(None).cast("double").alias("nodata"), F.transform(reclass(band(raster, n)["pixels"], rules, kind), lambda v: v.cast("double")).alias("pixels")).cast(BAND)
+    changed = F.transform(raster["bands"], lambda b, i: F.when(i == n - 1, done).otherwise(b))
+    return F.when(F.size(raster["bands"]) >= n, raster.withField("bands", changed)).otherwise(raster)
+
+
+def binary(width: int, height: int, bands: list[dict]) -> bytes:
+    """The binary format: a header without georeference, then each band's type, no-data value and pixels."""
+    out = [struct.pack("<BHHddddddiHH", 1, 0, len(bands), 1.0, -1.0, 0.0, 0.0, 0.0, 0.0, 0, width, height)]
+    for b in bands:
+        number, kind = TYPES[b["kind"]]
+        missing = b["nodata"] is None or b["nodata"] != b["nodata"]
+        out.append(bytes([number | (0 if missing else 64)]) + np.array([0 if missing else b["nodata"]]).astype(kind).tobytes())
+        out.append(np.array(b["pixels"], dtype=np.float64).astype(kind).tobytes())
+    return b"".join(out)
+
+
+def as_binary(raster: Column) -> Column:
+    @F.pandas_udf("binary")
+    def run(batch: pd.DataFrame) -> pd.Series:
+        return pd.Series([None if bands is None or pd.isna(w) else binary(int(w), int(h), list(bands)) for w, h, bands in zip(batch["width"], batch["height"], batch["bands"], strict=True)], dtype=object)
+
+    return F.when(raster.isNotNull(), run(raster))

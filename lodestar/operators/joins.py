@@ -14,22 +14,52 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """The side marked for broadcast if its estimate allows that; else as it is, for a shuffled join."""
-    return F.broadcast(df) if estimated_bytes(df) <= most else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES, copies: float = 1) -> DataFrame:
+    """The side marked for broadcast if its estimate allows that; else as it is, for a shuffled join.
+
+    ``copies`` is the greatest number of rows that each row of the estimate becomes before the join.
+    """
+    return F.broadcast(df) if estimated_bytes(df) * copies <= most else df
+
+
+#: How much coarser each level of buckets is; a range touches at most two buckets more.
+FINER = 4
+
+
+def levels_of(span: float | None, width: float) -> int:
+    """Levels of buckets so that the widest span touches a few buckets of the coarsest."""
+    levels = 1
+    while span is not None and span > width * FINER**levels and levels < 64:
+        levels += 1
+    return levels
+
+
+def level_of(span: Column, width: float, levels: int) -> Column:
+    """The finest level at which a span touches a few buckets only."""
+    out = F.lit(levels - 1)
+    for k in reversed(range(levels - 1)):
+        out = F.when(span <= width * FINER ** (k + 1), F.lit(k)).otherwise(out)
+    return out
 
 
 def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
-    """Pairs with low <= point <= high, by an equi-join on buckets of ``width``.
+    """Pairs with low <= point <= high, by an equi-join on buckets of ``width`` and of coarser levels.
 
-    A range is dealt to every bucket it touches and a point to one, so no pair is found twice; ranges about as wide as
-    ``width`` go to two or three. Null points and bounds, and ranges whose low is above high, match nothing.
+    A range is dealt to the buckets it touches at the finest level where those are few, a point to one bucket of each level
+    that ranges have, so no pair is found twice and no range is copied more than FINER + 2 times, however wide it is. Null
+    points and bounds, and ranges whose low is above high, match nothing; bounds must be finite.
     """
-    bucket = lambda c: F.floor(F.col(c).cast("double") / F.lit(float(width))).cast("long")
-    left = points.where(F.col(point).isNotNull()).withColumn("_bucket", bucket(point))
-    valid = ranges.where(F.col(low) <= F.col(high))
-    right = valid.withColumn("_bucket", F.explode(F.sequence(bucket(low), bucket(high))))
-    return left.join(small(right), "_bucket").where((F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))).drop("_bucket")
+    span = F.col(high).cast("double") - F.col(low).cast("double")
+    valid = ranges.where((F.col(low) <= F.col(high)) & (span < float("inf")))
+    levels = levels_of(valid.agg(F.max(span)).first()[0], width)
+    bucket = lambda c, size: F.floor(F.col(c).cast("double") / size).cast("long")
+    size = F.lit(float(width)) * F.pow(F.lit(float(FINER)), F.col("_level"))
+    leveled = valid.withColumn("_level", level_of(span, width, levels).cast("int"))
+    right = leveled.withColumn("_bucket", F.explode(F.sequence(bucket(low, size), bucket(high, size))))
+    places = F.array(*[F.struct(F.lit(k).alias("_level"), bucket(point, F.lit(float(width) * FINER**k)).alias("_bucket")) for k in range(levels)])
+    left = points.where(F.col(point).isNotNull()).withColumn("_place", F.explode(places)).select("*", "_place.*").drop("_place")
+    right = F.broadcast(right) if estimated_bytes(valid) * (FINER + 2) <= BROADCAST_BYTES else right.hint("merge")
+    return left.join(right, ["_level", "_bucket"]).where((F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))).drop("_level", "_bucket")
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 8, how: str = "inner") -> DataFrame:

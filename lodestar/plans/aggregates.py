@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.operators.aggregates import distinct_on, filtered, ordered_array, percentiles_disc
+from lodestar.functions.pg import interval_seconds
+from lodestar.operators.aggregates import distinct_on, distinct_sets, filtered, ordered_array, percentiles_disc, rollup_sets
 from lodestar.plans.registry import query, sql
 from lodestar.sources.tables import load
 
@@ -25,8 +26,8 @@ sql("agg_three_keys", "SELECT o_orderstatus, o_orderpriority, CAST(o_custkey % 4
 sql("agg_null_key", "WITH t AS (SELECT CASE WHEN c_nationkey > 20 THEN NULL ELSE c_nationkey END AS k, c_custkey FROM customer) SELECT k, COUNT(*) AS n, COUNT(k) AS c, MAX(c_custkey) AS hi FROM t GROUP BY k")
 sql(
     "agg_float_key",
-    """WITH t AS (SELECT CASE WHEN l_linenumber = 1 THEN CAST('NaN' AS DOUBLE) WHEN l_linenumber = 2 THEN -0.0 ELSE 0.0 END AS k, l_orderkey FROM lineitem)
-    SELECT CASE WHEN k = CAST('NaN' AS DOUBLE) THEN 'nan' ELSE 'zero' END AS k, COUNT(*) AS n FROM t GROUP BY CASE WHEN k = CAST('NaN' AS DOUBLE) THEN 'nan' ELSE 'zero' END""",
+    """WITH t AS (SELECT CASE WHEN l_linenumber = 1 THEN CAST('NaN' AS DOUBLE) WHEN l_linenumber = 2 THEN -0.0 WHEN l_linenumber = 3 THEN 0.0 WHEN l_linenumber = 4 THEN CAST('NaN' AS DOUBLE) * -1 ELSE l_linenumber / 2.0 END AS k, l_partkey FROM lineitem),
+    g AS (SELECT k, COUNT(*) AS n, CAST(SUM(l_partkey) AS BIGINT) AS s FROM t GROUP BY k) SELECT CASE WHEN ISNAN(k) THEN 'nan' WHEN k = 0 THEN 'zero' ELSE 'other' END AS kind, CASE WHEN ISNAN(k) OR k = 0 THEN NULL ELSE k END AS k, n, s FROM g""",
 )
 sql("agg_expression_key", "SELECT CAST(YEAR(o_orderdate) AS BIGINT) AS y, CAST(MONTH(o_orderdate) AS BIGINT) AS m, LOWER(o_orderstatus) AS s, COUNT(*) AS n FROM orders GROUP BY YEAR(o_orderdate), MONTH(o_orderdate), LOWER(o_orderstatus)")
 sql("agg_abs_key", "SELECT CAST(ABS(p_size - 25) AS BIGINT) AS k, COUNT(*) AS n FROM part GROUP BY ABS(p_size - 25)")
@@ -69,6 +70,11 @@ sql("distinct_expression", "SELECT DISTINCT CAST(o_custkey % 10 AS BIGINT) AS k,
 sql("agg_grouping_sets", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n, CAST(GROUPING(l_returnflag) AS BIGINT) AS g FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())")
 sql("agg_rollup", "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 sql("agg_cube", "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n, MIN(o_orderkey) AS lo FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+sql(
+    "agg_group_by_distinct",
+    f"SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY {distinct_sets(rollup_sets('o_orderstatus', 'o_orderpriority'), rollup_sets('o_orderstatus'))}",
+    "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), ())",
+)
 sql("agg_string", "SELECT n_regionkey, LISTAGG(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, STRING_AGG(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
 sql("agg_sensor_rollup", "SELECT user_id, DATE_FORMAT(ts, 'yyyy-MM-dd HH:00') AS hour, COUNT(*) AS n, ROUND(AVG(value), 6) AS a, MIN(value) AS lo, MAX(value) AS hi FROM events GROUP BY user_id, DATE_FORMAT(ts, 'yyyy-MM-dd HH:00')", "SELECT user_id, STRFTIME(ts, '%Y-%m-%d %H:00') AS hour, COUNT(*) AS n, ROUND(AVG(value), 6) AS a, MIN(value) AS lo, MAX(value) AS hi FROM events GROUP BY user_id, STRFTIME(ts, '%Y-%m-%d %H:00')")
 
@@ -80,6 +86,15 @@ def agg_ordered_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.groupBy("o_custkey").agg(joined(ordered_array("k", "o_totalprice", "o_orderkey")).alias("orders"), joined(ordered_array("k", "o_totalprice", "o_orderkey", where=F.col("o_orderstatus") == "F")).alias("done"))
 
 
+@query("agg_average_interval", "SELECT l_returnflag, ROUND(AVG(epoch(l_shipdate) - epoch(o_orderdate)), 3) AS seconds, COUNT(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_returnflag")
+def agg_average_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AVG of intervals."""
+    items, orders = load(spark, sf_dir, "lineitem", "l_orderkey", "l_returnflag", "l_shipdate"), load(spark, sf_dir, "orders", "o_orderkey", "o_orderdate")
+    took = F.col("l_shipdate").cast("timestamp") - F.col("o_orderdate").cast("timestamp")
+    out = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_returnflag").agg(F.avg(took).alias("i"), F.count(F.lit(1)).alias("n"))
+    return out.select("l_returnflag", F.round(interval_seconds(F.col("i")), 3).alias("seconds"), "n")
+
+
 @query("agg_percentile_disc", "SELECT l_returnflag, array_to_string(list_transform(quantile_disc(l_partkey, [0.25, 0.5, 0.99]), lambda x: CAST(x AS VARCHAR)), ',') AS q FROM lineitem GROUP BY l_returnflag")
 def agg_percentile_disc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "lineitem", "l_returnflag", "l_partkey").groupBy("l_returnflag").agg(F.array_join(percentiles_disc("l_partkey", [0.25, 0.5, 0.99], "bigint"), ",").alias("q"))

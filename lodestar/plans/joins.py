@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestar.operators.joins import null_aware_anti, range_join, salted_join
+from lodestar.operators.windows import with_global_rank
 from lodestar.plans.registry import query, sql
 from lodestar.sources.tables import load
 
@@ -39,7 +41,7 @@ sql("join_semi_exists", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SE
 sql("join_semi_in", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 sql("join_anti_not_exists", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 sql("join_in_having", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING COUNT(*) > 14)")
-sql("join_inequality", "SELECT a.n_nationkey AS a, COUNT(*) AS n FROM nation a JOIN nation b ON a.n_nationkey > b.n_nationkey AND a.n_regionkey <> b.n_regionkey GROUP BY a.n_nationkey")
+sql("join_lateral_series", "SELECT n_nationkey, s FROM nation, LATERAL (SELECT EXPLODE(SEQUENCE(0, n_regionkey)) AS s) t", "SELECT n_nationkey, s FROM nation, LATERAL (SELECT UNNEST(range(0, n_regionkey + 1)) AS s) t")
 sql(
     "join_lateral",
     "SELECT c_custkey, o.n, o.total FROM customer, LATERAL (SELECT COUNT(*) AS n, ROUND(SUM(o_totalprice), 2) AS total FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') o",
@@ -62,6 +64,16 @@ def join_not_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     return null_aware_anti(customers, keys, "c_custkey", "o_custkey")
 
 
+@query("join_inequality", "SELECT a.c_custkey AS a, COUNT(*) AS n FROM customer a JOIN customer b ON a.c_custkey > b.c_custkey AND a.c_nationkey <> b.c_nationkey GROUP BY a.c_custkey")
+def join_inequality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counted from row numbers: of the smaller keys all less those of the same nation, so that no pair is made."""
+    ranked = with_global_rank(load(spark, sf_dir, "customer", "c_custkey", "c_nationkey"), ["c_custkey"], "all")
+    own = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
+    return ranked.withColumn("own", own).select(F.col("c_custkey").alias("a"), (F.col("all") - F.col("own")).cast("long").alias("n")).where("n > 0")
+
+
+sql("join_inequality_pairs", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_nationkey > b.n_nationkey AND a.n_regionkey <> b.n_regionkey")
+
 WINDOWS = "WITH w AS (SELECT l_orderkey * 7 + l_linenumber AS w_id, l_partkey * 1000.0 AS lo, l_partkey * 1000.0 + l_quantity * 20 AS hi FROM lineitem WHERE l_linenumber = 1)"
 
 

@@ -57,7 +57,43 @@ def raster_value_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles(spark, sf_dir).where(a.isNotNull()).select("k", raster.value(a, 10, F.lit(4), F.lit(3)).alias("v"), F.array_join(raster.clip(a, 10, 2, 2, 3, 3), ",").alias("clipped"))
 
 
-@query("raster_slope")
+def at_sql(dx: int, dy: int) -> str:
+    """A neighbour of pixel i in SQL; beyond the edge the pixel itself."""
+    return f"CASE WHEN i % 10 + {dx} BETWEEN 0 AND 9 AND i // 10 + {dy} BETWEEN 0 AND 9 THEN a[(i // 10 + {dy}) * 10 + i % 10 + {dx} + 1] ELSE a[i + 1] END"
+
+
+_east = " + ".join(f"{w} * ({at_sql(1, dy)})" for dy, w in ((-1, 1), (0, 2), (1, 1)))
+_west = " + ".join(f"{w} * ({at_sql(-1, dy)})" for dy, w in ((-1, 1), (0, 2), (1, 1)))
+_south = " + ".join(f"{w} * ({at_sql(dx, 1)})" for dx, w in ((-1, 1), (0, 2), (1, 1)))
+_north = " + ".join(f"{w} * ({at_sql(dx, -1)})" for dx, w in ((-1, 1), (0, 2), (1, 1)))
+
+
+@query("raster_slope", f"{TILES} SELECT k, ROUND(list_sum(list_transform(range(100), lambda i: degrees(atan(sqrt(pow((({_east}) - ({_west})) / 8.0, 2) + pow((({_south}) - ({_north})) / 8.0, 2)))))) / 100, 6) AS mean FROM (SELECT k, a FROM t WHERE a IS NOT NULL)")
 def raster_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = raster.slope(F.col("a"), 10, 10)
-    return tiles(spark, sf_dir).select("k", F.round(F.aggregate(done, F.lit(0.0), lambda s, v: s + v) / 100, 6).alias("mean"))
+    return tiles(spark, sf_dir).where("a IS NOT NULL").select("k", F.round(F.aggregate(done, F.lit(0.0), lambda s, v: s + v) / 100, 6).alias("mean"))
+
+
+def banded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rasters of two bands, the first of whole numbers without a value where it is 7, the second of real ones."""
+    r = raster.make_empty(F.when(F.col("a").isNotNull(), F.lit(10)), F.lit(10))
+    two = raster.add_band(raster.add_band(r, "8BUI", F.col("a"), nodata=7), "64BF", F.transform(F.col("b"), lambda v: v / 4))
+    return tiles(spark, sf_dir).select("k", two.alias("r"))
+
+
+@query("raster_bands", f"{TILES} SELECT k, CASE WHEN a IS NOT NULL THEN 2 END AS n, CASE WHEN a IS NOT NULL THEN 10 END AS width, CASE WHEN a IS NOT NULL THEN '8BUI' END AS kind, CASE WHEN a IS NOT NULL THEN 7.0::DOUBLE END AS nodata, CAST(NULLIF(a[k % 10 + 1], 7) AS DOUBLE) AS v, b[10 * (k % 10) + 3] / 4.0 AS w, CASE WHEN a IS NOT NULL THEN 61 + 102 + 809 END AS bytes FROM t")
+def raster_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accessors of rasters with bands, and the length of the binary form."""
+    r, x = F.col("r"), (F.col("k") % 10).cast("int")
+    first = raster.band(r, 1)
+    return banded(spark, sf_dir).select(
+        "k", raster.num_bands(r).alias("n"), r["width"].alias("width"), first["kind"].alias("kind"), first["nodata"].alias("nodata"), raster.band_value(r, 1, x + 1, F.lit(1)).alias("v"), raster.band_value(r, 2, F.lit(3), x + 1).alias("w"), F.octet_length(raster.as_binary(r)).alias("bytes")
+    )
+
+
+@query("raster_reclass_band", f"{TILES} SELECT k, CAST(list_sum(list_transform(a, lambda x: {RULES_SQL})) AS DOUBLE) AS first, list_sum(b) / 4.0 AS second, list_sum(b) / 4.0 AS untouched FROM t")
+def raster_reclass_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One band of two is changed; a band that is missing leaves the raster as it is."""
+    total = lambda r, n: F.aggregate(raster.band(r, n)["pixels"], F.lit(0.0), lambda s, v: s + v)
+    changed, same = raster.reclass_band(F.col("r"), 1, RULES), raster.reclass_band(F.col("r"), 5, RULES)
+    return banded(spark, sf_dir).select("k", total(changed, 1).alias("first"), total(changed, 2).alias("second"), total(same, 2).alias("untouched"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +44,18 @@ def scalar_pg_math(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 sql("json_extract", "SELECT event_id, CAST(GET_JSON_OBJECT(props, '$.k') AS BIGINT) AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 sql("json_group", "SELECT CAST(GET_JSON_OBJECT(props, '$.k') AS BIGINT) % 10 AS k, COUNT(*) AS n FROM events GROUP BY CAST(GET_JSON_OBJECT(props, '$.k') AS BIGINT) % 10", "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS k, COUNT(*) AS n FROM events GROUP BY 1")
-sql("json_contains", "SELECT event_id FROM events WHERE GET_JSON_OBJECT(props, '$.k') = '69'", "SELECT event_id FROM events WHERE json_contains(props, '{\"k\": 69}')")
+NESTED = "'{\"k\": ' || CAST(event_id % 7 AS VARCHAR(9)) || ', \"a\": {\"b\": [' || CAST(event_id % 5 AS VARCHAR(9)) || ', {\"c\": \"x' || CAST(event_id % 3 AS VARCHAR(9)) || '\", \"d\": null}, [1, ' || CAST(event_id % 4 AS VARCHAR(9)) || ']], \"e\": ' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END || '}}'"
+WANTED = {"number": {"k": 3}, "nested": {"a": {"e": True}}, "inner": {"a": {"b": [{"c": "x1"}]}}, "several": {"k": 2, "a": {"b": [4, [3]]}}, "missing": {"z": 1}, "nothing": {}, "array": {"a": {"b": []}}, "missing_null": {"a": {"b": [{"d": None}]}}}
+_checks = ", ".join(f"json_contains({NESTED}, '{json.dumps(w)}') AS {n}" for n, w in WANTED.items())
+
+
+@query("json_contains", f"SELECT event_id, {_checks} FROM events")
+def json_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containment of objects, arrays and scalars at any depth."""
+    made = load(spark, sf_dir, "events", "event_id").withColumn("j", F.expr(NESTED.replace("VARCHAR(9)", "STRING")))
+    return made.select("event_id", *[pg.json_contains(F.col("j"), w).alias(n) for n, w in WANTED.items()])
+
+
 
 
 @query("json_typeof", "SELECT event_id, CASE json_type(props) WHEN 'OBJECT' THEN 'object' ELSE 'other' END AS kind, CASE WHEN json_type(props, '$.k') IN ('UBIGINT', 'BIGINT') THEN 'number' ELSE 'other' END AS inner_kind FROM events")

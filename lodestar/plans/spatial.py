@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lodestar.functions import geo
-from lodestar.operators.spatial import grid_join
+from lodestar.functions import geo, shapes
+from lodestar.operators.spatial import boxes_join, grid_join
 from lodestar.plans.registry import query
 from lodestar.sources.shipping import ship
 from lodestar.sources.tables import load
@@ -72,20 +73,34 @@ def st_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("k", "area", "perimeter", F.col("c.x").alias("cx"), F.col("c.y").alias("cy"), F.col("b.xmin").alias("xmin"), F.col("b.ymax").alias("ymax"))
 
 
-@query("st_segments_intersect", f"{POINTS} SELECT k, (x <= 500 AND 400 BETWEEN LEAST(y, 800 - y) AND GREATEST(y, 800 - y)) OR (x > 500 AND x - 1000 <= 500 AND FALSE) AS hit FROM t WHERE x IS NOT NULL AND y IS NOT NULL")
+@query("st_segments_intersect", f"{POINTS} SELECT k, CASE WHEN y = 400 THEN x <= 500 ELSE x + 100 <= 500 END AS hit FROM t WHERE x IS NOT NULL AND y IS NOT NULL")
 def st_segments_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Upright segments from (x, y) to (x, 800 - y) against one that lies from (0, 400) to (500, 400)."""
+    """Slanted segments from (x, y) to (x + 200, 800 - y), some of them flat, against one that lies from (0, 400) to (500, 400)."""
     some, x, y = points(spark, sf_dir).where("x IS NOT NULL AND y IS NOT NULL"), F.col("x"), F.col("y")
-    return some.select("k", geo.segments_intersect(x, y, x, 800 - y, F.lit(0.0), F.lit(400.0), F.lit(500.0), F.lit(400.0)).alias("hit"))
+    return some.select("k", geo.segments_intersect(x, y, x + 200, 800 - y, F.lit(0.0), F.lit(400.0), F.lit(500.0), F.lit(400.0)).alias("hit"))
 
 
-@query("st_bbox_overlap", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND ABS(a.n_nationkey * 13 % 50 - b.n_nationkey * 13 % 50) <= 9 AND ABS(a.n_nationkey * 29 % 50 - b.n_nationkey * 29 % 50) <= 9")
+OVERLAPS = "a.c_custkey < b.c_custkey AND ABS(a.c_custkey * 13 % 500 - b.c_custkey * 13 % 500) <= 9 AND ABS(a.c_custkey * 29 % 700 - b.c_custkey * 29 % 700) <= 9"
+
+
+def overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of boxes of customers that have a point in common."""
+    k = F.col("c_custkey")
+    boxes = load(spark, sf_dir, "customer", "c_custkey").select(k, (k * 13 % 500).alias("x"), (k * 29 % 700).alias("y"))
+    side = lambda n: boxes.select(k.alias(n), F.col("x").alias(f"{n}x0"), F.col("y").alias(f"{n}y0"), (F.col("x") + 9).alias(f"{n}x1"), (F.col("y") + 9).alias(f"{n}y1"))
+    box = lambda n: (f"{n}x0", f"{n}y0", f"{n}x1", f"{n}y1")
+    return boxes_join(side("a"), box("a"), side("b"), box("b"), 10).where("a < b").select("a", "b")
+
+
+@query("st_bbox_overlap", f"SELECT a.c_custkey AS a, b.c_custkey AS b FROM customer a JOIN customer b ON {OVERLAPS}")
 def st_bbox_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("n_nationkey")
-    boxes = load(spark, sf_dir, "nation", "n_nationkey").select(k, (k * 13 % 50).alias("x"), (k * 29 % 50).alias("y"))
-    side = lambda n: (F.col(f"{n}.x"), F.col(f"{n}.y"), F.col(f"{n}.x") + 9, F.col(f"{n}.y") + 9)
-    met = boxes.alias("a").join(boxes.alias("b"), (F.col("a.n_nationkey") < F.col("b.n_nationkey")) & geo.boxes_intersect(side("a"), side("b")))
-    return met.select(F.col("a.n_nationkey").alias("a"), F.col("b.n_nationkey").alias("b"))
+    return overlapping(spark, sf_dir)
+
+
+@query("st_bbox_hits", f"SELECT a.c_custkey AS a, COUNT(*) AS hits FROM customer a JOIN customer b ON {OVERLAPS} GROUP BY a.c_custkey")
+def st_bbox_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many boxes each meets."""
+    return overlapping(spark, sf_dir).groupBy("a").agg(F.count(F.lit(1)).alias("hits"))
 
 
 ZONES = "z AS (SELECT c_custkey AS zone, CAST(c_custkey * 53 % 1000 AS DOUBLE) AS x0, CAST(c_custkey * 71 % 800 AS DOUBLE) AS y0 FROM customer)"
@@ -100,13 +115,29 @@ def spatial_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.groupBy("zone").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("lo"))
 
 
-@query("st_from_text", "SELECT p_partkey AS k, 'POLYGON' AS kind, 5 AS npoints, CAST(p_size AS DOUBLE) AS xmax, FALSE AS empty, 4326 AS srid, p_size > 0 AS valid FROM part")
+#: Texts of geometries by the key's remainder, and what they are: kind, points, greatest x, emptiness, validity.
+KINDS = (
+    ("'POINT(' || n || ' 7)'", "POINT", "1", "n", "FALSE", "TRUE"),
+    ("'SRID=4326;LINESTRING(0 0,' || n || ' 1,2 5)'", "LINESTRING", "3", "GREATEST(n, 2)", "FALSE", "TRUE"),
+    ("'SRID=3857;POLYGON((0 0,0 9,' || n || ' 9,' || n || ' 0,0 0))'", "POLYGON", "5", "n", "FALSE", "TRUE"),
+    ("'POLYGON((0 0,' || n || ' ' || n || ',' || n || ' 0,0 ' || n || ',0 0))'", "POLYGON", "5", "n", "FALSE", "FALSE"),
+    ("'MULTIPOINT((1 2),(' || n || ' 4),(0 0))'", "MULTIPOINT", "3", "GREATEST(n, 1)", "FALSE", "TRUE"),
+    ("'MULTIPOLYGON(((0 0,1 0,1 1,0 0)),((' || n || ' 5,60 5,60 6,' || n || ' 5)))'", "MULTIPOLYGON", "8", "60", "FALSE", "TRUE"),
+    ("'GEOMETRYCOLLECTION(POINT(' || n || ' 1),LINESTRING(0 0,2 2))'", "GEOMETRYCOLLECTION", "3", "GREATEST(n, 2)", "FALSE", "TRUE"),
+    ("'SRID=4326;LINESTRING EMPTY'", "LINESTRING", "0", "NULL", "TRUE", "TRUE"),
+    ("NULL", "", "NULL", "NULL", "NULL", "NULL"),
+)
+_of = lambda i: " ".join(f"WHEN {r} THEN {k[i]}" for r, k in enumerate(KINDS))
+_kinds = " ".join(f"WHEN {r} THEN {repr(k[1]) if k[1] else 'NULL'}" for r, k in enumerate(KINDS))
+
+
+@query("st_from_text", f"WITH t AS (SELECT p_partkey AS k, p_partkey % {len(KINDS)} AS r, p_size AS n FROM part) SELECT k, CASE r {_kinds} END AS kind, CAST(CASE r {_of(2)} END AS INTEGER) AS npoints, CAST(CASE r {_of(3)} END AS DOUBLE) AS xmax, CASE r {_of(4)} END AS empty, CASE r WHEN 1 THEN 4326 WHEN 2 THEN 3857 WHEN 7 THEN 4326 WHEN 8 THEN NULL ELSE 0 END AS srid, CASE r {_of(5)} END AS valid FROM t")
 def st_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Geometries written as text and parsed again."""
+    """Geometries of every kind from text: valid, crossing themselves, empty and NULL."""
     ship(spark.sparkContext)
-    n = F.col("p_size")
-    text = F.concat(F.lit("SRID=4326;"), geo.as_text(geo.envelope(F.lit(0), F.lit(0), n, n + 1), "POLYGON"))
-    g = load(spark, sf_dir, "part", "p_partkey", "p_size").select(F.col("p_partkey").alias("k"), geo.from_text(text).alias("g"))
+    text = "CASE r " + " ".join(f"WHEN {r} THEN {k[0]}" for r, k in enumerate(KINDS)) + " END"
+    some = load(spark, sf_dir, "part", "p_partkey", "p_size").selectExpr("p_partkey AS k", f"p_partkey % {len(KINDS)} AS r", "CAST(p_size AS STRING) AS n")
+    g = some.selectExpr("k", f"{text} AS g").select("k", geo.from_text(F.col("g")).alias("g"))
     return g.select("k", "g.kind", "g.npoints", "g.xmax", "g.empty", "g.srid", "g.valid")
 
 
@@ -115,3 +146,135 @@ def st_segmentize(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = geo.segmentize(F.array(geo.point(F.lit(0), F.lit(1)), geo.point(F.col("p_size"), F.lit(1))), 4)
     out = load(spark, sf_dir, "part", "p_partkey", "p_size").select(F.col("p_partkey").alias("k"), line.alias("l"))
     return out.select("k", F.size("l").alias("n"), F.round(geo.length(F.col("l")), 9).alias("length"))
+
+
+# Geometry columns: boxes and lines made from keys, so that SQL can say how they lie.
+BOXES = "t AS (SELECT p_partkey AS k, p_partkey % 6 AS ax, p_partkey % 6 + 1 + p_partkey % 4 AS ax1, p_partkey * 5 % 6 AS ay, p_partkey * 5 % 6 + 1 + p_partkey % 3 AS ay1, p_partkey * 7 % 5 AS bx, p_partkey * 7 % 5 + 1 + p_partkey // 6 % 4 AS bx1, p_partkey * 3 % 7 AS y, p_partkey * 3 % 7 + 1 + p_partkey // 4 % 3 AS y1 FROM part)"
+MEET = "ax <= bx1 AND bx <= ax1 AND ay <= y1 AND y <= ay1"
+INSIDE = "ax < bx1 AND bx < ax1 AND ay < y1 AND y < ay1"
+A_IN_B = "ax >= bx AND ax1 <= bx1 AND ay >= y AND ay1 <= y1"
+B_IN_A = "bx >= ax AND bx1 <= ax1 AND y >= ay AND y1 <= ay1"
+
+
+def box_text(x0: str, y0: str, x1: str, y1: str) -> str:
+    """A rectangle's text, in SQL."""
+    return " || ".join(f"CAST({a} AS STRING) || ' ' || CAST({b} AS STRING) || '{end}'" for a, b, end in ((x0, y0, ","), (x1, y0, ","), (x1, y1, ","), (x0, y1, ","), (x0, y0, "))")))
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rectangles of each part as geometry columns; every 19th first one is NULL."""
+    ship(spark.sparkContext)
+    made = load(spark, sf_dir, "part", "p_partkey").selectExpr(
+        "p_partkey AS k", "p_partkey % 6 AS ax", "p_partkey % 6 + 1 + p_partkey % 4 AS ax1", "p_partkey * 5 % 6 AS ay", "p_partkey * 5 % 6 + 1 + p_partkey % 3 AS ay1",
+        "p_partkey * 7 % 5 AS bx", "p_partkey * 7 % 5 + 1 + p_partkey div 6 % 4 AS bx1", "p_partkey * 3 % 7 AS y", "p_partkey * 3 % 7 + 1 + p_partkey div 4 % 3 AS y1",
+    )
+    texts = made.selectExpr("*", f"CASE WHEN k % 19 <> 0 THEN 'SRID=4326;POLYGON((' || {box_text('ax', 'ay', 'ax1', 'ay1')} END AS ta", f"'SRID=4326;POLYGON((' || {box_text('bx', 'y', 'bx1', 'y1')} AS tb")
+    return texts.withColumns({"a": shapes.st_from_text(F.col("ta")), "b": shapes.st_from_text(F.col("tb"))})
+
+
+_null = "CASE WHEN k % 19 <> 0 THEN {} END"
+_relations = {
+    "intersects": MEET, "disjoint": f"NOT ({MEET})", "contains": B_IN_A, "within": A_IN_B, "equals": f"({A_IN_B}) AND ({B_IN_A})",
+    "touches": f"({MEET}) AND NOT ({INSIDE})", "crosses": "FALSE", "overlaps": f"({INSIDE}) AND NOT ({A_IN_B}) AND NOT ({B_IN_A})",
+}
+
+
+@query("st_relations", f"WITH {BOXES} SELECT k, {', '.join(f'{_null.format(w)} AS {n}' for n, w in _relations.items())} FROM t")
+def st_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All relations of pairs of polygons."""
+    return boxes(spark, sf_dir).select("k", shapes.st_relate(F.col("a"), F.col("b")).alias("r")).select("k", "r.*")
+
+
+@query("st_polygon_distance", f"WITH {BOXES} SELECT k, ROUND({_null.format('SQRT(POW(GREATEST(ax - bx1, bx - ax1, 0), 2) + POW(GREATEST(ay - y1, y - ay1, 0), 2))')}, 9) AS d FROM t")
+def st_polygon_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boxes(spark, sf_dir).select("k", F.round(shapes.st_distance(F.col("a"), F.col("b")), 9).alias("d"))
+
+
+@query("st_pairwise_intersects", f"WITH {BOXES} SELECT COUNT(*) AS n, CAST(SUM(k) AS BIGINT) AS s FROM t WHERE k % 19 <> 0 AND {MEET}")
+def st_pairwise_intersects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pair i with i of two geometry columns."""
+    met = boxes(spark, sf_dir).where(shapes.st_relation("intersects", F.col("a"), F.col("b")))
+    return met.agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("s"))
+
+
+LINES = "t AS (SELECT p_partkey AS k, p_partkey % 9 - 2 AS x, p_partkey % 9 - 2 + 1 + p_partkey % 5 AS x1, p_partkey * 5 % 7 - 1 AS h FROM part)"
+
+
+@query("st_line_relations", f"WITH {LINES} SELECT k, x <= 4 AND x1 >= 0 AND h BETWEEN 0 AND 4 AS intersects, (x < 4 AND x1 > 0 AND h > 0 AND h < 4) AND NOT (x >= 0 AND x1 <= 4) AS crosses, x >= 0 AND x1 <= 4 AND h > 0 AND h < 4 AS within, (x <= 4 AND x1 >= 0 AND h BETWEEN 0 AND 4) AND NOT (x < 4 AND x1 > 0 AND h > 0 AND h < 4) AS touches FROM t")
+def st_line_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat lines against a square."""
+    ship(spark.sparkContext)
+    made = load(spark, sf_dir, "part", "p_partkey").selectExpr("p_partkey AS k", "p_partkey % 9 - 2 AS x", "p_partkey % 9 - 2 + 1 + p_partkey % 5 AS x1", "p_partkey * 5 % 7 - 1 AS h")
+    line = shapes.st_make_line(F.array(shapes.st_make_point(F.col("x"), F.col("h")), shapes.st_make_point(F.col("x1"), F.col("h"))))
+    r = shapes.st_relate(line, shapes.geometry("POLYGON((0 0,4 0,4 4,0 4,0 0))"))
+    return made.select("k", r.alias("r")).select("k", "r.intersects", "r.crosses", "r.within", "r.touches")
+
+
+TRIANGLES = "z AS (SELECT c_custkey AS zone, c_custkey * 53 % 1000 AS x0, c_custkey * 71 % 800 AS y0, 10 + c_custkey % 20 AS side FROM customer)"
+
+
+def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Right-angled triangles as a column of rings, with their boxes."""
+    c = F.col("c_custkey")
+    some = load(spark, sf_dir, "customer", "c_custkey").select(c.alias("zone"), (c * 53 % 1000).cast("double").alias("x0"), (c * 71 % 800).cast("double").alias("y0"), (10 + c % 20).alias("side")).withColumns({"x1": F.col("x0") + F.col("side"), "y1": F.col("y0") + F.col("side")})
+    corners = [geo.point(F.col(a), F.col(b)) for a, b in (("x0", "y0"), ("x1", "y0"), ("x0", "y1"), ("x0", "y0"))]
+    return some.withColumn("ring", F.array(*corners))
+
+
+def in_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exact = geo.ring_side(F.col("x"), F.col("y"), F.col("ring")) >= 0
+    return grid_join(points(spark, sf_dir), "x", "y", triangles(spark, sf_dir), ("x0", "y0", "x1", "y1"), 20, exact)
+
+
+IN_ZONE = "x >= x0 AND y >= y0 AND (x - x0) + (y - y0) <= side"
+
+
+@query("spatial_join_polygons", f"{POINTS}, {TRIANGLES} SELECT zone, COUNT(*) AS n, MIN(k) AS lo FROM t JOIN z ON {IN_ZONE} GROUP BY zone")
+def spatial_join_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points in polygons that are rows themselves, grouped by polygon."""
+    return in_triangles(spark, sf_dir).groupBy("zone").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("lo"))
+
+
+@query("window_over_spatial_join", f"{POINTS}, {TRIANGLES}, j AS (SELECT zone, k, x, y, x0, y0 FROM t JOIN z ON {IN_ZONE}) SELECT zone, k, CAST(rn AS BIGINT) AS rn, n FROM (SELECT zone, k, ROW_NUMBER() OVER (PARTITION BY zone ORDER BY (x - x0) * (x - x0) + (y - y0) * (y - y0), k) AS rn, COUNT(*) OVER (PARTITION BY zone) AS n FROM j) w WHERE rn <= 3")
+def window_over_spatial_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three points of each polygon that are nearest its corner."""
+    far = (F.col("x") - F.col("x0")) * (F.col("x") - F.col("x0")) + (F.col("y") - F.col("y0")) * (F.col("y") - F.col("y0"))
+    zone = Window.partitionBy("zone")
+    ranked = in_triangles(spark, sf_dir).select("zone", "k", F.row_number().over(zone.orderBy(far, "k")).cast("long").alias("rn"), F.count(F.lit(1)).over(zone).alias("n"))
+    return ranked.where("rn <= 3")
+
+
+@query("set_over_spatial", f"{POINTS} SELECT k FROM t WHERE {IN_TRIANGLE} EXCEPT SELECT k FROM t WHERE x >= 250 AND x <= 400 AND y >= 100 AND y <= 500")
+def set_over_spatial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points in a triangle except those in a box."""
+    x, y, some = F.col("x"), F.col("y"), points(spark, sf_dir)
+    box = [[(250, 100), (400, 100), (400, 500), (250, 500)]]
+    return some.where(geo.intersects(x, y, [TRIANGLE])).select("k").subtract(some.where(geo.intersects(x, y, box)).select("k"))
+
+
+@query("st_makers", "SELECT p_partkey AS k, 'LINESTRING(0 0,' || p_size || ' 3)' AS line, ROUND(SQRT(p_size * p_size + 9), 9) AS length, 'POLYGON((0 0,' || p_size || ' 0,' || p_size || ' 2,0 0))' AS polygon, CAST(p_size AS DOUBLE) AS area, 41 AS bytes FROM part")
+def st_makers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and polygons from points, their text and binary form."""
+    ship(spark.sparkContext)
+    n = F.col("p_size")
+    at = lambda x, y: shapes.st_make_point(x if not isinstance(x, int) else F.lit(x), F.lit(y))
+    made = load(spark, sf_dir, "part", "p_partkey", "p_size").select(F.col("p_partkey").alias("k"), shapes.st_make_line(F.array(at(0, 0), at(n, 3))).alias("l"), shapes.st_make_polygon(shapes.st_make_line(F.array(at(0, 0), at(n, 0), at(n, 2), at(0, 0)))).alias("p"))
+    return made.select("k", shapes.st_as_text(F.col("l")).alias("line"), F.round(shapes.st_length(F.col("l")), 9).alias("length"), shapes.st_as_text(F.col("p")).alias("polygon"), shapes.st_area(F.col("p")).alias("area"), F.octet_length(shapes.st_as_ewkb(F.col("l"))).alias("bytes"))
+
+
+@query("st_buffer_area", "SELECT p_partkey AS k, ROUND(16 * p_size * p_size * SIN(PI() / 16), 6) AS area, 33 AS npoints FROM part")
+def st_buffer_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points buffered by polygons of 32 corners."""
+    ship(spark.sparkContext)
+    parts = load(spark, sf_dir, "part", "p_partkey", "p_size").select(F.col("p_partkey").alias("k"), "p_size", shapes.st_make_point(F.col("p_partkey"), F.lit(1)).alias("g"))
+    unit = shapes.st_buffer(F.col("g"), 1.0)
+    return parts.select("k", F.round(shapes.st_area(unit) * F.col("p_size") * F.col("p_size"), 6).alias("area"), shapes.st_npoints(unit).alias("npoints"))
+
+
+@query("st_transform", f"{POINTS} SELECT k, ROUND((x / 10 - 50) * 20037508.342789244 / 180, 3) AS mx, ROUND(LN(TAN(PI() / 4 + RADIANS(y / 10 - 40) / 2)) * 20037508.342789244 / PI(), 3) AS my FROM t WHERE x IS NOT NULL AND y IS NOT NULL")
+def st_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degrees to the square map of the world."""
+    ship(spark.sparkContext)
+    some = points(spark, sf_dir).where("x IS NOT NULL AND y IS NOT NULL")
+    g = shapes.st_transform(shapes.st_make_point(F.col("x") / 10 - 50, F.col("y") / 10 - 40, 4326), 3857)
+    return some.select("k", g.alias("g")).select("k", F.round(shapes.st_x(F.col("g")), 3).alias("mx"), F.round(shapes.st_y(F.col("g")), 3).alias("my"))

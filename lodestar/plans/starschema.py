@@ -32,19 +32,19 @@ DISCOUNTED = f"CAST(SUM({PRICE} * CAST(ROUND(l_discount * 100) AS BIGINT)) AS BI
 SUPPLIED = f"{FACT} JOIN supplier ON l_suppkey = s_suppkey JOIN nation ns ON s_nationkey = ns.n_nationkey"
 SOLD = f"{SUPPLIED} JOIN customer ON o_custkey = c_custkey JOIN nation nc ON c_nationkey = nc.n_nationkey"
 
-sql("ssb_q1_1", f"SELECT {DISCOUNTED} AS revenue FROM {FACT} WHERE YEAR(o_orderdate) = 1997 AND l_discount BETWEEN 0.005 AND 0.035 AND l_quantity < 25")
+sql("ssb_q1_1", f"SELECT {DISCOUNTED} AS revenue FROM {FACT} WHERE o_orderdate >= TIMESTAMP '1997-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1998-01-01 00:00:00' AND l_discount BETWEEN 0.005 AND 0.035 AND l_quantity < 25")
 sql("ssb_q1_2", f"SELECT {DISCOUNTED} AS revenue FROM {FACT} WHERE o_orderdate >= TIMESTAMP '1997-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1997-02-01 00:00:00' AND l_discount BETWEEN 0.035 AND 0.065 AND l_quantity BETWEEN 26 AND 35")
 sql("ssb_q1_3", f"SELECT {DISCOUNTED} AS revenue FROM {FACT} WHERE o_orderdate >= TIMESTAMP '1997-02-03 00:00:00' AND o_orderdate < TIMESTAMP '1997-02-10 00:00:00' AND l_discount BETWEEN 0.045 AND 0.075 AND l_quantity BETWEEN 26 AND 40")
 sql("ssb_q2_1", f"SELECT {CENTS} AS revenue, {YEAR} AS y, p_brand FROM {SUPPLIED} JOIN part ON l_partkey = p_partkey WHERE p_type = 'ECONOMY' AND ns.n_regionkey = 1 GROUP BY YEAR(o_orderdate), p_brand")
 sql("ssb_q2_2", f"SELECT {CENTS} AS revenue, {YEAR} AS y, p_brand FROM {SUPPLIED} JOIN part ON l_partkey = p_partkey WHERE p_brand BETWEEN 'Brand#12' AND 'Brand#18' AND ns.n_regionkey = 2 GROUP BY YEAR(o_orderdate), p_brand")
 sql("ssb_q2_3", f"SELECT {CENTS} AS revenue, {YEAR} AS y, p_brand FROM {SUPPLIED} JOIN part ON l_partkey = p_partkey WHERE p_brand = 'Brand#3' AND ns.n_regionkey = 3 GROUP BY YEAR(o_orderdate), p_brand")
-sql("ssb_q3_1", f"SELECT nc.n_name AS c_nation, ns.n_name AS s_nation, {YEAR} AS y, {CENTS} AS revenue FROM {SOLD} WHERE nc.n_regionkey = 2 AND ns.n_regionkey = 2 AND YEAR(o_orderdate) BETWEEN 1996 AND 1999 GROUP BY nc.n_name, ns.n_name, YEAR(o_orderdate)")
-sql("ssb_q3_2", f"SELECT c_mktsegment, s_suppkey, {YEAR} AS y, {CENTS} AS revenue FROM {SOLD} WHERE nc.n_nationkey = 7 AND ns.n_nationkey = 7 AND YEAR(o_orderdate) BETWEEN 1996 AND 1999 GROUP BY c_mktsegment, s_suppkey, YEAR(o_orderdate)")
-sql("ssb_q3_3", f"SELECT c_custkey, s_suppkey, {YEAR} AS y, {CENTS} AS revenue FROM {SOLD} WHERE c_nationkey IN (3, 5) AND s_nationkey IN (3, 5) AND YEAR(o_orderdate) BETWEEN 1996 AND 1999 GROUP BY c_custkey, s_suppkey, YEAR(o_orderdate)")
+sql("ssb_q3_1", f"SELECT nc.n_name AS c_nation, ns.n_name AS s_nation, {YEAR} AS y, {CENTS} AS revenue FROM {SOLD} WHERE nc.n_regionkey = 2 AND ns.n_regionkey = 2 AND o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' AND o_orderdate < TIMESTAMP '2000-01-01 00:00:00' GROUP BY nc.n_name, ns.n_name, YEAR(o_orderdate)")
+sql("ssb_q3_2", f"SELECT c_mktsegment, s_suppkey, {YEAR} AS y, {CENTS} AS revenue FROM {SOLD} WHERE nc.n_nationkey = 7 AND ns.n_nationkey = 7 AND o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' AND o_orderdate < TIMESTAMP '2000-01-01 00:00:00' GROUP BY c_mktsegment, s_suppkey, YEAR(o_orderdate)")
+sql("ssb_q3_3", f"SELECT c_custkey, s_suppkey, {YEAR} AS y, {CENTS} AS revenue FROM {SOLD} WHERE c_nationkey IN (3, 5) AND s_nationkey IN (3, 5) AND o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' AND o_orderdate < TIMESTAMP '2000-01-01 00:00:00' GROUP BY c_custkey, s_suppkey, YEAR(o_orderdate)")
 sql("ssb_q3_4", f"SELECT c_custkey, s_suppkey, {YEAR} AS y, {CENTS} AS revenue FROM {SOLD} WHERE c_nationkey IN (3, 5, 9) AND s_nationkey IN (3, 5, 9) AND o_orderdate >= TIMESTAMP '1997-12-01 00:00:00' AND o_orderdate < TIMESTAMP '1998-01-01 00:00:00' GROUP BY c_custkey, s_suppkey, YEAR(o_orderdate)")
 sql("ssb_q4_1", f"SELECT {YEAR} AS y, nc.n_name AS c_nation, {CENTS} - CAST(SUM(CAST(l_quantity AS BIGINT) * 100) AS BIGINT) AS profit FROM {SOLD} JOIN part ON l_partkey = p_partkey WHERE nc.n_regionkey = 1 AND ns.n_regionkey = 1 AND p_type IN ('ECONOMY', 'SMALL') GROUP BY YEAR(o_orderdate), nc.n_name")
-sql("ssb_q4_2", f"SELECT {YEAR} AS y, ns.n_name AS s_nation, p_type, {CENTS} AS profit FROM {SOLD} JOIN part ON l_partkey = p_partkey WHERE nc.n_regionkey = 1 AND ns.n_regionkey = 1 AND YEAR(o_orderdate) IN (1997, 1998) AND p_type IN ('ECONOMY', 'SMALL') GROUP BY YEAR(o_orderdate), ns.n_name, p_type")
-sql("ssb_q4_3", f"SELECT {YEAR} AS y, s_suppkey, p_brand, {CENTS} AS profit FROM {SOLD} JOIN part ON l_partkey = p_partkey WHERE nc.n_regionkey = 1 AND ns.n_nationkey = 6 AND YEAR(o_orderdate) IN (1997, 1998) AND p_type = 'SMALL' GROUP BY YEAR(o_orderdate), s_suppkey, p_brand")
+sql("ssb_q4_2", f"SELECT {YEAR} AS y, ns.n_name AS s_nation, p_type, {CENTS} AS profit FROM {SOLD} JOIN part ON l_partkey = p_partkey WHERE nc.n_regionkey = 1 AND ns.n_regionkey = 1 AND o_orderdate >= TIMESTAMP '1997-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1999-01-01 00:00:00' AND p_type IN ('ECONOMY', 'SMALL') GROUP BY YEAR(o_orderdate), ns.n_name, p_type")
+sql("ssb_q4_3", f"SELECT {YEAR} AS y, s_suppkey, p_brand, {CENTS} AS profit FROM {SOLD} JOIN part ON l_partkey = p_partkey WHERE nc.n_regionkey = 1 AND ns.n_nationkey = 6 AND o_orderdate >= TIMESTAMP '1997-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1999-01-01 00:00:00' AND p_type = 'SMALL' GROUP BY YEAR(o_orderdate), s_suppkey, p_brand")
 sql("star_two_dimensions", "SELECT o_orderpriority, p_size, COUNT(*) AS n, CAST(SUM(l_linenumber) AS BIGINT) AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE p_size BETWEEN 5 AND 12 GROUP BY o_orderpriority, p_size")
 sql("star_dimension_filter", "SELECT c_nationkey, COUNT(*) AS n, CAST(SUM(o_custkey) AS BIGINT) AS s FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 1000 AND c_mktsegment <> 'FURNITURE' GROUP BY c_nationkey")
 

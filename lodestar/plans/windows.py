@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from lodestar.operators.recursion import recursive_union
+from lodestar.operators.windows import ntile, with_global_rank
 from lodestar.plans.registry import query, sql
 from lodestar.sources.tables import generate_series, load
 
@@ -24,33 +25,31 @@ sql("window_over_aggregate", "SELECT o_custkey, n, CAST(RANK() OVER (PARTITION B
 sql("window_top_per_group", f"SELECT user_id, event_id FROM (SELECT user_id, event_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rn FROM events) t WHERE rn <= 3")
 
 
-def with_global_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """A global row number in an order of unique keys, without one task for all rows: range partitions are numbered apart and offset by the counts before them.
+@query("window_global_row_number", "SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY o_totalprice, o_orderkey) AS rn FROM orders")
+def window_global_row_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_global_rank(load(spark, sf_dir, "orders", "o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], "rn").select("o_orderkey", "rn")
 
-    Only a row per partition goes through one task.
-    """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    own = dealt.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    counts = own.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return own.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
 
+@query("window_global_row_number_wide", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, ROW_NUMBER() OVER (ORDER BY o_orderstatus, o_totalprice, o_orderkey) AS rn FROM orders")
+def window_global_row_number_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With columns besides the keys."""
+    orders = load(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    return with_global_rank(orders, ["o_orderstatus", "o_totalprice", "o_orderkey"], "rn")
 
-@query("window_global_row_number", "SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY o_totalprice, o_orderkey) AS rn FROM orders")
-def window_global_row_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_global_rank(load(spark, sf_dir, "orders", "o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], "rn").select("o_orderkey", F.col("rn").cast("long").alias("rn"))
+
+@query("window_global_nulls", "SELECT o_orderkey, k, ROW_NUMBER() OVER (ORDER BY k NULLS FIRST, o_orderkey) AS rn FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey % 5 END AS k FROM orders) t")
+def window_global_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nulls and few different values in the first key."""
+    orders = load(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey") % 5).alias("k"))
+    return with_global_rank(orders, ["k", "o_orderkey"], "rn")
 
 
 @query("window_ntile_buckets", "SELECT b, COUNT(*) AS n, MIN(p) AS lo, MAX(p) AS hi FROM (SELECT CAST(NTILE(100) OVER (ORDER BY o_totalprice, o_orderkey) AS BIGINT) AS b, o_totalprice AS p FROM orders) t GROUP BY b")
 def window_ntile_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ntile(100) from global row numbers: the first ``rows % 100`` buckets have one row more."""
+    """ntile(100) from global row numbers."""
     orders = load(spark, sf_dir, "orders", "o_orderkey", "o_totalprice")
-    ranked = with_global_rank(orders, ["o_totalprice", "o_orderkey"], "rn").join(F.broadcast(orders.agg(F.count(F.lit(1)).alias("rows"))))
-    size, more, i = F.floor(F.col("rows") / 100), F.col("rows") % 100, F.col("rn") - 1
-    bucket = F.when(i < more * (size + 1), F.floor(i / (size + 1))).otherwise(more + F.floor((i - more * (size + 1)) / F.greatest(size, F.lit(1)))) + 1
-    return ranked.groupBy(bucket.cast("long").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"))
+    ranked = with_global_rank(orders, ["o_totalprice", "o_orderkey"], "rn")
+    return ranked.groupBy(ntile(ranked, "rn", 100, orders.count()).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"))
 
 
 sql("sort_top_k", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC NULLS LAST, l_orderkey, l_linenumber LIMIT 1000")
@@ -74,10 +73,19 @@ def recursive_union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("recursive_union", "WITH RECURSIVE s(n) AS (SELECT n_regionkey AS n FROM nation UNION SELECT n + 1 FROM s WHERE n < 12) SELECT CAST(n AS BIGINT) AS n FROM s")
-def recursive_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without duplicates: seeds are made distinct before and rows after a bounded recursion."""
-    text = "WITH RECURSIVE s(n) AS (SELECT DISTINCT n_regionkey AS n FROM {nation} UNION ALL SELECT n + 1 FROM s WHERE n < 12) SELECT DISTINCT CAST(n AS BIGINT) AS n FROM s"
-    return spark.sql(text, nation=load(spark, sf_dir, "nation"))
+def recursive_union_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds and rounds without duplicates."""
+    seed = load(spark, sf_dir, "nation", "n_regionkey").select(F.col("n_regionkey").cast("long").alias("n"))
+    return recursive_union(seed, lambda s: s.where("n < 12").select(F.col("n") + 1))
+
+
+@query("recursive_union_cycle", "WITH RECURSIVE s(n) AS (SELECT s_suppkey % 90 AS n FROM supplier WHERE s_suppkey <= 3 UNION SELECT e.t FROM s JOIN (SELECT c_custkey % 90 AS f, (c_custkey * 7 + 3) % 30 * 3 AS t FROM customer) e ON e.f = s.n) SELECT CAST(n AS BIGINT) AS n FROM s")
+def recursive_union_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What can be reached along edges that form cycles; the recursion ends when nothing is new."""
+    c = F.col("c_custkey")
+    edges = load(spark, sf_dir, "customer", "c_custkey").select((c % 90).cast("long").alias("f"), ((c * 7 + 3) % 30 * 3).cast("long").alias("t")).distinct()
+    seed = load(spark, sf_dir, "supplier", "s_suppkey").where("s_suppkey <= 3").select((F.col("s_suppkey") % 90).cast("long").alias("n"))
+    return recursive_union(seed, lambda s: s.join(edges, F.col("n") == F.col("f")).select("t"))
 
 
 @query("generate_series", "SELECT generate_series AS n FROM generate_series(5, 500, 7)")

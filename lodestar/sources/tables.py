@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import contextlib
+import hashlib
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -25,55 +27,95 @@ def generate_series(spark: SparkSession, start: int, stop: int, step: int = 1, n
     return spark.range(start, stop + (1 if step > 0 else -1), step).withColumnRenamed("id", name)
 
 
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of a table's files, as the store lists them."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, files = [], store.listFiles(where, True)
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath().toString()}:{f.getLen()}:{f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
+
+
+@dataclass
+class Pin:
+    """A table's pinned columns."""
+
+    df: DataFrame
+    path: str
+    columns: tuple[str, ...]
+    rows: int
+    size: int
+    files: str
+    hits: int = 0
+    misses: int = 0
+    loads: int = 1
+
+
 @dataclass
 class Pins:
     """Columns of tables kept in executors' storage; what does not fit in memory goes to disk.
 
     ``pin`` loads columns and returns the number of rows, ``refresh`` loads them again, ``unpin`` drops them and ``evict``
-    drops the table that was used least recently. ``budget`` bounds the estimated bytes; a table that would exceed it
-    is refused and read from its files as before.
+    drops the table that was used least recently. A pin whose files have changed is loaded again when it is next used. Columns
+    that are asked for and missing are pinned too if ``auto_load`` is set and the budget allows it. ``budget`` bounds the
+    estimated bytes; a table that would exceed it is refused and read from its files as before.
     """
 
     spark: SparkSession
     budget: int = 8 << 30
-    held: dict[str, tuple[DataFrame, str, tuple[str, ...], int, int]] = field(default_factory=dict)
+    auto_load: bool = True
+    held: dict[str, Pin] = field(default_factory=dict)
     used: list[str] = field(default_factory=list)
 
     def pin(self, name: str, path: str, columns: Iterable[str] | None = None) -> int:
         chosen = tuple(columns) if columns is not None else tuple(self.spark.read.parquet(path).columns)
-        if name in self.held:
-            chosen = tuple(dict.fromkeys([*self.held[name][2], *chosen]))
-            self.unpin(name)
+        was = self.held.get(name)
+        if was:
+            chosen = tuple(dict.fromkeys([*was.columns, *chosen]))
         df = self.spark.read.parquet(path).select(*chosen)
         size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        if size + self.live_bytes() > self.budget:
-            raise MemoryError(f"{name} needs about {size} bytes; {self.budget - self.live_bytes()} are left")
+        left = self.budget - self.live_bytes() + (was.size if was else 0)
+        if size > left:
+            raise MemoryError(f"{name} needs about {size} bytes; {left} are left")
+        self.unpin(name)
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
         rows = df.count()
-        self.held[name] = (df, path, chosen, rows, size)
+        self.held[name] = Pin(df, path, chosen, rows, size, fingerprint(self.spark, path), *((was.hits, was.misses, was.loads + 1) if was else ()))
         self.used.append(name)
         return rows
 
     def table(self, name: str, path: str, columns: Iterable[str]) -> DataFrame:
-        """The columns, from storage if they are pinned; missing ones are read from the files."""
-        columns = tuple(columns)
-        if name in self.held and set(columns) <= set(self.held[name][2]):
-            self.used.remove(name)
-            self.used.append(name)
-            return self.held[name][0].select(*columns)
+        """The columns, from storage where they are pinned and the files are as they were."""
+        columns, pin = tuple(columns), self.held.get(name)
+        if pin:
+            if pin.files != fingerprint(self.spark, path):
+                self.refresh(name)
+                pin = self.held[name]
+            if not set(columns) <= set(pin.columns):
+                pin.misses += 1
+                if self.auto_load:
+                    with contextlib.suppress(MemoryError):
+                        self.pin(name, path, columns)
+                        pin = self.held[name]
+            if set(columns) <= set(pin.columns):
+                pin.hits += 1
+                self.used.remove(name)
+                self.used.append(name)
+                return pin.df.select(*columns)
         return self.spark.read.parquet(path).select(*columns)
 
     def refresh(self, name: str) -> int:
         """Loads the files anew, after they have been changed."""
-        _, path, columns, _, _ = self.held[name]
-        self.unpin(name)
-        self.spark.catalog.refreshByPath(path)
-        return self.pin(name, path, columns)
+        pin = self.held[name]
+        self.spark.catalog.refreshByPath(pin.path)
+        return self.pin(name, pin.path, pin.columns)
 
     def unpin(self, name: str) -> bool:
         found = self.held.pop(name, None)
         if found:
-            found[0].unpersist()
+            found.df.unpersist()
             self.used.remove(name)
         return found is not None
 
@@ -85,11 +127,25 @@ class Pins:
         return name
 
     def live_bytes(self) -> int:
-        return sum(x[4] for x in self.held.values())
+        return sum(p.size for p in self.held.values())
 
     def status(self) -> DataFrame:
-        rows = [(n, list(c), r, s) for n, (_, _, c, r, s) in self.held.items()]
-        return self.spark.createDataFrame(rows, "name string, columns array<string>, rows long, bytes long")
+        """Each pinned table: columns, rows, estimated bytes."""
+        return self.spark.createDataFrame([(n, list(p.columns), p.rows, p.size) for n, p in self.held.items()], "name string, columns array<string>, rows long, bytes long")
+
+    def ingestion(self) -> DataFrame:
+        """How often each table was loaded, and served from storage or not."""
+        return self.spark.createDataFrame([(n, p.loads, p.hits, p.misses) for n, p in self.held.items()], "name string, loads long, hits long, misses long")
+
+    def representation(self) -> DataFrame:
+        """The type of each pinned column and where it is kept."""
+        rows = [(n, c, t, str(p.df.storageLevel)) for n, p in self.held.items() for c, t in p.df.dtypes]
+        return self.spark.createDataFrame(rows, "name string, column string, type string, storage string")
+
+    def dependencies(self) -> DataFrame:
+        """The files each pin was made from, and whether they are still the same."""
+        rows = [(n, p.path, p.files, p.files == fingerprint(self.spark, p.path)) for n, p in self.held.items()]
+        return self.spark.createDataFrame(rows, "name string, path string, files string, current boolean")
 
 
 def write_table(df: DataFrame, path: str, mode: str = "errorifexists", partition_by: Iterable[str] = (), rows_per_file: int = 0) -> None:
@@ -119,3 +175,50 @@ def insert_select(df: DataFrame, path: str) -> None:
 def point_lookup(df: DataFrame, column: str, value) -> DataFrame:  # noqa: ANN001
     """Rows with one key; the filter is pushed into the scan, where row groups are skipped by their statistics."""
     return df.where(F.col(column) == F.lit(value))
+
+
+def rewrite(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame]) -> int:
+    """Replaces a Parquet table by what ``change`` makes of it; returns its number of rows.
+
+    The new files are written beside the old ones, which are moved away only then: readers that began before a change may fail,
+    but a job that dies leaves the old table or the new one, never a part.
+    """
+    jvm = spark._jvm
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    store = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    new, old = f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
+    store.delete(at(new), True)
+    change(spark.read.parquet(path)).write.parquet(new)
+    store.delete(at(old), True)
+    store.rename(at(path), at(old))
+    store.rename(at(new), at(path))
+    store.delete(at(old), True)
+    spark.catalog.refreshByPath(path)
+    return spark.read.parquet(path).count()
+
+
+def delete_where(spark: SparkSession, path: str, condition: Column) -> int:
+    """DELETE: rows for which the condition is not true stay, those where it is NULL too."""
+    return rewrite(spark, path, lambda df: df.where(~F.coalesce(condition, F.lit(False))))
+
+
+def update_where(spark: SparkSession, path: str, values: dict[str, Column], condition: Column) -> int:
+    """UPDATE: new values of some columns where the condition is true, all from the old row; types stay."""
+
+    def change(df: DataFrame) -> DataFrame:
+        hit = F.coalesce(condition, F.lit(False))
+        return df.select(*[F.when(hit, values[c].cast(t)).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c, t in df.dtypes])
+
+    return rewrite(spark, path, change)
+
+
+@dataclass
+class Prepared:
+    """A statement with named parameters (:name) over tables; it is run with values, which can't change its meaning."""
+
+    text: str
+    tables: dict[str, DataFrame]
+
+    def __call__(self, **values) -> DataFrame:  # noqa: ANN003
+        spark = next(iter(self.tables.values())).sparkSession
+        return spark.sql(self.text, args=values, **self.tables)

@@ -8,11 +8,13 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.functions import geo, h3, pg, raster
+from lodestar.functions import geo, h3, pg, raster, registry, shapes
 from lodestar.operators.aggregates import distinct_on, ordered_array
 from lodestar.operators.joins import null_aware_anti, range_join, salted_join
-from lodestar.operators.spatial import grid_join
-from lodestar.sources.tables import Pins, create_table_as, generate_series, insert_select, write_table
+from lodestar.operators.recursion import recursive_union
+from lodestar.operators.spatial import boxes_join, grid_join
+from lodestar.operators.windows import with_global_rank
+from lodestar.sources.tables import Pins, Prepared, create_table_as, delete_where, generate_series, insert_select, load, update_where, write_table
 
 
 def values(df):
@@ -63,19 +65,115 @@ def test_grid_join(spark):
 
 def test_pins(spark, tmp_path):
     path = str(tmp_path / "t")
-    write_table(spark.range(100).withColumn("v", F.col("id") * 2), path)
+    write_table(spark.range(100).withColumns({"v": F.col("id") * 2, "w": F.col("id") * 3}), path)
     pins = Pins(spark)
     assert pins.pin("t", path, ["id"]) == 100
     assert pins.status().collect()[0].columns == ["id"]
     assert pins.table("t", path, ["id"]).storageLevel.useMemory or pins.table("t", path, ["id"]).count() == 100
-    assert pins.table("t", path, ["v"]).count() == 100  # not pinned: read from its file
-    insert_select(spark.createDataFrame([(7, 100)], "v long, id long"), path)
+    assert pins.table("t", path, ["v"]).count() == 100  # not pinned: it is now
+    assert pins.status().collect()[0].columns == ["id", "v"]
+    insert_select(spark.createDataFrame([(7, 8, 100)], "v long, w long, id long"), path)
+    assert not pins.dependencies().collect()[0].current
+    assert pins.table("t", path, ["id"]).count() == 101  # the change is seen
+    assert pins.dependencies().collect()[0].current and pins.ingestion().collect()[0].loads == 3
+    assert [r.column for r in pins.representation().collect()] == ["id", "v"]
     assert pins.refresh("t") == 101
+    pins.budget = pins.live_bytes()
+    assert pins.table("t", path, ["w"]).count() == 101 and pins.status().collect()[0].columns == ["id", "v"]  # no room: read from its files
     assert pins.evict() == "t" and not pins.unpin("t") and pins.live_bytes() == 0
     with pytest.raises(MemoryError):
         Pins(spark, budget=1).pin("t", path)
 
 
+def test_changed_tables(spark, tmp_path):
+    path = str(tmp_path / "t")
+    write_table(spark.range(10).withColumn("v", F.when(F.col("id") % 3 != 0, F.col("id").cast("int"))), path)
+    assert delete_where(spark, path, F.col("v") > 6) == 8
+    assert update_where(spark, path, {"v": F.col("v") + F.col("id")}, F.col("id") < 3) == 8
+    got = {r.id: r.v for r in spark.read.parquet(path).collect()}
+    assert got == {0: None, 1: 2, 2: 4, 3: None, 4: 4, 5: 5, 6: None, 9: None}
+    assert dict(spark.read.parquet(path).dtypes)["v"] == "int"
+
+
+def test_prepared_statements(spark):
+    find = Prepared("SELECT id, s FROM {t} WHERE s = :name AND id > :least", {"t": spark.createDataFrame([(1, "a"), (2, "a"), (3, "x' OR 1=1")], "id int, s string")})
+    assert values(find(name="a", least=1)) == [(2, "a")]
+    assert values(find(name="x' OR 1=1", least=0)) == [(3, "x' OR 1=1")]
+
+
+def test_global_row_numbers(spark, tmp_path, sf_dir):
+    """Right whatever else is selected, over several files, with nulls, and for tables without rows."""
+    path = str(tmp_path / "o")
+    load(spark, sf_dir, "orders").repartition(7).write.parquet(path)
+    got = with_global_rank(spark.read.parquet(path), ["o_totalprice", "o_orderkey"], "rn").toPandas().sort_values("rn")
+    assert got["rn"].tolist() == list(range(1, len(got) + 1))
+    keys = list(zip(got["o_totalprice"], got["o_orderkey"], strict=True))
+    assert keys == sorted(keys)
+    rows = [(i, None if i % 3 else i % 7, float("nan") if i % 5 == 0 else i / 2) for i in range(500)]
+    some = spark.createDataFrame(rows, "i int, a int, _part double").repartition(5)
+    got = with_global_rank(some, ["a", "_part", "i"], "rn").orderBy("rn").collect()
+    assert [r.rn for r in got] == list(range(1, 501))
+    assert [r.i for r in got] == [r.i for r in some.orderBy("a", "_part", "i").collect()]
+    assert with_global_rank(some.where("i < 0"), ["i"], "rn").count() == 0
+
+
+def test_recursive_union(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, None), (9, 9)], "f int, t int")
+    seed = spark.createDataFrame([(1,), (1,)], "n int")
+    got = [r.n for r in recursive_union(seed, lambda s: s.join(edges, F.col("n") == F.col("f")).select("t")).collect()]
+    assert sorted(got, key=str) == [1, 2, 3, None]
+
+
+def test_wide_ranges_and_boxes(spark):
+    """Ranges and boxes far wider than the buckets are copied a few times only."""
+    points = spark.createDataFrame([(i, float(i)) for i in range(0, 1000, 7)], "p int, x double")
+    ranges = [(0, -1e9, 1e9), (1, 10.0, 500.0), (2, 3.0, 3.5), (3, 40.0, 45.0), (4, 0.0, float("inf"))]
+    joined = range_join(points, spark.createDataFrame(ranges, "q int, lo double, hi double"), "x", "lo", "hi", 1)
+    want = [(i, q) for i in range(0, 1000, 7) for q, lo, hi in ranges if lo <= i <= hi < float("inf")]
+    assert values(joined.select("p", "q")) == sorted(want)
+    r = random.Random(5)
+    made = lambda n, wide: [(i, x := r.uniform(-50, 50), y := r.uniform(-50, 50), x + r.choice((0, 1, wide)), y + r.choice((0, 2, wide))) for i in range(n)]
+    a, b = made(60, 300), made(50, 90)
+    left, right = (spark.createDataFrame(rows, f"{n} int, {n}x0 double, {n}y0 double, {n}x1 double, {n}y1 double") for n, rows in (("a", a), ("b", b)))
+    got = boxes_join(left, ("ax0", "ay0", "ax1", "ay1"), right, ("bx0", "by0", "bx1", "by1"), 2).select("a", "b")
+    want = [(i, j) for i, x0, y0, x1, y1 in a for j, u0, v0, u1, v1 in b if x0 <= u1 and u0 <= x1 and y0 <= v1 and v0 <= y1]
+    assert values(got) == sorted(want)
+    got = grid_join(spark.createDataFrame([(i, r.uniform(-60, 300), r.uniform(-60, 300)) for i in range(200)], "p int, x double, y double"), "x", "y", left, ("ax0", "ay0", "ax1", "ay1"), 2)
+    assert all(q.ax0 <= q.x <= q.ax1 and q.ay0 <= q.y <= q.ay1 for q in got.collect()) and got.count() == got.select("p", "a").distinct().count()
+
+
+def test_functions_by_name(spark):
+    names = registry.register(spark)
+    assert {"st_intersects", "st_overlaps", "h3_grid_disk"} <= set(names)
+    got = spark.sql("SELECT st_area(st_geomfromtext('POLYGON((0 0,4 0,4 2,0 0))')) AS a, h3_latlng_to_cell(37.3615593D, -122.0553238D, 7) AS c, size(h3_grid_disk(h3_latlng_to_cell(10D, 20D, 5), 2)) AS n").collect()[0]
+    assert (got.a, got.c, got.n) == (4.0, 0x87283472BFFFFFF, 19)
+    assert dict(r for r in registry.device_info(spark).collect())["version"] == registry.version()
+    assert {r.operator for r in registry.plan_stats(spark.range(10).groupBy().count()).collect()} & {"HashAggregate"}
+
+
+def test_json_contains(spark):
+    rows = [('{"a": [1, {"b": "x"}], "n": 2.0}', {"a": [{"b": "x"}], "n": 2}, True), ('{"a": 1}', {"a": "1"}, False), ('["foo", "bar"]', "bar", True), ('["foo"]', ["foo", "foo"], True), ("[1, 2]", [3], False), ('{"a": null}', {"a": None}, True), ("{}", {"a": None}, False), ("null", None, True), ('"x"', "x", True), ('{"it\'s": 1}', {"it's": 1}, True)]
+    for text, want, found in rows:
+        assert spark.createDataFrame([(text,)], "j string").select(pg.json_contains(F.col("j"), want)).collect()[0][0] is found, (text, want)
+    assert spark.createDataFrame([(None,)], "j string").select(pg.json_contains(F.col("j"), {})).collect()[0][0] is None
+
+
+def test_raster_bands(spark):
+    one = spark.range(1)
+    r = raster.add_band(raster.make_empty(F.lit(2), F.lit(2)), "16BSI", F.array(F.lit(1), F.lit(-2), F.lit(300), F.lit(0)), nodata=0)
+    got = one.select(raster.as_binary(r).alias("b"), raster.band_value(r, 1, F.lit(2), F.lit(2)).alias("none"), raster.band_value(r, 1, F.lit(1), F.lit(2)).alias("v"), raster.band_value(r, 2, F.lit(1), F.lit(1)).alias("missing")).collect()[0]
+    import struct
+
+    assert bytes(got.b) == struct.pack("<BHHddddddiHH", 1, 0, 1, 1.0, -1.0, 0, 0, 0, 0, 0, 2, 2) + bytes([5 | 64]) + struct.pack("<5h", 0, 1, -2, 300, 0)
+    assert (got.none, got.v, got.missing) == (None, 300.0, None)
+    assert one.select(raster.num_bands(raster.make_empty(F.lit(None).cast("int"), F.lit(2)))).collect()[0][0] is None
+    with pytest.raises(Exception, match="not a 8BUI"):
+        one.select(raster.add_band(raster.make_empty(F.lit(1), F.lit(1)), "8BUI", F.array(F.lit(256)))).collect()
+    with pytest.raises(ValueError):
+        raster.add_band(raster.make_empty(F.lit(1), F.lit(1)), "8BUI", 256)
+    assert raster.fits("32BF", 0.5) and not raster.fits("1BB", 2)
+
+
 def test_partitioned_and_bucketed_tables(spark, tmp_path):
     path = str(tmp_path / "p")
     write_table(spark.range(90).withColumn("k", F.col("id") % 3), path, partition_by=["k"], rows_per_file=20)
@@ -115,12 +213,14 @@ TEXTS = {
 
 def test_parse():
     for text, (kind, empty, n, valid) in TEXTS.items():
-        _, k, e, m, *_, v = geo.parse(text)
-        assert (k, e, m, v) == (kind, empty, n, valid), text
-    assert geo.parse(None)[0] is None and geo.parse("SRID=4326;POINT(1 2)")[0] == 4326
+        g = shapes.from_wkt(text)
+        assert (g.kind, g.empty, len(g.vertices), shapes.valid(g)) == (kind, empty, n, valid), text
+        again = shapes.from_ewkb(shapes.to_ewkb(g))
+        assert (again.srid, shapes.to_wkt(again)) == (g.srid, shapes.to_wkt(g))
+    assert shapes.from_wkt("SRID=4326;POINT(1 2)").srid == 4326
     for bad in ("CIRCLE(1 2)", "POINT(1 2", "", "12"):
         with pytest.raises(ValueError):
-            geo.parse(bad)
+            shapes.from_wkt(bad)
 
 
 def test_in_ring_against_plain(spark):
@@ -141,8 +241,86 @@ def test_in_ring_against_plain(spark):
 
 
 def test_srid_mismatch(spark):
-    with pytest.raises(Exception, match="mixed SRIDs"):
-        spark.range(1).select(geo.same_srid(F.lit(4326), F.lit(3857), F.lit(True)).alias("v")).collect()
+    """Raised by every predicate and distance; NULL stays NULL."""
+    a, b = shapes.geometry("SRID=4326;POINT(1 2)"), shapes.geometry("SRID=3857;POINT(1 2)")
+    for f in (shapes.st_relate(a, b), shapes.st_distance(a, b), shapes.st_dwithin(a, b, 1.0), shapes.st_relation("touches", a, b)):
+        with pytest.raises(Exception, match="mixed SRIDs"):
+            spark.range(1).select(f.alias("v")).collect()
+    null = F.lit(None).cast("binary")
+    got = spark.range(1).select(shapes.st_relate(a, null).alias("r"), shapes.st_distance(null, b).alias("d")).collect()[0]
+    assert set(got.r) == {None} and got.d is None
+
+
+def relations(a, b):
+    return {k for k, v in shapes.relate(shapes.from_wkt(a), shapes.from_wkt(b)).items() if v}
+
+
+SQUARE = "POLYGON((0 0,4 0,4 4,0 4,0 0))"
+HOLED = "POLYGON((0 0,4 0,4 4,0 4,0 0),(1 1,3 1,3 3,1 3,1 1))"
+LYING = [
+    (SQUARE, "POLYGON((2 2,6 2,6 6,2 6,2 2))", {"overlaps"}),
+    (SQUARE, "POLYGON((4 0,8 0,8 4,4 4,4 0))", {"touches"}),
+    (SQUARE, "POLYGON((4 4,8 4,8 8,4 8,4 4))", {"touches"}),
+    (SQUARE, "POLYGON((1 1,2 1,2 2,1 2,1 1))", {"contains"}),
+    (SQUARE, "POLYGON((0 0,0 4,4 4,4 0,0 0))", {"contains", "within", "equals"}),
+    (SQUARE, "POLYGON((0 0,2 0,2 4,0 4,0 0))", {"contains"}),
+    (HOLED, "POLYGON((1 1,3 1,3 3,1 3,1 1))", {"touches"}),
+    (HOLED, "POINT(2 2)", None),
+    ("LINESTRING(0 0,4 4)", "LINESTRING(0 4,4 0)", {"crosses"}),
+    ("LINESTRING(0 0,4 4)", "LINESTRING(2 2,6 6)", {"overlaps"}),
+    ("LINESTRING(0 0,4 4)", "LINESTRING(4 4,6 0)", {"touches"}),
+    ("LINESTRING(0 0,4 4)", "LINESTRING(2 2,6 0)", {"touches"}),
+    ("LINESTRING(0 0,4 0,4 4)", "LINESTRING(4 4,4 0,0 0)", {"contains", "within", "equals"}),
+    ("LINESTRING(-1 2,5 2)", SQUARE, {"crosses"}),
+    ("LINESTRING(1 2,3 2)", SQUARE, {"within"}),
+    ("LINESTRING(0 0,4 0)", SQUARE, {"touches"}),
+    ("POINT(0 0)", SQUARE, {"touches"}),
+    ("POINT(1 1)", SQUARE, {"within"}),
+    ("MULTIPOINT(1 1,9 9)", SQUARE, {"crosses"}),
+    ("MULTIPOINT(1 1,9 9)", "MULTIPOINT((1 1),(2 2))", {"overlaps"}),
+    ("POINT(2 0)", "LINESTRING(0 0,4 0)", {"within"}),
+    ("POINT(4 0)", "LINESTRING(0 0,4 0)", {"touches"}),
+    ("POINT EMPTY", "POINT(1 1)", None),
+    ("GEOMETRYCOLLECTION(POINT(1 1),LINESTRING(5 5,6 6))", SQUARE, set()),
+]
+
+
+@pytest.mark.parametrize(("a", "b", "want"), LYING)
+def test_relations(a, b, want):
+    turned = {"contains": "within", "within": "contains"}
+    assert relations(a, b) == ({"disjoint"} if want is None else want | {"intersects"})
+    assert relations(b, a) == ({"disjoint"} if want is None else {turned.get(x, x) for x in want} | {"intersects"})
+
+
+DEGENERATE = ["POINT EMPTY", "POINT(1 1)", "LINESTRING EMPTY", "LINESTRING(1 1,1 1)", "LINESTRING(0 0,0 0,2 2)", "POLYGON EMPTY", "POLYGON((1 1,1 1,1 1,1 1))", "POLYGON((0 0,2 2,0 0,0 0))", "POLYGON((0 0,4 4,4 0,0 4,0 0))", "MULTIPOINT EMPTY", "MULTIPOLYGON EMPTY", "GEOMETRYCOLLECTION EMPTY", "MULTIPOINT((0 0),(0 0))", "LINESTRING(0 0,2 2,0 0)", "POLYGON((0 0,1 0,1 1,0 1,0 0),(0 0,1 0,1 1,0 1,0 0))"]
+
+
+def test_degenerate_shapes():
+    """None of them crashes, and intersects and disjoint are opposites."""
+    for a in [*DEGENERATE, SQUARE]:
+        for b in [*DEGENERATE, SQUARE, "LINESTRING(0 0,4 4)"]:
+            g, h = shapes.from_wkt(a), shapes.from_wkt(b)
+            r = shapes.relate(g, h)
+            assert r["intersects"] != r["disjoint"], (a, b)
+            d = shapes.distance(g, h)
+            assert (d is None) == (g.empty or h.empty)
+            if d is not None and not r["intersects"]:
+                assert d >= 0
+            shapes.area(g), shapes.length(g), shapes.centroid(g), shapes.valid(g)
+
+
+def test_relations_of_boxes_against_plain():
+    """Random rectangles: how they lie follows from their sides."""
+    r = random.Random(4)
+    box = lambda: (x := r.randrange(6), y := r.randrange(6), x + 1 + r.randrange(4), y + 1 + r.randrange(4))
+    text = lambda x, y, z, w: f"POLYGON(({x} {y},{z} {y},{z} {w},{x} {w},{x} {y}))"
+    for _ in range(400):
+        a, b = box(), box()
+        meet = a[0] <= b[2] and b[0] <= a[2] and a[1] <= b[3] and b[1] <= a[3]
+        inner = a[0] < b[2] and b[0] < a[2] and a[1] < b[3] and b[1] < a[3]
+        ab, ba = a[0] >= b[0] and a[1] >= b[1] and a[2] <= b[2] and a[3] <= b[3], b[0] >= a[0] and b[1] >= a[1] and b[2] <= a[2] and b[3] <= a[3]
+        want = {"intersects": meet, "disjoint": not meet, "contains": ba, "within": ab, "equals": ab and ba, "touches": meet and not inner, "crosses": False, "overlaps": inner and not ab and not ba}
+        assert shapes.relate(shapes.from_wkt(text(*a)), shapes.from_wkt(text(*b))) == want, (a, b)
 
 
 def test_cells(spark):
