@@ -6,8 +6,6 @@ follow for each of 15 digits, 7 where a cell is coarser.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,11 +37,15 @@ def digit(cell: Column, n: int) -> Column:
 
 
 def is_valid(cell: Column) -> Column:
-    """Mode, reserved bits, base cell, digits up to the resolution and those beyond it; NULL for NULL."""
-    res = resolution(cell)
-    digits = [F.when(res >= n, digit(cell, n) < 7).otherwise(digit(cell, n) == 7) for n in range(1, FINEST + 1)]
+    """Mode, reserved bits, base cell, digits up to the resolution and those beyond it; NULL for NULL.
+
+    Digits are tested together: beyond the resolution all bits are set, and up to it no digit has all three.
+    """
+    beyond = _left(F.lit(1), F.lit(45) - 3 * resolution(cell)) - 1
+    digits = cell.bitwiseAND(F.lit((1 << 45) - 1).cast("long"))
+    sevens = digits.bitwiseAND(F.shiftright(digits, 1)).bitwiseAND(F.shiftright(digits, 2)).bitwiseAND(F.lit(sum(1 << 3 * n for n in range(FINEST))).cast("long"))
     head = (cell > 0) & (_shifted(cell, 59, 15) == 1) & (_shifted(cell, 56, 7) == 0) & (_shifted(cell, 45, 127) < BASE_CELLS)
-    return reduce(lambda a, b: a & b, digits, head)
+    return head & (digits.bitwiseAND(beyond) == beyond) & (sevens.bitwiseAND(F.bitwise_not(beyond)) == 0)
 
 
 def parent(cell: Column, res: int) -> Column:
@@ -66,9 +68,8 @@ def center_child(cell: Column, res: int) -> Column:
 
 def is_pentagon(cell: Column) -> Column:
     """A pentagon's base cell and no digit but zeros."""
-    res = resolution(cell)
-    zeros = [(res < n) | (digit(cell, n) == 0) for n in range(1, FINEST + 1)]
-    return reduce(lambda a, b: a & b, zeros, base_cell(cell).isin(*PENTAGONS))
+    upto = F.call_function("shiftright", cell.bitwiseAND(F.lit((1 << 45) - 1).cast("long")), (F.lit(45) - 3 * resolution(cell)).cast("int"))
+    return base_cell(cell).isin(*PENTAGONS) & (upto == 0)
 
 
 def is_class_iii(cell: Column) -> Column:

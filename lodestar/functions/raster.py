@@ -43,12 +43,19 @@ def parse_rules(rules: str) -> dict[int, int]:
     return out
 
 
-def reclass(pixels: Column, rules: str, kind: str = "8BUI") -> Column:
-    """Each pixel by the rule of its value, 0 without one; targets must fit the pixel type."""
+def reclass(pixels: Column, rules: str, kind: str = "8BUI", whole: bool = False) -> Column:
+    """Each pixel by the rule of its value, 0 without one; targets must fit the pixel type.
+
+    ``whole`` says that pixels are an array of integers, which are looked up rather than compared with each rule.
+    """
     found = parse_rules(rules)
     if any(not fits(kind, t) for t in found.values()):
         raise ValueError(f"a target is not a {kind}")
 
+    if whole and max(found) < 1 << 16:
+        table = F.lit([found.get(v, 0) for v in range(max(found) + 1)])
+        return F.transform(pixels, lambda v: F.when(v.isNotNull(), F.coalesce(F.get(table, v.cast("int")), F.lit(0))).otherwise(F.lit(0)))
+
     def of(v: Column) -> Column:
         out = F.lit(0)
         for s, t in found.items():

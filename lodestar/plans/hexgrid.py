@@ -26,7 +26,7 @@ def cell_column(key: Column, base: Column | None = None, res: int = RES) -> Colu
     key = key.cast("long")
     out = F.lit((1 << 59) + (res << 52) + sum(7 << (45 - 3 * d) for d in range(res + 1, 16))) + (key % 122 if base is None else base) * (1 << 45)
     for d in range(1, res + 1):
-        out = out + (F.floor(key / 7 ** (d - 1)) + d) % 7 * (1 << (45 - 3 * d))
+        out = out + (F.call_function("div", key, F.lit(7 ** (d - 1)).cast("long")) + d) % 7 * (1 << (45 - 3 * d))
     return out.cast("long")
 
 

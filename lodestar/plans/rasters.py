@@ -24,12 +24,12 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("raster_reclass", f"{TILES} SELECT k, array_to_string(list_transform(a, lambda x: {RULES_SQL}), ',') AS pixels FROM t")
 def raster_reclass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiles(spark, sf_dir).select("k", F.array_join(raster.reclass(F.col("a"), RULES), ",").alias("pixels"))
+    return tiles(spark, sf_dir).select("k", F.array_join(raster.reclass(F.col("a"), RULES, whole=True), ",").alias("pixels"))
 
 
 @query("raster_reclass_sum", f"{TILES} SELECT COUNT(*) AS n, CAST(SUM(list_sum(list_transform(a, lambda x: {RULES_SQL}))) AS BIGINT) AS s FROM t")
 def raster_reclass_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = F.aggregate(raster.reclass(F.col("a"), RULES), F.lit(0).cast("long"), lambda s, v: s + v)
+    done = F.aggregate(raster.reclass(F.col("a"), RULES, whole=True), F.lit(0).cast("long"), lambda s, v: s + v)
     return tiles(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.sum(done).alias("s"))
 
 

@@ -3,18 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The table, computed once and written to the checkpoint folder that the session names; a lost executor costs nothing of it.
+def work_folder(spark: SparkSession) -> str:
+    """A new folder's name below the checkpoint folder, for tables that a query writes and reads again."""
+    return f"{checkpoint_folder(spark)}/lodestar-work-{uuid.uuid4().hex}"
+
 
-    A folder of our own is used only where none is named and all runs in one process.
-    """
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the session names; one of our own only where none is named and all runs in one process."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestar-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The table, computed once and written to the checkpoint folder; a lost executor costs nothing of it."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -15,11 +15,28 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def load(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """A table, or some of its columns; Spark prunes the rest and pushes filters into the scan."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, or some of its columns; Spark prunes the rest and pushes filters into the scan.
+
+    Its schema is read from the files once for each state of them, as reading it takes a job of its own.
+    """
+    path = f"{sf_dir}/{name}.parquet"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where)
+    state, known = (found.getModificationTime(), found.getLen()), _schemas(spark)
+    if known.get(path, (None, None))[0] != state:
+        known[path] = (state, spark.read.parquet(path).schema)
+    df = spark.read.schema(known[path][1]).parquet(path)
     return df.select(*columns) if columns else df
 
 
+def _schemas(spark: SparkSession) -> dict:
+    """Schemas read in this application by path, each with the state of the files it is of."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_lodestar_schemas"):
+        sc._lodestar_schemas = {}
+    return sc._lodestar_schemas
+
+
 def generate_series(spark: SparkSession, start: int, stop: int, step: int = 1, name: str = "generate_series") -> DataFrame:
     """Numbers from start to stop, both included."""
     if not step:

@@ -31,4 +31,17 @@ def test_entry_without_the_subpackage(tmp_path):
     shutil.copytree(top / "lodestar", tmp_path / "lodestar", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(top / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not [k for k in q if k.startswith('op') or k == 'pipeline']"
+    # Nor does anything else need the libraries of the subpackage.
+    code = "import sys; sys.modules.update(dict.fromkeys(('zstandard', 'tokenizers', 'public_tokenizers')))\n" + code
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+def test_entry_without_the_libraries(tmp_path):
+    """The entry imports where a library that only the subpackage needs is missing."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    top = Path(__file__).resolve().parent.parent
+    code = "import sys; sys.modules['zstandard'] = None\nimport __spark_entry__ as e; assert 'tpch_q1' in e.queries()"
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=top, check=True)

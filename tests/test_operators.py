@@ -336,6 +336,56 @@ def test_cells(spark):
     assert kids.where(h3.is_valid(F.col("k")) & (h3.parent(F.col("k"), 9) == cell)).distinct().count() == 49
 
 
+def test_validity_of_cells(spark):
+    """Bits set at once are tested like digits one by one."""
+    r = random.Random(8)
+
+    def plain(c):
+        res, base = c >> 52 & 15, c >> 45 & 127
+        digits = [c >> (45 - 3 * n) & 7 for n in range(1, 16)]
+        return c > 0 and c >> 59 & 15 == 1 and c >> 56 & 7 == 0 and base < 122 and all(d < 7 for d in digits[:res]) and all(d == 7 for d in digits[res:])
+
+    cells = []
+    for _ in range(400):
+        res = r.randrange(16)
+        c = 1 << 59 | res << 52 | r.randrange(128) << 45
+        for n in range(1, 16):
+            c |= (r.randrange(7) if n <= res else 7) << (45 - 3 * n)
+        cells += [c, c ^ 1 << r.randrange(63)]
+    got = spark.createDataFrame([(c,) for c in cells], "c long").select("c", h3.is_valid(F.col("c"))).collect()
+    assert [x[1] for x in got] == [plain(x[0]) for x in got]
+    assert spark.range(1).select(h3.is_valid(F.lit(None).cast("long"))).collect()[0][0] is None
+
+
+def test_cells_and_places():
+    """Every cell's center lies in it; neighbours are mutual; steps in the plane are those counted ring by ring; no cell is missing."""
+    import numpy as np
+
+    from lodestar.functions import h3grid
+
+    rng = np.random.default_rng(1)
+    points = lambda n: (lambda v: v / np.linalg.norm(v, axis=1)[:, None])(rng.normal(size=(n, 3)))
+    for res in (0, 1, 2, 4, 7, 11, 15):
+        cells = h3grid.cells_at(points(800), res)
+        assert (h3grid.cells_at(h3grid.centers(cells), res) == cells).all()
+    cells = np.unique(h3grid.cells_at(points(40_000), 1))
+    assert len(cells) == 2 + 120 * 7 and h3grid.pentagons(cells).sum() == 12
+    beside = dict(zip(cells.tolist(), h3grid.neighbours(cells), strict=True))
+    assert all(len(v) == (5 if p else 6) for v, p in zip(beside.values(), h3grid.pentagons(cells), strict=True))
+    assert all(a in beside[b] for a in beside for b in beside[a])
+    for c in cells[::60].tolist():
+        near = h3grid.disk(c, 4)
+        got = h3grid.distances(np.full(len(near), c), np.array(list(near)))
+        assert all(g is None or g == n for g, n in zip(got, near.values(), strict=True))
+    ring = [(10.0, 10.0), (10.0, 30.0), (25.0, 20.0)]
+    every = np.unique(h3grid.cells_at(points(120_000), 2))
+    lat, lng = h3grid.degrees(h3grid.centers(every))
+    inside = (lat > 10) & (lat < 10 + 1.5 * (lng - 10)) & (lat < 10 + 1.5 * (30 - lng))
+    assert len(every) == 2 + 120 * 49 and h3grid.polygon_cells(ring, 2).tolist() == sorted(every[inside].tolist())
+    with pytest.raises(ValueError):
+        h3grid.centers(np.array([(1 << 59) | (1 << 52) | (4 << 45) | (1 << 42) | ((1 << 42) - 1)]))  # a digit that pentagons lack
+
+
 def test_rules():
     assert raster.parse_rules("1:2,3:4") == {1: 2, 3: 4}
     for bad in ("1:2,1:3", "1", "", ",".join(f"{i}:1" for i in range(65))):
