@@ -120,6 +120,8 @@ def utf8(column: pa.Array) -> list[bytes]:
 
 
 def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow, with the package on the executors whoever calls."""
+    prepare(df.sparkSession)
     return df.mapInArrow(f, schema)
 
 
