@@ -46,7 +46,12 @@ def functions() -> dict:
         return pd.Series(out)
 
     def disk(cell: pd.Series, k: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(c) or pd.isna(n) else list(h3grid.disk(int(c), int(n))) for c, n in zip(cell, k, strict=True)], dtype=object)
+        out = pd.Series([None] * len(cell), dtype=object)
+        for n in k.dropna().unique():
+            some = np.nonzero((cell.notna() & (k == n)).to_numpy())[0]
+            for i, found in zip(some, h3grid.disks(cell.iloc[some].astype("int64").tolist(), int(n)), strict=True):
+                out.iat[i] = list(found)
+        return out
 
     def center(cell: pd.Series) -> pd.DataFrame:
         known = cell.notna().to_numpy()
