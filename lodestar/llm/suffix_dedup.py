@@ -346,20 +346,28 @@ def with_runs(docs: DataFrame, length: int, name: str = "runs") -> DataFrame:
     return keyed.join(runs, F.col(uid) == F.col(at), "left").drop(at, uid)
 
 
+def whole(raw: bytes) -> str:
+    """The text of remaining bytes; of a character that was cut in part nothing stays."""
+    return raw.decode("utf-8", "ignore")
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is removed from each text, and the text that is left."""
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        longs = pa.int64()
-        schema = pa.schema([("doc_id", longs), ("n_bytes", longs), ("n_removed", longs), ("n_spans", longs), ("kept_sha256", pa.string())])
+        longs, strings = pa.int64(), pa.string()
+        schema = pa.schema([("doc_id", longs), ("n_bytes", longs), ("n_removed", longs), ("n_spans", longs), ("kept_sha256", strings), ("text", strings)])
         for batch in slices(batches):
             out = []
             for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
                 raw = (text or "").encode()
                 spans = spans_of(raw, runs, LENGTH)
-                out.append((len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(left_of(raw, spans)).hexdigest()))
+                left = left_of(raw, spans)
+                out.append((len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(left).hexdigest(), whole(left) if spans else text))
             yield batch_of(schema, batch.column("doc_id"), *zip(*out, strict=True))
 
     docs = with_runs(table(spark, sf_dir, "documents", "doc_id", "text"), LENGTH)
-    return mapped(docs, each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return mapped(docs, each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 #: Bytes of a passage in the pipeline: fifty words have more.
@@ -378,7 +386,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, length: int =
             for i, r in enumerate(runs):
                 if r:
                     raw = texts[i].encode()
-                    texts[i] = left_of(raw, spans_of(raw, r, length)).decode("utf-8", "ignore")
+                    texts[i] = whole(left_of(raw, spans_of(raw, r, length)))
             at = batch.schema.get_field_index("text")
             batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, type=column.type))
             yield batch.drop_columns([name])
