@@ -94,3 +94,29 @@ def test_language_stage_rejects_what_no_language_claims(spark, sf_dir):
     real = {x.doc_id for x in docs.where("text IS NOT NULL AND lang IS NOT NULL").collect()}
     assert not kept & {10**9 + i for i in range(len(junk))}
     assert len(real - kept) <= 0.01 * len(real)
+
+
+def test_near_stage_plain(spark, sf_dir):
+    """Kept are the documents that a plain version keeps: the least id of each group."""
+    import pandas as pd
+
+    from lodestar.llm import chosen_path
+
+    docs = pd.read_parquet(f"{sf_dir}/documents.parquet")
+    plain = brute.near_duplicates(docs, 5, 80)
+    got = chosen_path.near_stage(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), "")
+    assert sorted(r.doc_id for r in got.select("doc_id").collect()) == sorted(plain[plain["kept"]]["doc_id"].tolist())
+
+
+def test_stored_tables_are_deleted(spark, sf_dir):
+    """After a run only the last stage's input is left, and after the session nothing."""
+    import os
+
+    from lodestar.llm import common
+
+    common.dropped(spark, 0)
+    corpus_pipeline.run(spark, sf_dir).count()
+    left = list(common.held(spark))
+    assert len(left) == 1 and "stage-secret-scan" in left[0] and os.path.exists(left[0])
+    common.dropped(spark, 0)
+    assert not common.held(spark) and not os.path.exists(left[0])

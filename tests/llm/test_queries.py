@@ -44,6 +44,16 @@ def test_exact_edges(name, results, edge_docs, edge_dir):
     brute.same(results(name, edge_dir), EXACT[name](edge_docs))
 
 
+def test_remaining_texts(results, edge_docs, edge_dir):
+    """The text that is left has the digest's bytes, but for characters that were cut in part."""
+    import hashlib
+
+    got = results("op1_suffix_dedup", edge_dir)
+    ascii_ = got[got["text"].notna() & got["text"].fillna("").map(str.isascii)]
+    assert len(ascii_) > 10 and all(hashlib.sha256(t.encode()).hexdigest() == h for t, h in zip(ascii_["text"], ascii_["kept_sha256"], strict=True))
+    assert (got["text"].fillna("").map(lambda t: len(t.encode())) <= got["n_bytes"] - got["n_removed"]).all()
+
+
 def test_near_duplicates(results, docs):
     brute.same(results("op6_chosen_path"), brute.near_duplicates(docs))
 
