@@ -50,7 +50,7 @@ def presence(text: bytes) -> np.ndarray:
         run = run[: len(raw) - n + 1] * np.uint32(257) + raw[n - 1 :] if n > 1 else raw + np.uint32(1)
         if n in GRAMS:
             seen[(run * np.uint32(2654435761) + np.uint32(n * 40503)) >> np.uint32(32 - BITS)] = True
-    return np.nonzero(seen)[0]
+    return np.nonzero(seen)[0].astype(np.uint16)
 
 
 def normal(text: str) -> bytes:
@@ -69,7 +69,7 @@ class Model:
     def scores(self, sets: list[np.ndarray]) -> np.ndarray:
         """One row per text, one column per language: the product of the texts' presence matrix with the weights, by runs of rows."""
         sizes = np.array([len(s) for s in sets])
-        flat = np.concatenate([np.zeros(0, np.int64), *sets])
+        flat = np.concatenate([np.zeros(0, np.uint16), *sets])
         out = np.zeros((len(sets), len(self.languages)))
         full = np.nonzero(sizes)[0]
         if len(full):
@@ -85,14 +85,14 @@ def fit(sets: list[np.ndarray], languages: list[str], landmarks: int = LANDMARKS
     turn: dict[str, int] = {}
     rank = [turn.__setitem__(x, turn.get(x, 0) + 1) or turn[x] for x in languages]
     chosen = sorted(range(len(sets)), key=lambda i: (rank[i], i))[:landmarks]
-    marks = np.zeros((len(chosen), 1 << BITS), dtype=np.float32)
-    for row, i in enumerate(chosen):
-        marks[row, sets[i]] = 1 / max(1, len(sets[i])) ** 0.5
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    # A row for each n-gram, so that a text gathers whole rows.
+    marks = np.zeros((1 << BITS, len(chosen)), dtype=np.float32)
+    for column, i in enumerate(chosen):
+        marks[sets[i], column] = 1 / max(1, len(sets[i])) ** 0.5
+    values, vectors = np.linalg.eigh((marks.T @ marks).astype(np.float64))
     good = values > 1e-6 * values[-1]
     whiten = vectors[:, good] / np.sqrt(values[good])
-    columns = np.ascontiguousarray(marks.T)  # a row for each n-gram, so that a text gathers whole rows
-    kernel = np.array([columns[s].sum(axis=0) / max(1, len(s)) ** 0.5 for s in sets])  # texts by landmarks
+    kernel = np.array([marks[s].sum(axis=0) / max(1, len(s)) ** 0.5 for s in sets])  # texts by landmarks
     x = kernel @ whiten
     # Each language counts alike; the constant is not penalised.
     counts = y.copy()
@@ -102,7 +102,7 @@ def fit(sets: list[np.ndarray], languages: list[str], landmarks: int = LANDMARKS
     mean_x, mean_y = np.average(x, axis=0, weights=weight), np.average(y, axis=0, weights=weight)
     xc, yc = x - mean_x, y - mean_y
     w = np.linalg.solve(xc.T @ (xc * weight[:, None]) + ridge * len(x) * np.eye(x.shape[1]), xc.T @ (yc * weight[:, None]))
-    return Model(names, (marks.T @ (whiten @ w)).astype(np.float64), mean_y - mean_x @ w)
+    return Model(names, (marks @ (whiten @ w).astype(np.float32)).astype(np.float64), mean_y - mean_x @ w)
 
 
 def learn(docs: DataFrame, where: object | None = None, most: int = MOST) -> Model | None:
@@ -137,8 +137,8 @@ def learn(docs: DataFrame, where: object | None = None, most: int = MOST) -> Mod
             if out:
                 yield batch_of(schema, *zip(*out, strict=True))
 
-    rows = sorted({(r.rank, r.lang, bytes(r.grams)) for r in mapped(texts.select("rank", "lang", "text"), bits, "rank long, lang string, grams binary").collect()})
-    sets = [np.nonzero(np.unpackbits(np.frombuffer(zlib.decompress(g), dtype=np.uint8)))[0] for _, _, g in rows]
+    rows = sorted({(r.rank, r.lang, bytes(r.grams)) for r in mapped(texts.select("rank", "lang", "text"), bits, "rank long, lang string, grams binary").toLocalIterator()})
+    sets = [np.nonzero(np.unpackbits(np.frombuffer(zlib.decompress(g), dtype=np.uint8)))[0].astype(np.uint16) for _, _, g in rows]
     return fit(sets, [lang for _, lang, _ in rows]) if rows else None
 
 
@@ -147,7 +147,7 @@ def predict(texts: list[str | None], model: Model | None) -> tuple[list[str], li
     if model is None:
         return [UNKNOWN] * len(texts), [0.0] * len(texts)
     real = [t is not None and LETTER.search(t) is not None for t in texts]
-    got = model.scores([presence(normal(t)) if ok else np.zeros(0, np.int64) for t, ok in zip(texts, real, strict=True)])
+    got = model.scores([presence(normal(t)) if ok else np.zeros(0, np.uint16) for t, ok in zip(texts, real, strict=True)])
     best, value = got.argmax(axis=1), got.max(axis=1)
     sure = np.round(1 / (1 + np.exp(-3 * value)), 9)
     return [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, real, strict=True)], [float(s) if ok else 0.0 for s, ok in zip(sure, real, strict=True)]
