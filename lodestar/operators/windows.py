@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Keys that are sampled for each range.
-SAMPLED = 50
+from lodestar.operators.joins import estimated_bytes
+
+#: Keys that are sampled for each range; bytes of a table that one task numbers.
+SAMPLED, ALONE = 50, 8 << 20
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -37,13 +39,17 @@ def range_number(df: DataFrame, order: list[str], bounds: list) -> Column:
     return F.when(block == 0, 0).otherwise((block - 1) * size + upto(F.element_at(F.array(*[F.array(*b) for b in blocks]), block)))
 
 
-def with_global_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
+def with_global_rank(df: DataFrame, order: list[str], name: str, alone: int = ALONE) -> DataFrame:
     """A global row number in an ascending order of unique keys, nulls first; all columns stay.
 
+    A table whose estimated size is at most ``alone`` bytes is numbered by one task, which saves two passes.
+
     Ranges of keys are bounded by a sample of them. Which range a row is in follows from its keys alone, so that their counts
     and their rows agree whatever else the plan holds; each range is numbered apart, from the number of rows before it. Rows
     are shuffled once, and a few numbers for each range go to the driver.
     """
+    if estimated_bytes(df) <= alone:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = df.select(*order)
     rows = keys.count()

@@ -32,16 +32,16 @@ def window_global_row_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("window_global_row_number_wide", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, ROW_NUMBER() OVER (ORDER BY o_orderstatus, o_totalprice, o_orderkey) AS rn FROM orders")
 def window_global_row_number_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With columns besides the keys."""
+    """With columns besides the keys, by ranges."""
     orders = load(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
-    return with_global_rank(orders, ["o_orderstatus", "o_totalprice", "o_orderkey"], "rn")
+    return with_global_rank(orders, ["o_orderstatus", "o_totalprice", "o_orderkey"], "rn", alone=0)
 
 
 @query("window_global_nulls", "SELECT o_orderkey, k, ROW_NUMBER() OVER (ORDER BY k NULLS FIRST, o_orderkey) AS rn FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey % 5 END AS k FROM orders) t")
 def window_global_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nulls and few different values in the first key."""
+    """Nulls and few different values in the first key, by ranges."""
     orders = load(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey") % 5).alias("k"))
-    return with_global_rank(orders, ["k", "o_orderkey"], "rn")
+    return with_global_rank(orders, ["k", "o_orderkey"], "rn", alone=0)
 
 
 @query("window_ntile_buckets", "SELECT b, COUNT(*) AS n, MIN(p) AS lo, MAX(p) AS hi FROM (SELECT CAST(NTILE(100) OVER (ORDER BY o_totalprice, o_orderkey) AS BIGINT) AS b, o_totalprice AS p FROM orders) t GROUP BY b")

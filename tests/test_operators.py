@@ -105,16 +105,17 @@ def test_global_row_numbers(spark, tmp_path, sf_dir):
     """Right whatever else is selected, over several files, with nulls, and for tables without rows."""
     path = str(tmp_path / "o")
     load(spark, sf_dir, "orders").repartition(7).write.parquet(path)
-    got = with_global_rank(spark.read.parquet(path), ["o_totalprice", "o_orderkey"], "rn").toPandas().sort_values("rn")
+    got = with_global_rank(spark.read.parquet(path), ["o_totalprice", "o_orderkey"], "rn", alone=0).toPandas().sort_values("rn")
     assert got["rn"].tolist() == list(range(1, len(got) + 1))
     keys = list(zip(got["o_totalprice"], got["o_orderkey"], strict=True))
     assert keys == sorted(keys)
     rows = [(i, None if i % 3 else i % 7, float("nan") if i % 5 == 0 else i / 2) for i in range(500)]
     some = spark.createDataFrame(rows, "i int, a int, _part double").repartition(5)
-    got = with_global_rank(some, ["a", "_part", "i"], "rn").orderBy("rn").collect()
-    assert [r.rn for r in got] == list(range(1, 501))
-    assert [r.i for r in got] == [r.i for r in some.orderBy("a", "_part", "i").collect()]
-    assert with_global_rank(some.where("i < 0"), ["i"], "rn").count() == 0
+    for alone in (0, 1 << 30):
+        got = with_global_rank(some, ["a", "_part", "i"], "rn", alone).orderBy("rn").collect()
+        assert [r.rn for r in got] == list(range(1, 501))
+        assert [r.i for r in got] == [r.i for r in some.orderBy("a", "_part", "i").collect()]
+        assert with_global_rank(some.where("i < 0"), ["i"], "rn", alone).count() == 0
 
 
 def test_recursive_union(spark):
