@@ -67,7 +67,7 @@ def sphere_distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> C
     """Metres along a great circle."""
     a, b = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((b - a) / 2), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH * F.asin(F.least(F.sqrt(h), F.lit(1.0)))
+    return 2 * EARTH * F.asin(F.when(h > 1, F.lit(1.0)).otherwise(F.sqrt(h)))
 
 
 def segments_intersect(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column, dx: Column, dy: Column) -> Column:

@@ -59,7 +59,7 @@ def st_distance_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).where("x IS NOT NULL AND y IS NOT NULL").select("k", d.alias("d")).orderBy("d", "k").limit(100)
 
 
-@query("st_sphere_distance", f"{POINTS} SELECT k, ROUND(2 * 6371008.771415 * ASIN(LEAST(SQRT(POW(SIN(RADIANS(10 - (y / 10 - 40)) / 2), 2) + COS(RADIANS(y / 10 - 40)) * COS(RADIANS(10)) * POW(SIN(RADIANS(20 - (x / 10 - 50)) / 2), 2)), 1.0)), 3) AS metres FROM t")
+@query("st_sphere_distance", f"{POINTS} SELECT k, ROUND(2 * 6371008.771415 * ASIN(SQRT(POW(SIN(RADIANS(10 - (y / 10 - 40)) / 2), 2) + COS(RADIANS(y / 10 - 40)) * COS(RADIANS(10)) * POW(SIN(RADIANS(20 - (x / 10 - 50)) / 2), 2))), 3) AS metres FROM t")
 def st_sphere_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).select("k", F.round(geo.sphere_distance(F.col("x") / 10 - 50, F.col("y") / 10 - 40, F.lit(20.0), F.lit(10.0)), 3).alias("metres"))
 
@@ -278,3 +278,21 @@ def st_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     some = points(spark, sf_dir).where("x IS NOT NULL AND y IS NOT NULL")
     g = shapes.st_transform(shapes.st_make_point(F.col("x") / 10 - 50, F.col("y") / 10 - 40, 4326), 3857)
     return some.select("k", g.alias("g")).select("k", F.round(shapes.st_x(F.col("g")), 3).alias("mx"), F.round(shapes.st_y(F.col("g")), 3).alias("my"))
+
+
+@query("st_geography_distance", f"{POINTS} SELECT k, ROUND(2 * 6371008.771415 * ASIN(SQRT(POW(SIN(RADIANS(10 - (y / 10 - 40)) / 2), 2) + COS(RADIANS(y / 10 - 40)) * COS(RADIANS(10)) * POW(SIN(RADIANS(20 - (x / 10 - 50)) / 2), 2))), 3) AS metres FROM t")
+def st_geography_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Geometry columns in degrees, measured on the sphere."""
+    ship(spark.sparkContext)
+    g = shapes.st_make_point(F.col("x") / 10 - 50, F.col("y") / 10 - 40, 4326)
+    return points(spark, sf_dir).select("k", F.round(shapes.st_distance_sphere(g, shapes.geometry("SRID=4326;POINT(20 10)")), 3).alias("metres"))
+
+
+@query("st_column_centroid", "SELECT p_partkey AS k, ROUND(p_partkey % 50 + p_size / 3.0, 8) AS x, ROUND(2 * p_size / 3.0, 8) AS y FROM part")
+def st_column_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centroids of triangles with corners (k, 0), (k + n, n) and (k, n), as geometry columns."""
+    ship(spark.sparkContext)
+    text = "'POLYGON((' || x || ' 0,' || x1 || ' ' || n || ',' || x || ' ' || n || ',' || x || ' 0))'"
+    made = load(spark, sf_dir, "part", "p_partkey", "p_size").selectExpr("p_partkey AS k", "CAST(p_partkey % 50 AS STRING) AS x", "CAST(p_partkey % 50 + p_size AS STRING) AS x1", "CAST(p_size AS STRING) AS n")
+    c = made.select("k", shapes.st_centroid(shapes.st_from_text(F.expr(text))).alias("c"))
+    return c.select("k", F.round(shapes.st_x(F.col("c")), 8).alias("x"), F.round(shapes.st_y(F.col("c")), 8).alias("y"))
