@@ -145,3 +145,40 @@ def test_toxicity_learns(spark, tmp_path):
     got = QUERIES["op3_toxicity"](spark, str(tmp_path)).toPandas()
     held = got[got["held_out"]]
     assert ((held["doc_id"] % 3 == 0) == (held["predicted"] == 1)).mean() > 0.97
+
+
+@pytest.fixture(scope="module")
+def long_docs():
+    from tests.llm.conftest import prose
+
+    texts = [prose(300_000, 21), "x" * 700_000, "\u00e9t\u00e9 " * 150_000, "token=" + "a1B2" * 60_000 + " " + "0123456789abcdef" * 20_000, "short one", None]
+    return pd.DataFrame({"doc_id": pd.array(range(len(texts)), dtype="Int64"), "text": texts, "lang": ["en", None, "fr", None, "en", "fr"]})
+
+
+@pytest.fixture(scope="module")
+def long_dir(spark, long_docs, tmp_path_factory):
+    top = tmp_path_factory.mktemp("long")
+    rows = [(int(i), t, lang, "s", None) for i, t, lang in long_docs.itertuples(index=False)]
+    from tests.llm.conftest import COLUMNS
+
+    spark.createDataFrame(rows, COLUMNS).repartition(2).write.parquet(str(top / "documents.parquet"))
+    spark.createDataFrame([(r[0], 1, r[0] % 2) for r in rows], "doc_id long, quality int, toxic int").write.parquet(str(top / "labels.parquet"))
+    spark.createDataFrame([(r[0], None, r[1]) for r in rows], "page_id long, url string, html string").write.parquet(str(top / "pages.parquet"))
+    return str(top)
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_very_long_texts(name, results, long_docs, long_dir):
+    """Texts of megabytes, with and without white space, are treated whole."""
+    got = results(name, long_dir)
+    if name == "op2_packing":
+        assert brute.check_packing(long_docs, got) < 0.02
+    elif name == "op8_warc_zstd":
+        brute.same(got, brute.warc(pd.read_parquet(f"{long_dir}/pages.parquet")), "page_id")
+    elif name in EXACT:
+        brute.same(got, EXACT[name](long_docs))
+    elif name == "op6_chosen_path":
+        brute.same(got, brute.near_duplicates(long_docs))
+    else:
+        assert sorted(got["doc_id"]) == list(range(len(long_docs)))
+        assert not got.isna().drop(columns=[c for c in ("lang_pred",) if c in got]).any().any()
