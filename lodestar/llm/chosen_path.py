@@ -358,9 +358,11 @@ def grouped_rows(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
         shared = [leaf.join(large.select("node", "rep", "label"), "node").select(F.xxhash64("key", "label").alias("unit"), "node", "rep", "n_shingles") for leaf in levels]
         shared = stored(reduce(DataFrame.unionAll, shared), "shared")
         # A leaf of long texts is cut to what a task may hold; what that parts meets across the cluster below.
-        heavy = shared.groupBy("unit").agg(F.sum("n_shingles").alias("weight")).where(F.col("weight") > LARGE)
-        cut = F.coalesce(F.pmod(F.xxhash64("node", F.lit("cut")), F.ceil(F.col("weight") / LARGE)).cast("int"), F.lit(0))
-        units = units.unionAll(shared.join(heavy.hint("merge"), "unit", "left").select(F.xxhash64("unit", cut).alias("unit"), "node", "rep"))
+        heavy = stored(shared.groupBy("unit").agg(F.sum("n_shingles").alias("weight")).where(F.col("weight") > LARGE), "heavy")
+        if not heavy.isEmpty():
+            cut = F.coalesce(F.pmod(F.xxhash64("node", F.lit("cut")), F.ceil(F.col("weight") / LARGE)).cast("int"), F.lit(0))
+            shared = shared.join(heavy.hint("merge"), "unit", "left").withColumn("unit", F.xxhash64("unit", cut))
+        units = units.unionAll(shared.select("unit", "node", "rep"))
 
     def sure_links(units: DataFrame) -> DataFrame:
         # Merged at every size: the plan of a small input is that of a large one.
