@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import bpe_chunks, chosen_path, fingerprints, language_id, matroska, packing, secrets, suffix_dedup, toxicity, warc
+from lodestar.llm import bpe_chunks, chosen_path, fingerprints, language_id, matroska, oracles, packing, secrets, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1,
@@ -16,4 +16,8 @@ QUERIES = {
     "op9_fingerprints": fingerprints.op9,
     "op10_secret_scan": secrets.op10,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": oracles.SUFFIX_DEDUP,
+    "op6_chosen_path": oracles.CHOSEN_PATH,
+    "op8_warc_zstd": oracles.WARC,
+}

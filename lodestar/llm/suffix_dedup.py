@@ -332,9 +332,15 @@ def spans_of(raw: bytes, runs: list[dict] | None, length: int) -> list[tuple[int
     return out
 
 
-def left_of(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
+def left_of(raw: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
+    """What lies between the spans."""
     edges = [0, *(p for s in spans for p in s), len(raw)]
-    return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+    return [raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
+
+
+def whole(pieces: list[bytes]) -> str:
+    """The text of remaining pieces; of a character that was cut in part nothing stays, and halves of two make none."""
+    return "".join([p.decode("utf-8", "ignore") for p in pieces])
 
 
 def with_runs(docs: DataFrame, length: int, name: str = "runs") -> DataFrame:
@@ -346,11 +352,6 @@ def with_runs(docs: DataFrame, length: int, name: str = "runs") -> DataFrame:
     return keyed.join(runs, F.col(uid) == F.col(at), "left").drop(at, uid)
 
 
-def whole(raw: bytes) -> str:
-    """The text of remaining bytes; of a character that was cut in part nothing stays."""
-    return raw.decode("utf-8", "ignore")
-
-
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is removed from each text, and the text that is left."""
 
@@ -363,7 +364,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
                 raw = (text or "").encode()
                 spans = spans_of(raw, runs, LENGTH)
                 left = left_of(raw, spans)
-                out.append((len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(left).hexdigest(), whole(left) if spans else text))
+                out.append((len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(b"".join(left)).hexdigest(), whole(left) if spans else text))
             yield batch_of(schema, batch.column("doc_id"), *zip(*out, strict=True))
 
     docs = with_runs(table(spark, sf_dir, "documents", "doc_id", "text"), LENGTH)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 import pytest
 
-from lodestar.llm.queries import QUERIES
+from lodestar.llm.queries import ORACLES, QUERIES
 from tests.llm import brute
 
 
@@ -31,6 +31,23 @@ def test_empty(name, results, empty_dir):
     assert len(results(name, empty_dir)) == 0
 
 
+@pytest.mark.parametrize("name", ORACLES)
+def test_sql(name, spark, sf_dir):
+    from tests.oracle import compare
+
+    assert compare(spark, sf_dir, QUERIES[name], ORACLES[name]) == ""
+
+
+@pytest.mark.parametrize("name", ORACLES)
+def test_sql_edges(name, spark, edge_dir, tmp_path):
+    """Nulls, empty texts, copies and other scripts; DuckDB reads a table's files under one name."""
+    from tests.oracle import compare
+
+    for t in ("documents", "pages"):
+        spark.read.parquet(f"{edge_dir}/{t}.parquet").toPandas().convert_dtypes().to_parquet(str(tmp_path / f"{t}.parquet"))
+    assert compare(spark, str(tmp_path), QUERIES[name], ORACLES[name]) == ""
+
+
 EXACT = {"op1_suffix_dedup": brute.suffix_dedup, "op4_matroska": brute.payloads, "op5_bpe_chunks": brute.encoded, "op10_secret_scan": brute.secrets}
 
 
