@@ -27,8 +27,8 @@ from lodestar.operators.joins import estimated_bytes
 
 #: Hashes of a sketch, bits of a hash, words of a shingle.
 K, BITS, WORDS = 128, 48, 5
-#: Bytes of documents in a range.
-RANGE = 64 << 20
+#: Bytes of documents in a range, ranges at most (beyond that they are larger).
+RANGE, RANGES = 64 << 20, 20_000
 
 
 def sketches(texts: list[str], k: int = K) -> list[np.ndarray]:
@@ -117,7 +117,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     id may be of any size.
     """
     spark = docs.sparkSession
-    parts = max(partitions_of(spark), estimated_bytes(docs) // RANGE)
+    parts = max(partitions_of(spark), min(estimated_bytes(docs) // RANGE, RANGES))
     bounds = np.array(sorted(set(docs.select("doc_id").where("doc_id IS NOT NULL").stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) or [])))
 
     @F.pandas_udf("int")
@@ -135,7 +135,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
         more = F.broadcast(spark.createDataFrame([(first[p].doc_id, held[i - 1]) for i, p in enumerate(held)], "id long, before int"))
         again = docs.join(more, F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "text", F.col("before").alias("part"), F.lit(1).alias("extra"))
         dealt = dealt.unionAll(again)
-    return dealt.repartition(parts, "part").sortWithinPartitions("part", "extra", "doc_id", F.coalesce("text", F.lit("")))
+    return dealt.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "extra", "doc_id", F.coalesce("text", F.lit("")))
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
