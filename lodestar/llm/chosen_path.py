@@ -400,7 +400,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     uid = fresh(docs, "uid")
     keyed = docs.withColumn(uid, F.xxhash64("text"))
-    rows = grouped_rows(keyed.select("doc_id", "text", F.col(uid).alias("uid"))).where("doc_id IS NOT NULL")
+    rows = stored(grouped_rows(keyed.select("doc_id", "text", F.col(uid).alias("uid"))).where("doc_id IS NOT NULL").select("doc_id", "uid", "cluster"), "rows")
     first = rows.where("cluster IS NOT NULL").groupBy("cluster").agg(F.min(F.struct("doc_id", "uid")).alias("one")).select("one.*")
     keep = first.unionAll(rows.where("cluster IS NULL").select("doc_id", "uid").distinct()).withColumnRenamed("uid", uid)
     one = keyed.where("doc_id IS NOT NULL").join(keep, ["doc_id", uid], "left_semi").dropDuplicates(["doc_id", uid]).select(docs.columns)

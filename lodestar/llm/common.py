@@ -82,16 +82,13 @@ def ended(spark: SparkSession) -> None:
             dropped(spark, 0)
 
 
-def dropped(spark: SparkSession, since: int, but: DataFrame | None = None) -> None:
-    """Deletes the tables stored since that many were held, but for those that a table reads."""
-    kept = {f"/{f.rsplit('/', 2)[-2]}" for f in but.inputFiles()} if but is not None else set()
+def dropped(spark: SparkSession, since: int, until: int | None = None) -> None:
+    """Deletes a range of the tables held, in the order they were stored."""
     own = held(spark)
-    jvm = spark._jvm
-    for path in own[since:]:
-        if not any(path.endswith(k) for k in kept):
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-            own.remove(path)
+    for path in own[since:until]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        own.remove(path)
 
 
 def partitions_of(spark: SparkSession) -> int:
