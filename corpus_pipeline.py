@@ -27,5 +27,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet"), len(held(spark))
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
-        dropped(spark, before, but=docs)
+        dropped(spark, before, -1)
     return STAGES[-1][1](spark, docs, sf_dir)
