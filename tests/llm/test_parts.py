@@ -10,6 +10,7 @@ import pytest
 
 from lodestar.llm import bwt, chosen_path, fingerprints, matroska, packing, suffix_dedup, toxicity, warc
 from lodestar.llm.automata import Automaton
+from tests.conftest import DATA
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -350,7 +351,7 @@ def test_language_weights_are_the_kernel_regression():
     from lodestar.llm import language_id
     from tests.llm import brute
 
-    docs = pd.read_parquet("/root/testdata/sf0.001/documents.parquet").dropna(subset=["text", "lang"])
+    docs = pd.read_parquet(f"{DATA}/sf0.001/documents.parquet").dropna(subset=["text", "lang"])
     known, others = docs.iloc[:70], docs.iloc[70:110]
     model = language_id.fit([language_id.presence(language_id.normal(t)) for t in known.text], known.lang.tolist(), landmarks=40)
     got = model.scores([language_id.presence(language_id.normal(t)) for t in others.text])
@@ -366,7 +367,7 @@ def test_toxicity_is_the_plain_model(spark):
     from lodestar.llm.queries import QUERIES
     from tests.llm import brute
 
-    sf = "/root/testdata/sf0.01"
+    sf = f"{DATA}/sf0.01"
     got = QUERIES["op3_toxicity"](spark, sf).toPandas().set_index("doc_id").sort_index()
     docs = pd.read_parquet(f"{sf}/documents.parquet", columns=["doc_id", "text"])
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic", F.xxhash64(F.lit("toxicity"), "doc_id").alias("rank")).toPandas()
