@@ -4,8 +4,8 @@ A document's set is its distinct word shingles. Documents with equal sets become
 branch all nodes by selected minwise tokens: at a root by one or two minima of its own hash functions, below it by positions
 of a minwise sketch that are drawn anew for each tree node, one or two of them, so that a pair at the threshold goes on
 together in one branch or more on average. A tree node with few members is a leaf and is compared exhaustively by sketches
-there; a larger one is branched again, however deep, as long as that at least halves it. Near copies that stay together
-are dealt to random blocks with common pivots, anew in each tree, so no group is ever held whole. A leaf gives a forest of
+there; a larger one is branched again, however deep, as long as that leaves SHRINK of its members or fewer. Near copies that
+stay together are dealt to random blocks with common pivots, anew in each tree, so no group is ever held whole. A leaf gives a forest of
 the links that the sketches leave possible, not all pairs. The forests of all trees join into clusters; what the blocks left apart then
 meets every other member of its tree node, block against block. Within a cluster all links are decided on the full sets,
 and again only a forest of the confirmed links goes on. A large cluster is decided in the leaves that its members share,
@@ -38,8 +38,10 @@ from lodestar.llm.shingles import mix, shingles
 
 #: Minima that the roots of all trees branch by, trees, sketch positions, members of a leaf.
 ROOTS, TREES, SKETCH, LEAF = 12, 10, 128, 2048
-#: Of a hundred tree nodes below a root, those that are branched by two positions; members that every block of near copies gets.
-TWICE, PIVOTS = 30, 32
+#: Of a hundred tree nodes below a root, those that are branched by two positions; the share of a node below which its child is
+#: branched again (as TWICE and it make less than one, rows get fewer from level to level); members that every block of near
+#: copies gets.
+TWICE, SHRINK, PIVOTS = 30, 0.7, 32
 #: Shingles of a cluster that one task compares.
 LARGE = 6_000_000
 
@@ -192,7 +194,7 @@ def leaves(reps: DataFrame, what: str = "") -> tuple[list[DataFrame], DataFrame
             position = F.pmod(F.xxhash64("key", F.lit(k)), F.lit(SKETCH)).cast("int")
             to.append(F.xxhash64("key", F.lit(k), F.substring(F.col("sketch"), position + 1, F.lit(1))))
         twice = F.pmod(F.xxhash64("key", F.lit("twice")), F.lit(100)) < TWICE
-        stuck = F.coalesce(F.col("members") * 2 > F.col("was"), F.lit(False))
+        stuck = F.coalesce(F.col("members") > SHRINK * F.col("was"), F.lit(False))
         branched = F.when(twice, F.array(*to)).otherwise(F.array(to[0]))
         # What agrees in so many tokens and still is large are near copies throughout: random blocks, each with the same few
         # pivots, which tie the blocks together. Each root's tree deals its blocks anew.
