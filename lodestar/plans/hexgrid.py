@@ -9,7 +9,7 @@ from lodestar.functions import h3
 from lodestar.functions.h3grid import cell_to_boundary, cell_to_latlng, grid_disk, grid_distance, grid_ring, latlng_to_cell, polygon_to_cells
 from lodestar.plans.registry import query
 from lodestar.sources.shipping import ship
-from lodestar.sources.tables import load
+from lodestar.sources.tables import load, spread
 
 RES = 9
 
@@ -91,7 +91,7 @@ def h3_latlng_to_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark.sparkContext)
     k = F.col("event_id")
     lat, lng = F.when(k % 17 != 0, (k * 37 % 16900) / 100.0 - 84.5), (k * 101 % 35900) / 100.0 - 179.5
-    return load(spark, sf_dir, "events", "event_id").select(k.alias("k"), latlng_to_cell(lat, lng, 7).alias("cell"))
+    return spread(load(spark, sf_dir, "events", "event_id")).select(k.alias("k"), latlng_to_cell(lat, lng, 7).alias("cell"))
 
 
 @query("h3_latlng_count")
@@ -108,7 +108,7 @@ def places(spark: SparkSession, sf_dir: str, res: int = RES) -> DataFrame:
     """Cells that have a place: the digits made from keys may be such as pentagons lack."""
     ship(spark.sparkContext)
     k = F.col("c_custkey")
-    return load(spark, sf_dir, "customer", "c_custkey").where(~(k % 122).isin(*h3.PENTAGONS)).select(k.alias("k"), cell_column(k, res=res).alias("cell"))
+    return spread(load(spark, sf_dir, "customer", "c_custkey")).where(~(k % 122).isin(*h3.PENTAGONS)).select(k.alias("k"), cell_column(k, res=res).alias("cell"))
 
 
 @query("h3_center_and_back", f"{CELLS.replace('FROM customer', 'FROM customer WHERE ' + HEXAGONS)} SELECT k, cell FROM t")
@@ -159,4 +159,4 @@ def h3_polygon_to_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("n_nationkey")
     corner = lambda a, b: F.struct((k * 3.0 - 40 + a).alias("lat"), (k * 7.0 - 100 + b).alias("lng"))
     ring = F.array(corner(0, 0), corner(0, 6), corner(5, 6), corner(5, 0))
-    return load(spark, sf_dir, "nation", "n_nationkey").select(k, F.explode(polygon_to_cells(ring, 3)).alias("cell"))
+    return spread(load(spark, sf_dir, "nation", "n_nationkey")).select(k, F.explode(polygon_to_cells(ring, 3)).alias("cell"))

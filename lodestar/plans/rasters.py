@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import raster
 from lodestar.plans.registry import query
-from lodestar.sources.tables import load
+from lodestar.sources.tables import load, spread
 
 TILES = """WITH t AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE list_transform(range(100), lambda i: (p_partkey * 31 + i * 7) % 50) END AS a,
 CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE list_transform(range(100), lambda i: (p_partkey * 13 + i * 11) % 40) END AS b FROM part)"""
@@ -19,7 +19,7 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     pixel = lambda m, s, n: F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: (k * m + i * s) % n)
     some = k % 17 != 0
-    return load(spark, sf_dir, "part", "p_partkey").select(k.alias("k"), F.when(some, pixel(31, 7, 50)).alias("a"), F.when(some, pixel(13, 11, 40)).alias("b"))
+    return spread(load(spark, sf_dir, "part", "p_partkey")).select(k.alias("k"), F.when(some, pixel(31, 7, 50)).alias("a"), F.when(some, pixel(13, 11, 40)).alias("b"))
 
 
 @query("raster_reclass", f"{TILES} SELECT k, array_to_string(list_transform(a, lambda x: {RULES_SQL}), ',') AS pixels FROM t")

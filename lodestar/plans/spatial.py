@@ -10,7 +10,7 @@ from lodestar.functions import geo, shapes
 from lodestar.operators.spatial import boxes_join, grid_join
 from lodestar.plans.registry import query
 from lodestar.sources.shipping import ship
-from lodestar.sources.tables import load
+from lodestar.sources.tables import load, spread
 
 POINTS = "WITH t AS (SELECT event_id AS k, CASE WHEN event_id % 17 = 0 THEN NULL ELSE CAST(event_id * 37 % 1000 AS DOUBLE) END AS x, CASE WHEN event_id % 13 = 0 THEN NULL ELSE CAST(event_id * 101 % 800 AS DOUBLE) END AS y FROM events)"
 #: A triangle, its edges as half planes in SQL, and a square hole in it.
@@ -136,7 +136,7 @@ def st_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Geometries of every kind from text: valid, crossing themselves, empty and NULL."""
     ship(spark.sparkContext)
     text = "CASE r " + " ".join(f"WHEN {r} THEN {k[0]}" for r, k in enumerate(KINDS)) + " END"
-    some = load(spark, sf_dir, "part", "p_partkey", "p_size").selectExpr("p_partkey AS k", f"p_partkey % {len(KINDS)} AS r", "CAST(p_size AS STRING) AS n")
+    some = spread(load(spark, sf_dir, "part", "p_partkey", "p_size")).selectExpr("p_partkey AS k", f"p_partkey % {len(KINDS)} AS r", "CAST(p_size AS STRING) AS n")
     g = some.selectExpr("k", f"{text} AS g").select("k", geo.from_text(F.col("g")).alias("g"))
     return g.select("k", "g.kind", "g.npoints", "g.xmax", "g.empty", "g.srid", "g.valid")
 
@@ -164,7 +164,7 @@ def box_text(x0: str, y0: str, x1: str, y1: str) -> str:
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rectangles of each part as geometry columns; every 19th first one is NULL."""
     ship(spark.sparkContext)
-    made = load(spark, sf_dir, "part", "p_partkey").selectExpr(
+    made = spread(load(spark, sf_dir, "part", "p_partkey")).selectExpr(
         "p_partkey AS k", "p_partkey % 6 AS ax", "p_partkey % 6 + 1 + p_partkey % 4 AS ax1", "p_partkey * 5 % 6 AS ay", "p_partkey * 5 % 6 + 1 + p_partkey % 3 AS ay1",
         "p_partkey * 7 % 5 AS bx", "p_partkey * 7 % 5 + 1 + p_partkey div 6 % 4 AS bx1", "p_partkey * 3 % 7 AS y", "p_partkey * 3 % 7 + 1 + p_partkey div 4 % 3 AS y1",
     )
@@ -204,7 +204,7 @@ LINES = "t AS (SELECT p_partkey AS k, p_partkey % 9 - 2 AS x, p_partkey % 9 - 2
 def st_line_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat lines against a square."""
     ship(spark.sparkContext)
-    made = load(spark, sf_dir, "part", "p_partkey").selectExpr("p_partkey AS k", "p_partkey % 9 - 2 AS x", "p_partkey % 9 - 2 + 1 + p_partkey % 5 AS x1", "p_partkey * 5 % 7 - 1 AS h")
+    made = spread(load(spark, sf_dir, "part", "p_partkey")).selectExpr("p_partkey AS k", "p_partkey % 9 - 2 AS x", "p_partkey % 9 - 2 + 1 + p_partkey % 5 AS x1", "p_partkey * 5 % 7 - 1 AS h")
     line = shapes.st_make_line(F.array(shapes.st_make_point(F.col("x"), F.col("h")), shapes.st_make_point(F.col("x1"), F.col("h"))))
     r = shapes.st_relate(line, shapes.geometry("POLYGON((0 0,4 0,4 4,0 4,0 0))"))
     return made.select("k", r.alias("r")).select("k", "r.intersects", "r.crosses", "r.within", "r.touches")
@@ -258,7 +258,7 @@ def st_makers(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark.sparkContext)
     n = F.col("p_size")
     at = lambda x, y: shapes.st_make_point(x if not isinstance(x, int) else F.lit(x), F.lit(y))
-    made = load(spark, sf_dir, "part", "p_partkey", "p_size").select(F.col("p_partkey").alias("k"), shapes.st_make_line(F.array(at(0, 0), at(n, 3))).alias("l"), shapes.st_make_polygon(shapes.st_make_line(F.array(at(0, 0), at(n, 0), at(n, 2), at(0, 0)))).alias("p"))
+    made = spread(load(spark, sf_dir, "part", "p_partkey", "p_size")).select(F.col("p_partkey").alias("k"), shapes.st_make_line(F.array(at(0, 0), at(n, 3))).alias("l"), shapes.st_make_polygon(shapes.st_make_line(F.array(at(0, 0), at(n, 0), at(n, 2), at(0, 0)))).alias("p"))
     return made.select("k", shapes.st_as_text(F.col("l")).alias("line"), F.round(shapes.st_length(F.col("l")), 9).alias("length"), shapes.st_as_text(F.col("p")).alias("polygon"), shapes.st_area(F.col("p")).alias("area"), F.octet_length(shapes.st_as_ewkb(F.col("l"))).alias("bytes"))
 
 
@@ -293,6 +293,6 @@ def st_column_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Centroids of triangles with corners (k, 0), (k + n, n) and (k, n), as geometry columns."""
     ship(spark.sparkContext)
     text = "'POLYGON((' || x || ' 0,' || x1 || ' ' || n || ',' || x || ' ' || n || ',' || x || ' 0))'"
-    made = load(spark, sf_dir, "part", "p_partkey", "p_size").selectExpr("p_partkey AS k", "CAST(p_partkey % 50 AS STRING) AS x", "CAST(p_partkey % 50 + p_size AS STRING) AS x1", "CAST(p_size AS STRING) AS n")
+    made = spread(load(spark, sf_dir, "part", "p_partkey", "p_size")).selectExpr("p_partkey AS k", "CAST(p_partkey % 50 AS STRING) AS x", "CAST(p_partkey % 50 + p_size AS STRING) AS x1", "CAST(p_size AS STRING) AS n")
     c = made.select("k", shapes.st_centroid(shapes.st_from_text(F.expr(text))).alias("c"))
     return c.select("k", F.round(shapes.st_x(F.col("c")), 8).alias("x"), F.round(shapes.st_y(F.col("c")), 8).alias("y"))

@@ -37,6 +37,15 @@ def _schemas(spark: SparkSession) -> dict:
     return sc._lodestar_schemas
 
 
+def spread(df: DataFrame, most: int = 64 << 20) -> DataFrame:
+    """A small table dealt evenly to all cores, for work that is heavy by the row: a file with one row group is read by one task.
+
+    Larger tables have files and row groups enough and stay as they are read.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= most else df
+
+
 def generate_series(spark: SparkSession, start: int, stop: int, step: int = 1, name: str = "generate_series") -> DataFrame:
     """Numbers from start to stop, both included."""
     if not step:
