@@ -34,6 +34,14 @@ def shard(strings: list[np.ndarray], first: int, symbols: int) -> tuple[np.ndarr
     return which[order] + first, order - begins[which[order]], before
 
 
+def stable_order(symbols: np.ndarray) -> np.ndarray:
+    """The order of numbers below 2^32, equal ones as they stand: numpy sorts 16 bits by counting, which two passes use."""
+    order = np.argsort((symbols & 0xFFFF).astype(np.uint16), kind="stable")
+    if len(symbols) and symbols.max() > 0xFFFF:
+        order = order[np.argsort((symbols >> 16).astype(np.uint16)[order], kind="stable")]
+    return order
+
+
 def merge(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Merges transforms until suffixes are told apart by their first ``depth`` symbols, without sorting suffixes again.
 
@@ -54,7 +62,7 @@ def merge(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int) -
         symbols = np.empty(len(source), dtype=np.int64)
         for k, s in enumerate(shards):
             symbols[source == k] = s[2]
-        order = np.argsort(symbols, kind="stable")
+        order = stable_order(symbols)
         sorted_symbols, was = symbols[order], block[order]
         source = source[order]
         source[:strings] = top
