@@ -26,20 +26,21 @@ def small(df: DataFrame, most: int = BROADCAST_BYTES, copies: float = 1) -> Data
 FINER = 4
 
 
-def levels_of(span: float | None, width: float) -> int:
-    """Levels of buckets so that the widest span touches a few buckets of the coarsest."""
-    levels = 1
-    while span is not None and span > width * FINER**levels and levels < 64:
-        levels += 1
-    return levels
+def level_of(span: Column, width: float) -> Column:
+    """The finest level of buckets at which a span touches a few only: buckets of a level are ``width * FINER ** level`` wide."""
+    above = F.ceil(F.log(span / F.lit(float(width))) / F.log(F.lit(float(FINER)))) - 1
+    return F.when(span <= width * FINER, F.lit(0)).otherwise(F.greatest(above, F.lit(0))).cast("int")
 
 
-def level_of(span: Column, width: float, levels: int) -> Column:
-    """The finest level at which a span touches a few buckets only."""
-    out = F.lit(levels - 1)
-    for k in reversed(range(levels - 1)):
-        out = F.when(span <= width * FINER ** (k + 1), F.lit(k)).otherwise(out)
-    return out
+def size_at(width: float, level: Column) -> Column:
+    """How wide the buckets of a level are."""
+    return F.lit(float(width)) * F.pow(F.lit(float(FINER)), level)
+
+
+def dealt_size(df: DataFrame, level: Column, copies: Column) -> tuple[int, float]:
+    """How many levels rows are on, and the bytes they take once each is copied: counted rows times the estimated size of one."""
+    found = df.agg(F.max(level).alias("level"), F.sum(copies.cast("double")).alias("copies"), F.count(F.lit(1)).alias("n")).first()
+    return (found.level or 0) + 1, (found.copies or 0) * max(estimated_bytes(df) / max(found.n, 1), 64)
 
 
 def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
@@ -51,14 +52,13 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     """
     span = F.col(high).cast("double") - F.col(low).cast("double")
     valid = ranges.where((F.col(low) <= F.col(high)) & (span < float("inf")))
-    levels = levels_of(valid.agg(F.max(span)).first()[0], width)
     bucket = lambda c, size: F.floor(F.col(c).cast("double") / size).cast("long")
-    size = F.lit(float(width)) * F.pow(F.lit(float(FINER)), F.col("_level"))
-    leveled = valid.withColumn("_level", level_of(span, width, levels).cast("int"))
-    right = leveled.withColumn("_bucket", F.explode(F.sequence(bucket(low, size), bucket(high, size))))
-    places = F.array(*[F.struct(F.lit(k).alias("_level"), bucket(point, F.lit(float(width) * FINER**k)).alias("_bucket")) for k in range(levels)])
+    own = size_at(width, level_of(span, width))
+    levels, total = dealt_size(valid, level_of(span, width), bucket(high, own) - bucket(low, own) + 1)
+    right = valid.withColumn("_level", level_of(span, width)).withColumn("_bucket", F.explode(F.sequence(bucket(low, own), bucket(high, own))))
+    places = F.array(*[F.struct(F.lit(k).alias("_level"), bucket(point, size_at(width, F.lit(k))).alias("_bucket")) for k in range(levels)])
     left = points.where(F.col(point).isNotNull()).withColumn("_place", F.explode(places)).select("*", "_place.*").drop("_place")
-    right = F.broadcast(right) if estimated_bytes(valid) * (FINER + 2) <= BROADCAST_BYTES else right.hint("merge")
+    right = F.broadcast(right) if total <= BROADCAST_BYTES else right.hint("merge")
     return left.join(right, ["_level", "_bucket"]).where((F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))).drop("_level", "_bucket")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.operators.joins import BROADCAST_BYTES, FINER, estimated_bytes, level_of, levels_of
+from lodestar.operators.joins import BROADCAST_BYTES, dealt_size, level_of, size_at
 
 Box = tuple[str, str, str, str]
 
@@ -14,10 +14,6 @@ def _cell(c: str, size: Column) -> Column:
     return F.floor(F.col(c).cast("double") / size).cast("long")
 
 
-def _size(size: float, level: Column) -> Column:
-    return F.lit(float(size)) * F.pow(F.lit(float(FINER)), level)
-
-
 def _extent(box: Box) -> Column:
     x0, y0, x1, y1 = (F.col(c).cast("double") for c in box)
     return F.greatest(x1 - x0, y1 - y0)
@@ -28,6 +24,12 @@ def _valid(df: DataFrame, box: Box) -> DataFrame:
     return df.where((F.col(x0) <= F.col(x1)) & (F.col(y0) <= F.col(y1)) & (_extent(box) < float("inf")))
 
 
+def _cells(box: Box, size: Column) -> Column:
+    """How many cells a box touches."""
+    x0, y0, x1, y1 = box
+    return (_cell(x1, size) - _cell(x0, size) + 1) * (_cell(y1, size) - _cell(y0, size) + 1)
+
+
 def grid_join(points: DataFrame, x: str, y: str, shapes: DataFrame, box: Box, size: float, exact: Column | None = None) -> DataFrame:
     """Pairs of points and shapes whose boxes hold them, then an exact condition.
 
@@ -37,13 +39,13 @@ def grid_join(points: DataFrame, x: str, y: str, shapes: DataFrame, box: Box, si
     """
     x0, y0, x1, y1 = box
     valid = _valid(shapes, box)
-    levels = levels_of(valid.agg(F.max(_extent(box))).first()[0], size)
-    places = F.array(*[F.struct(F.lit(k).alias("_level"), _cell(x, F.lit(float(size) * FINER**k)).alias("_cx"), _cell(y, F.lit(float(size) * FINER**k)).alias("_cy")) for k in range(levels)])
+    level = level_of(_extent(box), size)
+    own = size_at(size, level)
+    levels, total = dealt_size(valid, level, _cells(box, own))
+    places = F.array(*[F.struct(F.lit(k).alias("_level"), _cell(x, size_at(size, F.lit(k))).alias("_cx"), _cell(y, size_at(size, F.lit(k))).alias("_cy")) for k in range(levels)])
     left = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_place", F.explode(places)).select("*", "_place.*").drop("_place")
-    own = _size(size, F.col("_level"))
-    right = valid.withColumn("_level", level_of(_extent(box), size, levels).cast("int"))
-    right = right.withColumn("_cx", F.explode(F.sequence(_cell(x0, own), _cell(x1, own)))).withColumn("_cy", F.explode(F.sequence(_cell(y0, own), _cell(y1, own))))
-    right = F.broadcast(right) if estimated_bytes(valid) * (FINER + 2) ** 2 <= BROADCAST_BYTES else right.hint("merge")
+    right = valid.withColumn("_level", level).withColumn("_cx", F.explode(F.sequence(_cell(x0, own), _cell(x1, own)))).withColumn("_cy", F.explode(F.sequence(_cell(y0, own), _cell(y1, own))))
+    right = F.broadcast(right) if total <= BROADCAST_BYTES else right.hint("merge")
     met = left.join(right, ["_level", "_cx", "_cy"]).where(F.col(x).between(F.col(x0), F.col(x1)) & F.col(y).between(F.col(y0), F.col(y1)))
     return (met.where(exact) if exact is not None else met).drop("_level", "_cx", "_cy")
 
@@ -55,19 +57,19 @@ def boxes_join(a: DataFrame, a_box: Box, b: DataFrame, b_box: Box, size: float)
     found twice and no box is copied more than (FINER + 2)^2 times a level.
     """
     a, b = _valid(a, a_box), _valid(b, b_box)
-    widest = [df.agg(F.max(_extent(box))).first()[0] for df, box in ((a, a_box), (b, b_box))]
-    levels = levels_of(max((w for w in widest if w is not None), default=None), size)
+    sizes = [dealt_size(df, level_of(_extent(box), size), _cells(box, size_at(size, level_of(_extent(box), size)))) for df, box in ((a, a_box), (b, b_box))]
+    levels = max(n for n, _ in sizes)
 
     def dealt(df: DataFrame, box: Box, own: str) -> DataFrame:
         x0, y0, x1, y1 = box
-        df = df.withColumn(own, level_of(_extent(box), size, levels).cast("int")).withColumn("_level", F.explode(F.sequence(F.col(own), F.lit(levels - 1))))
-        at = _size(size, F.col("_level"))
+        df = df.withColumn(own, level_of(_extent(box), size)).withColumn("_level", F.explode(F.sequence(F.col(own), F.lit(levels - 1))))
+        at = size_at(size, F.col("_level"))
         return df.withColumn("_cx", F.explode(F.sequence(_cell(x0, at), _cell(x1, at)))).withColumn("_cy", F.explode(F.sequence(_cell(y0, at), _cell(y1, at))))
 
     right = dealt(b, b_box, "_lb")
-    right = F.broadcast(right) if estimated_bytes(b) * levels * (FINER + 2) ** 2 <= BROADCAST_BYTES else right.hint("merge")
+    right = F.broadcast(right) if sizes[1][1] * levels <= BROADCAST_BYTES else right.hint("merge")
     met = dealt(a, a_box, "_la").join(right, ["_level", "_cx", "_cy"]).where(F.col("_level") == F.greatest("_la", "_lb"))
-    at = _size(size, F.col("_level"))
+    at = size_at(size, F.col("_level"))
     least = lambda p, q: F.floor(F.greatest(F.col(p).cast("double"), F.col(q).cast("double")) / at).cast("long")
     met = met.where((F.col("_cx") == least(a_box[0], b_box[0])) & (F.col("_cy") == least(a_box[1], b_box[1])))
     common = (F.col(a_box[0]) <= F.col(b_box[2])) & (F.col(b_box[0]) <= F.col(a_box[2])) & (F.col(a_box[1]) <= F.col(b_box[3])) & (F.col(b_box[1]) <= F.col(a_box[3]))
