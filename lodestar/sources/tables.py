@@ -194,8 +194,9 @@ def create_table_as(df: DataFrame, name: str, bucket_by: tuple[int, str] | None
 
 
 def insert_select(df: DataFrame, path: str) -> None:
-    """INSERT ... SELECT: adds rows to a table of the same columns."""
-    df.select(*df.sparkSession.read.parquet(path).columns).write.mode("append").parquet(path)
+    """INSERT ... SELECT: adds rows to a table of the same columns, cast to its types."""
+    kinds = df.sparkSession.read.parquet(path).dtypes
+    df.select(*[F.col(c).cast(t).alias(c) for c, t in kinds]).write.mode("append").parquet(path)
 
 
 def point_lookup(df: DataFrame, column: str, value) -> DataFrame:  # noqa: ANN001
