@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -9,8 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder's name below the checkpoint folder, for tables that a query writes and reads again."""
-    return f"{checkpoint_folder(spark)}/lodestar-work-{uuid.uuid4().hex}"
+    """A new folder's name below the checkpoint folder, for tables that a query writes and reads again; deleted at the session's end."""
+    path = f"{checkpoint_folder(spark)}/lodestar-work-{uuid.uuid4().hex}"
+    atexit.register(_deleted, spark, path)
+    return path
+
+
+def _deleted(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        if spark.sparkContext._jsc is not None:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def checkpoint_folder(spark: SparkSession) -> str:

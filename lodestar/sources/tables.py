@@ -94,6 +94,7 @@ class Pins:
     auto_load: bool = True
     held: dict[str, Pin] = field(default_factory=dict)
     used: list[str] = field(default_factory=list)
+    made: list[tuple[str, list[str], str]] = field(default_factory=list)
 
     def pin(self, name: str, path: str, columns: Iterable[str] | None = None) -> int:
         chosen = tuple(columns) if columns is not None else tuple(self.spark.read.parquet(path).columns)
@@ -115,21 +116,26 @@ class Pins:
     def table(self, name: str, path: str, columns: Iterable[str]) -> DataFrame:
         """The columns, from storage where they are pinned and the files are as they were."""
         columns, pin = tuple(columns), self.held.get(name)
+        decided = lambda what: self.made.append((name, list(columns), what))
         if pin:
             if pin.files != fingerprint(self.spark, path):
                 self.refresh(name)
                 pin = self.held[name]
+                decided("loaded again: files changed")
             if not set(columns) <= set(pin.columns):
                 pin.misses += 1
                 if self.auto_load:
                     with contextlib.suppress(MemoryError):
                         self.pin(name, path, columns)
                         pin = self.held[name]
+                        decided("loaded: columns were missing")
             if set(columns) <= set(pin.columns):
                 pin.hits += 1
                 self.used.remove(name)
                 self.used.append(name)
+                decided("served from storage")
                 return pin.df.select(*columns)
+        decided("read from files: not enough room" if pin and self.auto_load else "read from files: columns not pinned" if pin else "read from files: not pinned")
         return self.spark.read.parquet(path).select(*columns)
 
     def refresh(self, name: str) -> int:
@@ -159,6 +165,10 @@ class Pins:
         """Each pinned table: columns, rows, estimated bytes."""
         return self.spark.createDataFrame([(n, list(p.columns), p.rows, p.size) for n, p in self.held.items()], "name string, columns array<string>, rows long, bytes long")
 
+    def decisions(self) -> DataFrame:
+        """What was done for each request, in order, and why."""
+        return self.spark.createDataFrame([(i, *m) for i, m in enumerate(self.made)], "request long, name string, columns array<string>, decision string")
+
     def ingestion(self) -> DataFrame:
         """How often each table was loaded, and served from storage or not."""
         return self.spark.createDataFrame([(n, p.loads, p.hits, p.misses) for n, p in self.held.items()], "name string, loads long, hits long, misses long")

@@ -80,6 +80,8 @@ def test_pins(spark, tmp_path):
     assert pins.refresh("t") == 101
     pins.budget = pins.live_bytes()
     assert pins.table("t", path, ["w"]).count() == 101 and pins.status().collect()[0].columns == ["id", "v"]  # no room: read from its files
+    said = [r.decision for r in pins.decisions().orderBy("request").collect()]
+    assert said[0] == "served from storage" and "loaded: columns were missing" in said and "loaded again: files changed" in said and said[-1] == "read from files: not enough room"
     assert pins.evict() == "t" and not pins.unpin("t") and pins.live_bytes() == 0
     with pytest.raises(MemoryError):
         Pins(spark, budget=1).pin("t", path)
