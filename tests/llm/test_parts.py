@@ -156,7 +156,7 @@ def test_large_groups_with_few_links(spark, monkeypatch, shape):
     from tests.llm import brute
 
     monkeypatch.setattr(chosen_path, "LEAF", 120)
-    rows = edits(shape, 1200 if shape == "star" else 700, 4)
+    rows = edits(shape, 800 if shape == "star" else 500, 4)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     brute.same(chosen_path.near_duplicates(docs, 3, 85).toPandas(), brute.near_duplicates(docs.toPandas(), 3, 85))
 

@@ -44,7 +44,7 @@ def test_near_stage_of_a_large_group(spark, monkeypatch, tmp_path):
     from tests.llm.test_parts import edits
 
     monkeypatch.setattr(chosen_path, "LEAF", 120)
-    docs = spark.createDataFrame(edits("star", 1200, 4, 4), "doc_id long, text string").repartition(4)
+    docs = spark.createDataFrame(edits("star", 700, 4, 4), "doc_id long, text string").repartition(4)
     assert [r.doc_id for r in chosen_path.near_stage(spark, docs, "").select("doc_id").collect()] == [0]
 
 
