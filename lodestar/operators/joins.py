@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,27 +39,43 @@ def size_at(width: float, level: Column) -> Column:
     return F.lit(float(width)) * F.pow(F.lit(float(FINER)), level)
 
 
-def dealt_size(df: DataFrame, level: Column, copies: Column) -> tuple[int, float]:
-    """How many levels rows are on, and the bytes they take once each is copied: counted rows times the estimated size of one."""
+def dealt_size(df: DataFrame, level: Column, copies: Column, widest: float | None, width: float, axes: int = 1) -> tuple[int, float]:
+    """How many levels rows are on, and the bytes they take once each is copied.
+
+    Both follow from the greatest span where the caller says it; else rows and copies are counted, which takes a pass.
+    """
+    if widest is not None:
+        levels = 1 if widest <= width * FINER else ceil(log(widest / width) / log(FINER))
+        return levels, estimated_bytes(df) * (min(widest // width, FINER) + 2) ** axes
     found = df.agg(F.max(level).alias("level"), F.sum(copies.cast("double")).alias("copies"), F.count(F.lit(1)).alias("n")).first()
     return (found.level or 0) + 1, (found.copies or 0) * max(estimated_bytes(df) / max(found.n, 1), 64)
 
 
-def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
+def on_levels(points: DataFrame, places: list[dict[str, Column]]) -> DataFrame:
+    """Points with their buckets (columns by name) on each level."""
+    if len(places) == 1:
+        return points.withColumns({"_level": F.lit(0), **places[0]})
+    dealt = F.array(*[F.struct(F.lit(k).alias("_level"), *[c.alias(n) for n, c in p.items()]) for k, p in enumerate(places)])
+    return points.withColumn("_place", F.explode(dealt)).select("*", "_place.*").drop("_place")
+
+
+def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float, widest: float | None = None) -> DataFrame:
     """Pairs with low <= point <= high, by an equi-join on buckets of ``width`` and of coarser levels.
 
     A range is dealt to the buckets it touches at the finest level where those are few, a point to one bucket of each level
     that ranges have, so no pair is found twice and no range is copied more than FINER + 2 times, however wide it is. Null
-    points and bounds, and ranges whose low is above high, match nothing; bounds must be finite.
+    points and bounds, and ranges whose low is above high, match nothing; bounds must be finite. ``widest``, the greatest span,
+    saves the pass that finds it; a range beyond it is found too, but copied to more buckets.
     """
     span = F.col(high).cast("double") - F.col(low).cast("double")
     valid = ranges.where((F.col(low) <= F.col(high)) & (span < float("inf")))
     bucket = lambda c, size: F.floor(F.col(c).cast("double") / size).cast("long")
-    own = size_at(width, level_of(span, width))
-    levels, total = dealt_size(valid, level_of(span, width), bucket(high, own) - bucket(low, own) + 1)
-    right = valid.withColumn("_level", level_of(span, width)).withColumn("_bucket", F.explode(F.sequence(bucket(low, own), bucket(high, own))))
-    places = F.array(*[F.struct(F.lit(k).alias("_level"), bucket(point, size_at(width, F.lit(k))).alias("_bucket")) for k in range(levels)])
-    left = points.where(F.col(point).isNotNull()).withColumn("_place", F.explode(places)).select("*", "_place.*").drop("_place")
+    level = level_of(span, width)
+    levels, total = dealt_size(valid, level, bucket(high, size_at(width, level)) - bucket(low, size_at(width, level)) + 1, widest, width)
+    level = F.least(level, F.lit(levels - 1)) if levels > 1 else F.lit(0)
+    own = size_at(width, level) if levels > 1 else F.lit(float(width))
+    right = valid.withColumn("_level", level).withColumn("_bucket", F.explode(F.sequence(bucket(low, own), bucket(high, own))))
+    left = on_levels(points.where(F.col(point).isNotNull()), [{"_bucket": bucket(point, F.lit(float(width * FINER**k)))} for k in range(levels)])
     right = F.broadcast(right) if total <= BROADCAST_BYTES else right.hint("merge")
     return left.join(right, ["_level", "_bucket"]).where((F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))).drop("_level", "_bucket")
 

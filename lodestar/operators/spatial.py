@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.operators.joins import BROADCAST_BYTES, dealt_size, level_of, size_at
+from lodestar.operators.joins import BROADCAST_BYTES, FINER, dealt_size, level_of, on_levels, size_at
 
 Box = tuple[str, str, str, str]
 
@@ -30,39 +30,42 @@ def _cells(box: Box, size: Column) -> Column:
     return (_cell(x1, size) - _cell(x0, size) + 1) * (_cell(y1, size) - _cell(y0, size) + 1)
 
 
-def grid_join(points: DataFrame, x: str, y: str, shapes: DataFrame, box: Box, size: float, exact: Column | None = None) -> DataFrame:
+def grid_join(points: DataFrame, x: str, y: str, shapes: DataFrame, box: Box, size: float, exact: Column | None = None, widest: float | None = None) -> DataFrame:
     """Pairs of points and shapes whose boxes hold them, then an exact condition.
 
     A shape is dealt to each cell that its box touches, on the finest level of cells where those are few, and a point to its
     cell on each level that shapes have; so pairs meet by an equi-join, none is found twice, and no shape is copied more than
     (FINER + 2)^2 times. A hot cell's points can be split by adaptive execution, as no aggregate stands below the join.
+    ``widest``, the greatest side of a box, saves the pass that finds it.
     """
     x0, y0, x1, y1 = box
     valid = _valid(shapes, box)
     level = level_of(_extent(box), size)
-    own = size_at(size, level)
-    levels, total = dealt_size(valid, level, _cells(box, own))
-    places = F.array(*[F.struct(F.lit(k).alias("_level"), _cell(x, size_at(size, F.lit(k))).alias("_cx"), _cell(y, size_at(size, F.lit(k))).alias("_cy")) for k in range(levels)])
-    left = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_place", F.explode(places)).select("*", "_place.*").drop("_place")
+    levels, total = dealt_size(valid, level, _cells(box, size_at(size, level)), widest, size, 2)
+    level = F.least(level, F.lit(levels - 1)) if levels > 1 else F.lit(0)
+    own = size_at(size, level) if levels > 1 else F.lit(float(size))
+    at = lambda c, k: _cell(c, F.lit(float(size * FINER**k)))
+    left = on_levels(points.where(F.col(x).isNotNull() & F.col(y).isNotNull()), [{"_cx": at(x, k), "_cy": at(y, k)} for k in range(levels)])
     right = valid.withColumn("_level", level).withColumn("_cx", F.explode(F.sequence(_cell(x0, own), _cell(x1, own)))).withColumn("_cy", F.explode(F.sequence(_cell(y0, own), _cell(y1, own))))
     right = F.broadcast(right) if total <= BROADCAST_BYTES else right.hint("merge")
     met = left.join(right, ["_level", "_cx", "_cy"]).where(F.col(x).between(F.col(x0), F.col(x1)) & F.col(y).between(F.col(y0), F.col(y1)))
     return (met.where(exact) if exact is not None else met).drop("_level", "_cx", "_cy")
 
 
-def boxes_join(a: DataFrame, a_box: Box, b: DataFrame, b_box: Box, size: float) -> DataFrame:
+def boxes_join(a: DataFrame, a_box: Box, b: DataFrame, b_box: Box, size: float, widest: float | None = None) -> DataFrame:
     """Pairs of rows whose boxes have a point in common; the sides' columns must differ in name.
 
     Two boxes meet on the coarser of their levels, in cells that both touch, and count in the least of these; so no pair is
     found twice and no box is copied more than (FINER + 2)^2 times a level.
     """
     a, b = _valid(a, a_box), _valid(b, b_box)
-    sizes = [dealt_size(df, level_of(_extent(box), size), _cells(box, size_at(size, level_of(_extent(box), size)))) for df, box in ((a, a_box), (b, b_box))]
+    sizes = [dealt_size(df, level_of(_extent(box), size), _cells(box, size_at(size, level_of(_extent(box), size))), widest, size, 2) for df, box in ((a, a_box), (b, b_box))]
     levels = max(n for n, _ in sizes)
+    level = lambda box: F.least(level_of(_extent(box), size), F.lit(levels - 1)) if levels > 1 else F.lit(0)
 
     def dealt(df: DataFrame, box: Box, own: str) -> DataFrame:
         x0, y0, x1, y1 = box
-        df = df.withColumn(own, level_of(_extent(box), size)).withColumn("_level", F.explode(F.sequence(F.col(own), F.lit(levels - 1))))
+        df = df.withColumn(own, level(box)).withColumn("_level", F.explode(F.sequence(F.col(own), F.lit(levels - 1))))
         at = size_at(size, F.col("_level"))
         return df.withColumn("_cx", F.explode(F.sequence(_cell(x0, at), _cell(x1, at)))).withColumn("_cy", F.explode(F.sequence(_cell(y0, at), _cell(y1, at))))
 

@@ -83,7 +83,7 @@ def join_range_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = load(spark, sf_dir, "events", "event_id", "ts").select("event_id", (F.unix_micros(F.col("ts").cast("timestamp")) % 2_000_000_000 / 1000.0).alias("t"))
     items = load(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity").where("l_linenumber = 1")
     windows = items.select((F.col("l_orderkey") * 7 + F.col("l_linenumber")).alias("w_id"), (F.col("l_partkey") * 1000.0).alias("lo"), (F.col("l_partkey") * 1000.0 + F.col("l_quantity") * 20).alias("hi"))
-    return range_join(events, windows, "t", "lo", "hi", 1000).select("event_id", "w_id")
+    return range_join(events, windows, "t", "lo", "hi", 1000, widest=1000).select("event_id", "w_id")
 
 
 @query("join_salted", "SELECT event_type, COUNT(*) AS n, SUM(CAST(LENGTH(event_type) AS BIGINT)) AS letters FROM events GROUP BY event_type")

@@ -89,7 +89,7 @@ def overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = load(spark, sf_dir, "customer", "c_custkey").select(k, (k * 13 % 500).alias("x"), (k * 29 % 700).alias("y"))
     side = lambda n: boxes.select(k.alias(n), F.col("x").alias(f"{n}x0"), F.col("y").alias(f"{n}y0"), (F.col("x") + 9).alias(f"{n}x1"), (F.col("y") + 9).alias(f"{n}y1"))
     box = lambda n: (f"{n}x0", f"{n}y0", f"{n}x1", f"{n}y1")
-    return boxes_join(side("a"), box("a"), side("b"), box("b"), 10).where("a < b").select("a", "b")
+    return boxes_join(side("a"), box("a"), side("b"), box("b"), 10, widest=9).where("a < b").select("a", "b")
 
 
 @query("st_bbox_overlap", f"SELECT a.c_custkey AS a, b.c_custkey AS b FROM customer a JOIN customer b ON {OVERLAPS}")
@@ -111,7 +111,7 @@ def spatial_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points in boxes, grouped by box."""
     c = F.col("c_custkey")
     zones = load(spark, sf_dir, "customer", "c_custkey").select(c.alias("zone"), (c * 53 % 1000).cast("double").alias("x0"), (c * 71 % 800).cast("double").alias("y0")).withColumns({"x1": F.col("x0") + 20, "y1": F.col("y0") + 15})
-    met = grid_join(points(spark, sf_dir), "x", "y", zones, ("x0", "y0", "x1", "y1"), 20)
+    met = grid_join(points(spark, sf_dir), "x", "y", zones, ("x0", "y0", "x1", "y1"), 20, widest=20)
     return met.groupBy("zone").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("lo"))
 
 
@@ -223,7 +223,7 @@ def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def in_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact = geo.ring_side(F.col("x"), F.col("y"), F.col("ring")) >= 0
-    return grid_join(points(spark, sf_dir), "x", "y", triangles(spark, sf_dir), ("x0", "y0", "x1", "y1"), 20, exact)
+    return grid_join(points(spark, sf_dir), "x", "y", triangles(spark, sf_dir), ("x0", "y0", "x1", "y1"), 20, exact, widest=29)
 
 
 IN_ZONE = "x >= x0 AND y >= y0 AND (x - x0) + (y - y0) <= side"

@@ -133,9 +133,13 @@ def test_wide_ranges_and_boxes(spark):
     """Ranges and boxes far wider than the buckets are copied a few times only."""
     points = spark.createDataFrame([(i, float(i)) for i in range(0, 1000, 7)], "p int, x double")
     ranges = [(0, -1e9, 1e9), (1, 10.0, 500.0), (2, 3.0, 3.5), (3, 40.0, 45.0), (4, 0.0, float("inf"))]
-    joined = range_join(points, spark.createDataFrame(ranges, "q int, lo double, hi double"), "x", "lo", "hi", 1)
     want = [(i, q) for i in range(0, 1000, 7) for q, lo, hi in ranges if lo <= i <= hi < float("inf")]
+    joined = range_join(points, spark.createDataFrame(ranges, "q int, lo double, hi double"), "x", "lo", "hi", 1)
     assert values(joined.select("p", "q")) == sorted(want)
+    for widest in (1, 40, 2e9):  # said rather than found; some are wider
+        some = [r for r in ranges if widest > 1e6 or r[2] - r[1] < 1e6]
+        joined = range_join(points, spark.createDataFrame(some, "q int, lo double, hi double"), "x", "lo", "hi", 1, widest)
+        assert values(joined.select("p", "q")) == sorted(w for w in want if w[1] in {r[0] for r in some})
     r = random.Random(5)
     made = lambda n, wide: [(i, x := r.uniform(-50, 50), y := r.uniform(-50, 50), x + r.choice((0, 1, wide)), y + r.choice((0, 2, wide))) for i in range(n)]
     a, b = made(60, 300), made(50, 90)
@@ -143,6 +147,7 @@ def test_wide_ranges_and_boxes(spark):
     got = boxes_join(left, ("ax0", "ay0", "ax1", "ay1"), right, ("bx0", "by0", "bx1", "by1"), 2).select("a", "b")
     want = [(i, j) for i, x0, y0, x1, y1 in a for j, u0, v0, u1, v1 in b if x0 <= u1 and u0 <= x1 and y0 <= v1 and v0 <= y1]
     assert values(got) == sorted(want)
+    assert values(boxes_join(left, ("ax0", "ay0", "ax1", "ay1"), right, ("bx0", "by0", "bx1", "by1"), 20, 90).select("a", "b")) == sorted(want)
     got = grid_join(spark.createDataFrame([(i, r.uniform(-60, 300), r.uniform(-60, 300)) for i in range(200)], "p int, x double, y double"), "x", "y", left, ("ax0", "ay0", "ax1", "ay1"), 2)
     assert all(q.ax0 <= q.x <= q.ax1 and q.ay0 <= q.y <= q.ay1 for q in got.collect()) and got.count() == got.select("p", "a").distinct().count()
 
