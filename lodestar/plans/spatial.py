@@ -23,7 +23,7 @@ INSIDE_TRIANGLE = "x > 100 AND y > 100 AND x + y < 800"
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
     made = lambda m, n, gap: F.when(k % gap != 0, (k * m % n).cast("double"))
-    return load(spark, sf_dir, "events", "event_id").select(k.alias("k"), made(37, 1000, 17).alias("x"), made(101, 800, 13).alias("y"))
+    return spread(load(spark, sf_dir, "events", "event_id")).select(k.alias("k"), made(37, 1000, 17).alias("x"), made(101, 800, 13).alias("y"))
 
 
 
