@@ -374,3 +374,30 @@ def test_toxicity_is_the_plain_model(spark):
     few = docs.sort_values("doc_id").head(60)
     want = brute.toxicity(docs, labels, few["text"].tolist())
     assert np.abs(got.loc[few["doc_id"], "score"].to_numpy() - np.array(want)).max() < 1e-5
+
+
+def test_segments_that_share_little_cost_no_order(monkeypatch):
+    """Different segments of a key are ordered only where whole blocks repeat at one place from the anchor."""
+    from tests.llm.conftest import prose
+
+    ordered = []
+    monkeypatch.setattr(suffix_dedup, "merge", lambda shards, depth: ordered.append(sum(len(s[0]) for s in shards)) or bwt.merge(shards, depth))
+    gram = b"thirty-two bytes that all share."
+    apart = [prose(70, 2 * i).encode()[:300] + gram + prose(70, 2 * i + 1).encode()[:300] for i in range(30)]
+    windows, anchors = np.full(len(apart), 301 + len(gram) + 300 - 401), np.full(len(apart), 300)
+    assert suffix_dedup.repeated(np.zeros(len(apart), np.int64), anchors, windows, apart, 400) == [[]] * len(apart)
+    assert not ordered
+    texts = [*apart, apart[7][:450] + b"#" + apart[7][451:]]
+    found = suffix_dedup.repeated(np.zeros(len(texts), np.int64), np.append(anchors, 300), np.append(windows, windows[0]), texts, 400)
+    assert found == [[(0, 51)] if i in (7, 30) else [] for i in range(len(texts))]
+    assert 0 < ordered[0] < 80
+
+
+def test_grams_of_common_words_make_few_keys_of_several():
+    """Texts of a few short words that share no passage seldom have an anchor's gram in common."""
+    r = random.Random(8)
+    few = "the of and to in is that it for on was be with by this an or from at are".split()
+    texts = [" ".join(r.choices(few, k=5_000)).encode() for _ in range(30)]
+    keys = np.concatenate([suffix_dedup.cut(list(parts), 400)[4] for group in suffix_dedup.stretches(texts, 400) for _, _, parts in [zip(*group, strict=True)]])
+    shared = np.unique(keys, return_counts=True)[1]
+    assert len(keys) > 2_000 and shared[shared > 1].sum() < 0.02 * len(keys)
