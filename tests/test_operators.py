@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import geo, h3, pg, raster, registry, shapes
-from lodestar.operators.aggregates import distinct_on, ordered_array
+from lodestar.operators.aggregates import average_seconds, distinct_on, ordered_array
 from lodestar.operators.joins import null_aware_anti, range_join, salted_join
 from lodestar.operators.recursion import recursive_union
 from lodestar.operators.spatial import boxes_join, grid_join
@@ -54,6 +55,13 @@ def test_ordered_array_and_distinct_on(spark):
     assert values(distinct_on(df, ["k"], [F.col("o")]).select("k", "o", "v")) == [("a", 1, "y"), ("b", 2, None)]
 
 
+def test_average_of_long_intervals(spark):
+    """Intervals whose sum is beyond 2^63 microseconds, and one that is unknown."""
+    df = spark.sql("SELECT TIMESTAMP '1000-01-01 00:00:00' AS a, IF(id = 9, NULL, TIMESTAMP '9000-01-01 00:00:00.5' + make_dt_interval(0, 0, 0, id % 3)) AS b FROM range(300)")
+    days = (datetime(9000, 1, 1) - datetime(1000, 1, 1)).days
+    assert df.agg(average_seconds(F.col("a"), F.col("b"))).first()[0] == pytest.approx(days * 86400 + 0.5 + 300 / 299, abs=1e-4)
+
+
 def test_grid_join(spark):
     r = random.Random(2)
     pts = [(i, r.uniform(0, 100), r.uniform(0, 100) if i % 11 else None) for i in range(300)]
