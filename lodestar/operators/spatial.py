@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestar.operators.joins import BROADCAST_BYTES, FINER, dealt_size, level_of, on_levels, size_at
 
@@ -52,6 +53,21 @@ def grid_join(points: DataFrame, x: str, y: str, shapes: DataFrame, box: Box, si
     return (met.where(exact) if exact is not None else met).drop("_level", "_cx", "_cy")
 
 
+def forms_join(places: DataFrame, x: str, y: str, shapes: DataFrame, form: list[str], box: Box, size: float, exact: Column | None = None, widest: float | None = None) -> DataFrame:
+    """``grid_join`` of places, each given once, with each form of shape once: shapes equal in the columns ``form`` hold the same points.
+
+    For aggregates over the points of each shape, which is joined with its form's aggregate afterwards: points on one place and
+    shapes of one form then cost a row each and not a pair each. ``form`` must determine the box and the exact condition.
+    """
+    return grid_join(places, x, y, shapes.dropDuplicates(form).select(*dict.fromkeys([*form, *box])), box, size, exact, widest)
+
+
+def least_of_places(points: DataFrame, x: str, y: str, key: str, n: int) -> DataFrame:
+    """The ``n`` least keys of the points on each place; rows are cut down before they are shuffled."""
+    own = F.row_number().over(Window.partitionBy(x, y).orderBy(key))
+    return points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_own", own).where(F.col("_own") <= n).drop("_own")
+
+
 def boxes_join(a: DataFrame, a_box: Box, b: DataFrame, b_box: Box, size: float, widest: float | None = None) -> DataFrame:
     """Pairs of rows whose boxes have a point in common; the sides' columns must differ in name.
 

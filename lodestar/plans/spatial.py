@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestar.functions import geo, shapes
-from lodestar.operators.spatial import boxes_join, grid_join
+from lodestar.operators.spatial import boxes_join, forms_join, least_of_places
 from lodestar.plans.registry import query
 from lodestar.sources.shipping import ship
 from lodestar.sources.tables import load, spread
@@ -103,6 +103,17 @@ def st_bbox_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlapping(spark, sf_dir).groupBy("a").agg(F.count(F.lit(1)).alias("hits"))
 
 
+def places(some: DataFrame) -> DataFrame:
+    """Each place with its number of points and their least key."""
+    return some.where("x IS NOT NULL AND y IS NOT NULL").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("lo"))
+
+
+def of_zones(zones: DataFrame, met: DataFrame, form: list[str]) -> DataFrame:
+    """Number and least key of each zone's points, from its form's places."""
+    each = met.groupBy(*form).agg(F.sum("n").alias("n"), F.min("lo").alias("lo"))
+    return zones.join(each, form).groupBy("zone").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"))
+
+
 ZONES = "z AS (SELECT c_custkey AS zone, CAST(c_custkey * 53 % 1000 AS DOUBLE) AS x0, CAST(c_custkey * 71 % 800 AS DOUBLE) AS y0 FROM customer)"
 
 
@@ -111,8 +122,8 @@ def spatial_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points in boxes, grouped by box."""
     c = F.col("c_custkey")
     zones = load(spark, sf_dir, "customer", "c_custkey").select(c.alias("zone"), (c * 53 % 1000).cast("double").alias("x0"), (c * 71 % 800).cast("double").alias("y0")).withColumns({"x1": F.col("x0") + 20, "y1": F.col("y0") + 15})
-    met = grid_join(points(spark, sf_dir), "x", "y", zones, ("x0", "y0", "x1", "y1"), 20, widest=20)
-    return met.groupBy("zone").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("lo"))
+    met = forms_join(places(points(spark, sf_dir)), "x", "y", zones, ["x0", "y0", "x1", "y1"], ("x0", "y0", "x1", "y1"), 20, widest=20)
+    return of_zones(zones, met, ["x0", "y0", "x1", "y1"])
 
 
 #: Texts of geometries by the key's remainder, and what they are: kind, points, greatest x, emptiness, validity.
@@ -221,9 +232,10 @@ def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return some.withColumn("ring", F.array(*corners))
 
 
-def in_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def in_triangles(some: DataFrame, zones: DataFrame) -> DataFrame:
+    """Pairs of points, or places, and forms of triangles."""
     exact = geo.ring_side(F.col("x"), F.col("y"), F.col("ring")) >= 0
-    return grid_join(points(spark, sf_dir), "x", "y", triangles(spark, sf_dir), ("x0", "y0", "x1", "y1"), 20, exact, widest=29)
+    return forms_join(some, "x", "y", zones, ["ring"], ("x0", "y0", "x1", "y1"), 20, exact, widest=29)
 
 
 IN_ZONE = "x >= x0 AND y >= y0 AND (x - x0) + (y - y0) <= side"
@@ -232,16 +244,22 @@ IN_ZONE = "x >= x0 AND y >= y0 AND (x - x0) + (y - y0) <= side"
 @query("spatial_join_polygons", f"{POINTS}, {TRIANGLES} SELECT zone, COUNT(*) AS n, MIN(k) AS lo FROM t JOIN z ON {IN_ZONE} GROUP BY zone")
 def spatial_join_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points in polygons that are rows themselves, grouped by polygon."""
-    return in_triangles(spark, sf_dir).groupBy("zone").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("lo"))
+    zones = triangles(spark, sf_dir)
+    return of_zones(zones, in_triangles(places(points(spark, sf_dir)), zones), ["ring"])
 
 
 @query("window_over_spatial_join", f"{POINTS}, {TRIANGLES}, j AS (SELECT zone, k, x, y, x0, y0 FROM t JOIN z ON {IN_ZONE}) SELECT zone, k, CAST(rn AS BIGINT) AS rn, n FROM (SELECT zone, k, ROW_NUMBER() OVER (PARTITION BY zone ORDER BY (x - x0) * (x - x0) + (y - y0) * (y - y0), k) AS rn, COUNT(*) OVER (PARTITION BY zone) AS n FROM j) w WHERE rn <= 3")
 def window_over_spatial_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three points of each polygon that are nearest its corner."""
+    """The three points of each polygon that are nearest its corner: they are among the three least keys of their places."""
     far = (F.col("x") - F.col("x0")) * (F.col("x") - F.col("x0")) + (F.col("y") - F.col("y0")) * (F.col("y") - F.col("y0"))
-    zone = Window.partitionBy("zone")
-    ranked = in_triangles(spark, sf_dir).select("zone", "k", F.row_number().over(zone.orderBy(far, "k")).cast("long").alias("rn"), F.count(F.lit(1)).over(zone).alias("n"))
-    return ranked.where("rn <= 3")
+    some, zones = points(spark, sf_dir), triangles(spark, sf_dir)
+    nearest = in_triangles(least_of_places(some, "x", "y", "k", 3), zones)
+    own = F.row_number().over(Window.partitionBy("ring").orderBy(far, "k"))
+    ranked = nearest.select("ring", "k", far.alias("far"), own.alias("own")).where("own <= 3")
+    counted = in_triangles(places(some), zones).groupBy("ring").agg(F.sum("n").alias("n"))
+    met, zone = zones.join(ranked.join(counted, "ring"), "ring"), Window.partitionBy("zone")
+    n = F.sum(F.when(F.col("own") == 1, F.col("n"))).over(zone)
+    return met.select("zone", "k", F.row_number().over(zone.orderBy("far", "k")).cast("long").alias("rn"), n.alias("n")).where("rn <= 3")
 
 
 @query("set_over_spatial", f"{POINTS} SELECT k FROM t WHERE {IN_TRIANGLE} EXCEPT SELECT k FROM t WHERE x >= 250 AND x <= 400 AND y >= 100 AND y <= 500")

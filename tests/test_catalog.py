@@ -13,6 +13,32 @@ def test_query(name, spark, sf_dir):
     assert compare(spark, sf_dir, QUERIES[name], ORACLES.get(name)) == ""
 
 
+@pytest.fixture
+def soon(spark):
+    """Cancels what runs after a minute, so that a quadratic plan fails."""
+    from threading import Timer
+
+    timer = Timer(60, spark.sparkContext.cancelAllJobs)
+    timer.start()
+    yield
+    timer.cancel()
+
+
+@pytest.mark.parametrize("name", ["spatial_join", "spatial_join_polygons", "window_over_spatial_join"])
+def test_points_on_one_place_and_shapes_of_one_form(name, spark, tmp_path, soon):
+    """Some 9 * 10^9 pairs, as keys that differ by 4,000 lie on one place; some rows are given twice or have no key."""
+    spark.range(100_000).selectExpr("IF(id % 1000 = 0, NULL, id * 4000) AS event_id").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(100_000).selectExpr("id * 4000 AS c_custkey").union(spark.sql("SELECT 4000L UNION ALL SELECT NULL")).write.parquet(f"{tmp_path}/customer.parquet")
+    few = tmp_path / "few"
+    for t, k in (("events", "event_id"), ("customer", "c_custkey")):
+        spark.read.parquet(f"{tmp_path}/{t}.parquet").where(f"{k} < 400000 OR {k} IS NULL").coalesce(1).write.parquet(f"{few}-{t}")
+        (few / f"{t}.parquet").parent.mkdir(exist_ok=True)
+        next((tmp_path / f"few-{t}").glob("part-*")).rename(few / f"{t}.parquet")
+    assert compare(spark, str(few), QUERIES[name], ORACLES[name]) == ""
+    got = QUERIES[name](spark, str(tmp_path)).agg({"n": "max", "*": "count"}).first()
+    assert got["max(n)"] > 80_000 and got["count(1)"] >= 100_000
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
