@@ -24,6 +24,13 @@ def soon(spark):
     timer.cancel()
 
 
+def test_pairs_are_counted_before_the_join(spark, tmp_path, soon):
+    """10^10 pairs, and a supplier given twice."""
+    spark.range(100_000).selectExpr("id AS c_custkey", "3 AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(100_000).selectExpr("IF(id = 7, 8, id) AS s_suppkey", "IF(id = 5, NULL, 3) AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert [tuple(r) for r in QUERIES["join_many_to_many"](spark, str(tmp_path)).collect()] == [(3, 100_000 * 99_999, 99_998)]
+
+
 @pytest.mark.parametrize("name", ["spatial_join", "spatial_join_polygons", "window_over_spatial_join"])
 def test_points_on_one_place_and_shapes_of_one_form(name, spark, tmp_path, soon):
     """Some 9 * 10^9 pairs, as keys that differ by 4,000 lie on one place; some rows are given twice or have no key."""
