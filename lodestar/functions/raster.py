@@ -9,6 +9,8 @@ import struct
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -110,19 +112,55 @@ def clip(pixels: Column, width: int, x0: int, y0: int, x1: int, y1: int) -> Colu
 
 
 def slope(pixels: Column, width: int, height: int, size: float = 1.0) -> Column:
-    """Degrees of slope of each pixel by Horn's 3 x 3 weights; beyond the edge lies the pixel itself."""
-
-    def at(i: Column, dx: int, dy: int) -> Column:
-        x, y = i % width + dx, F.floor(i / width) + dy
-        inside = (x >= 0) & (x < width) & (y >= 0) & (y < height)
-        return F.when(inside, F.get(pixels, (y * width + x).cast("int"))).otherwise(F.get(pixels, i.cast("int"))).cast("double")
-
-    def of(v: Column, i: Column) -> Column:
-        dx = (at(i, 1, -1) + 2 * at(i, 1, 0) + at(i, 1, 1) - at(i, -1, -1) - 2 * at(i, -1, 0) - at(i, -1, 1)) / (8 * size)
-        dy = (at(i, -1, 1) + 2 * at(i, 0, 1) + at(i, 1, 1) - at(i, -1, -1) - 2 * at(i, 0, -1) - at(i, 1, -1)) / (8 * size)
-        return F.degrees(F.atan(F.sqrt(dx * dx + dy * dy)))
-
-    return F.transform(pixels, of)
+    """Degrees of slope of each pixel by Horn's 3 x 3 weights; beyond the edge lies the pixel itself. A pixel beside a NULL has no slope."""
+
+    @F.arrow_udf("array<double>")
+    def run(tiles: pa.Array) -> pa.Array:
+        return slopes(tiles, width, height, size)
+
+    return run(F.transform(pixels, lambda v: v.cast("double")))
+
+
+#: Pixels whose slopes are worked out at once.
+BLOCK = 1 << 18
+
+
+def slopes(tiles: pa.Array, width: int, height: int, size: float) -> pa.Array:
+    """``slope`` of a list array, whole tiles of about BLOCK pixels at a time."""
+    values, known = tiles.flatten(), tiles.is_valid()
+    lengths = np.where(known, np.nan_to_num(tiles.value_lengths().to_numpy(zero_copy_only=False)), 0).astype(np.int64)
+    ends = np.cumsum(lengths)
+    data, there = values.fill_null(0.0).to_numpy(zero_copy_only=False), values.is_valid().to_numpy(zero_copy_only=False)
+    out, has = np.empty(len(data)), np.empty(len(data), dtype=bool)
+    first = 0
+    while first < len(lengths):
+        begin = ends[first] - lengths[first]
+        last = max(first + 1, int(np.searchsorted(ends, begin + BLOCK, side="right")))
+        part, n = slice(begin, ends[last - 1]), lengths[first:last]
+        out[part], has[part] = _slopes(data[part], there[part], n, width, height, size)
+        first = last
+    made = pa.array(out, mask=~has, from_pandas=False)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), made, mask=pa.compute.invert(known))
+
+
+def _slopes(data: np.ndarray, there: np.ndarray, lengths: np.ndarray, width: int, height: int, size: float) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes of tiles one after another, and whether they have any."""
+    start, length = np.repeat(np.cumsum(lengths) - lengths, lengths), np.repeat(lengths, lengths)
+    i = np.arange(len(data)) - start
+    x, y, has = i % width, i // width, np.ones(len(data), dtype=bool)
+
+    def at(dx: int, dy: int) -> np.ndarray:
+        inside = (x + dx >= 0) & (x + dx < width) & (y + dy >= 0) & (y + dy < height)
+        j = np.where(inside, i + dy * width + dx, i)
+        ok = j < length
+        j = np.where(ok, j, i) + start
+        np.logical_and(has, ok & there[j], out=has)
+        return data[j]
+
+    nw, n, ne, w, e, sw, s, se = (at(dx, dy) for dx, dy in ((-1, -1), (0, -1), (1, -1), (-1, 0), (1, 0), (-1, 1), (0, 1), (1, 1)))
+    with np.errstate(all="ignore"):
+        dx, dy = (ne + 2 * e + se - nw - 2 * w - sw) / (8 * size), (sw + 2 * s + se - nw - 2 * n - ne) / (8 * size)
+        return np.degrees(np.arctan(np.sqrt(dx * dx + dy * dy))), has
 
 
 def make_empty(width: Column, height: Column) -> Column:

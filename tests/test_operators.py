@@ -192,6 +192,44 @@ def test_raster_bands(spark):
     assert raster.fits("32BF", 0.5) and not raster.fits("1BB", 2)
 
 
+def test_slopes_of_many_tiles(spark, monkeypatch):
+    """Tiles of 3 x 2 pixels at once: NULL tiles and pixels, NaN, a tile cut short, an empty one, in blocks smaller than a tile."""
+    import math
+
+    import pyarrow as pa
+
+    r = random.Random(3)
+    tiles = [None, [], [1.0, 2.0, 4.0, 8.0], [None, 1.0, 2.0, 3.0, 4.0, 5.0], [1.0, 1.0, 1.0, 1.0, 1.0, float("nan")], *[[r.uniform(0, 9) for _ in range(6)] for _ in range(40)]]
+
+    def one(t):
+        def at(i, dx, dy):
+            x, y = i % 3 + dx, i // 3 + dy
+            j = y * 3 + x if 0 <= x < 3 and 0 <= y < 2 else i
+            return t[j] if j < len(t) else None
+
+        out = []
+        for i in range(len(t)):
+            near = {(dx, dy): at(i, dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy}
+            if None in near.values():
+                out.append(None)
+                continue
+            g = [sum(w * (near[p] - near[q]) for p, q, w in ps) / 16 for ps in ([((1, k), (-1, k), 2 - abs(k)) for k in (-1, 0, 1)], [((k, 1), (k, -1), 2 - abs(k)) for k in (-1, 0, 1)])]
+            out.append(math.degrees(math.atan(math.hypot(*g))))
+        return out
+
+    want = [None if t is None else one(t) for t in tiles]
+    same = lambda a, b: a == b or a is not None and b is not None and (a != a and b != b or math.isclose(a, b, abs_tol=1e-12))
+    for block in (1, 20, 1 << 18):
+        monkeypatch.setattr(raster, "BLOCK", block)
+        got = raster.slopes(pa.array(tiles, pa.list_(pa.float64()))[0:], 3, 2, 2.0).to_pylist()
+        assert [g if g is None else len(g) for g in got] == [w if w is None else len(w) for w in want]
+        assert all(same(a, b) for g, w in zip(got, want, strict=True) if w for a, b in zip(g, w, strict=True))
+        assert raster.slopes(pa.array(tiles, pa.list_(pa.float64()))[3:9], 3, 2, 2.0).to_pylist()[2:] == got[5:9]
+    df = spark.createDataFrame([(t,) for t in tiles], "t array<double>").coalesce(1)
+    got = [x[0] for x in df.select(raster.slope(F.col("t"), 3, 2, 2.0)).collect()]
+    assert all((g is None) == (w is None) and (w is None or all(same(a, b) for a, b in zip(g, w, strict=True))) for g, w in zip(got, want, strict=True))
+
+
 def test_partitioned_and_bucketed_tables(spark, tmp_path):
     path = str(tmp_path / "p")
     write_table(spark.range(90).withColumn("k", F.col("id") % 3), path, partition_by=["k"], rows_per_file=20)
