@@ -18,18 +18,24 @@ def functions() -> dict:
 
     def one(kind, f):  # noqa: ANN001, ANN202
         def run(g: pd.Series) -> pd.Series:
-            return pd.Series([None if x is None else f(shapes.from_ewkb(bytes(x))) for x in g], dtype=object)
+            return pd.Series(shapes.once(lambda x: f(shapes.from_ewkb(bytes(x))), g), dtype=object)
 
         return F.pandas_udf(run, kind)
 
     def two(kind, f):  # noqa: ANN001, ANN202
         def run(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series([None if x is None or y is None else f(shapes.from_ewkb(bytes(x)), shapes.from_ewkb(bytes(y))) for x, y in zip(a, b, strict=True)], dtype=object)
+            return pd.Series(shapes.once(lambda x, y: f(shapes.from_ewkb(bytes(x)), shapes.from_ewkb(bytes(y))), a, b), dtype=object)
 
         return F.pandas_udf(run, kind)
 
+    def relation(i: int):  # noqa: ANN202
+        def run(a: pd.Series, b: pd.Series) -> pd.Series:
+            return pd.Series(shapes.once(lambda x, y: shapes.related(bytes(x), bytes(y))[i], a, b), dtype=object)
+
+        return F.pandas_udf(run, "boolean")
+
     def text(t: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else shapes.to_ewkb(shapes.from_wkt(x)) for x in t], dtype=object)
+        return pd.Series(shapes.once(lambda x: shapes.to_ewkb(shapes.from_wkt(x)), t), dtype=object)
 
     def latlng(lat: pd.Series, lng: pd.Series, res: pd.Series) -> pd.Series:
         known = (lat.notna() & lng.notna() & res.notna()).to_numpy()
@@ -73,7 +79,7 @@ def functions() -> dict:
         "st_geomfromtext": F.pandas_udf(text, "binary"),
         **{n: one(k, f) for n, (k, f) in geometry.items()},
         "st_distance": two("double", shapes.distance),
-        **{f"st_{r}": two("boolean", lambda a, b, r=r: shapes.relate(a, b)[r]) for r in shapes.RELATIONS},
+        **{f"st_{r}": relation(i) for i, r in enumerate(shapes.RELATIONS)},
         "h3_latlng_to_cell": F.pandas_udf(latlng, "long"),
         "h3_grid_distance": F.pandas_udf(steps, "long"),
         "h3_grid_disk": F.pandas_udf(disk, "array<long>"),

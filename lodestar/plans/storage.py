@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.functions.registry import register
 from lodestar.plans.registry import query
 from lodestar.sources.lineage import work_folder
-from lodestar.sources.tables import Pins, Prepared, delete_where, insert_select, load, update_where, write_table
+from lodestar.sources.tables import Pins, Prepared, delete_where, insert_select, load, spread, update_where, write_table
 from lodestar.streaming.rollup import rollup, write_rollup
 
 
@@ -51,7 +51,7 @@ def functions_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registered functions in SQL."""
     register(spark)
     text = "'POLYGON((0 0,' || n || ' 0,' || n || ' ' || n || ',0 ' || n || ',0 0))'"
-    return spark.sql(f"SELECT p_partkey, st_area(g) AS area, st_geometrytype(g) AS kind, st_intersects(g, st_geomfromtext('POINT(20 20)')) AS touches FROM (SELECT p_partkey, st_geomfromtext({text}) AS g FROM (SELECT p_partkey, CAST(p_size AS STRING) AS n FROM {{part}}) a) b", part=load(spark, sf_dir, "part", "p_partkey", "p_size"))
+    return spark.sql(f"SELECT p_partkey, st_area(g) AS area, st_geometrytype(g) AS kind, st_intersects(g, st_geomfromtext('POINT(20 20)')) AS touches FROM (SELECT p_partkey, st_geomfromtext({text}) AS g FROM (SELECT p_partkey, CAST(p_size AS STRING) AS n FROM {{part}}) a) b", part=spread(load(spark, sf_dir, "part", "p_partkey", "p_size")))
 
 
 @query("stream_rollup", "SELECT user_id, CAST(SUM(n) AS BIGINT) AS n, MIN(lo) AS lo, MAX(hi) AS hi FROM (SELECT user_id, DATE_TRUNC('day', ts) AS d, COUNT(*) AS n, MIN(value) AS lo, MAX(value) AS hi FROM events GROUP BY user_id, DATE_TRUNC('day', ts)) g WHERE d < (SELECT DATE_TRUNC('day', MAX(ts) - INTERVAL 10 MINUTE) FROM events) GROUP BY user_id")
