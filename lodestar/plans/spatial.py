@@ -284,7 +284,7 @@ def st_makers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def st_buffer_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points buffered by polygons of 32 corners."""
     ship(spark.sparkContext)
-    parts = load(spark, sf_dir, "part", "p_partkey", "p_size").select(F.col("p_partkey").alias("k"), "p_size", shapes.st_make_point(F.col("p_partkey"), F.lit(1)).alias("g"))
+    parts = spread(load(spark, sf_dir, "part", "p_partkey", "p_size")).select(F.col("p_partkey").alias("k"), "p_size", shapes.st_make_point(F.col("p_partkey"), F.lit(1)).alias("g"))
     unit = shapes.st_buffer(F.col("g"), 1.0)
     return parts.select("k", F.round(shapes.st_area(unit) * F.col("p_size") * F.col("p_size"), 6).alias("area"), shapes.st_npoints(unit).alias("npoints"))
 

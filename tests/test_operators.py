@@ -192,6 +192,35 @@ def test_raster_bands(spark):
     assert raster.fits("32BF", 0.5) and not raster.fits("1BB", 2)
 
 
+def test_equal_geometries_are_worked_out_once():
+    """With Nones among them, and whatever a value is."""
+    seen = []
+    got = shapes.once(lambda a, b: seen.append((a, b)) or len(a) + len(b), [b"x", None, b"x", b"xy", b"x"], [b"", b"q", b"", None, b"z"])
+    assert got == [1, None, 1, None, 2] and seen == [(b"x", b""), (b"x", b"z")]
+
+
+def test_work_by_the_row_uses_all_cores(spark, tmp_path):
+    """A file with one row group is dealt to all cores before geometries are made."""
+    from lodestar.plans.catalog import QUERIES
+
+    spark.range(2000).selectExpr("id AS p_partkey", "CAST(id % 50 + 1 AS INT) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("st_buffer_area", "functions_by_name"):
+        assert QUERIES[name](spark, str(tmp_path)).select(F.spark_partition_id()).distinct().count() == spark.sparkContext.defaultParallelism, name
+
+
+def test_made_points_and_lines(spark):
+    """The same bytes as of one point at a time, with and without a reference system; NULL for NULL and NaN."""
+    rows = [(1.5, -2.0), (None, 1.0), (3.0, None), (float("nan"), 4.0)]
+    df = spark.createDataFrame(rows, "x double, y double").coalesce(1)
+    for srid in (0, 4326):
+        p = shapes.st_make_point(F.col("x"), F.col("y"), srid)
+        got = [tuple(None if v is None else bytes(v) for v in r) for r in df.select(p.alias("p"), shapes.st_make_line(F.array(p, F.lit(None).cast("binary"))).alias("l"), shapes.st_make_line(F.array(F.lit(None).cast("binary"))).alias("none")).collect()]
+        one = lambda x, y: shapes.to_ewkb(shapes.Shape(srid, "POINT", [("POINT", [shapes.np.array([[x, y]])])]))
+        assert [r[0] for r in got] == [one(1.5, -2.0), None, None, None]
+        line = shapes.from_ewkb(got[0][1])
+        assert (line.srid, line.kind, line.vertices.tolist()) == (srid, "LINESTRING", [[1.5, -2.0]]) and got[1][1] is None and {r[2] for r in got} == {None}
+
+
 def test_slopes_of_many_tiles(spark, monkeypatch):
     """Tiles of 3 x 2 pixels at once: NULL tiles and pixels, NaN, a tile cut short, an empty one, in blocks smaller than a tile."""
     import math
